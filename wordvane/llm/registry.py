@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from wordvane.llm import url_filter
+from wordvane.llm import mixing, url_filter, warc
 
 
 def queries() -> dict:
-    return {"op10_url_filter": url_filter.op10_url_filter}
+    return {"op2_mixing": mixing.op2_mixing, "op8_warc": warc.op8_warc, "op10_url_filter": url_filter.op10_url_filter}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_url_filter": url_filter.op10_sql()}
+    return {"op2_mixing": mixing.OP2_SQL, "op8_warc": warc.OP8_SQL, "op10_url_filter": url_filter.op10_sql()}
