@@ -52,7 +52,7 @@ def hash01(*cols: Column, seed: str = "") -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), *[c.cast("string") for c in cols])), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def running_sum(df: DataFrame, key: str, spot: str, order: list[str], value: str, out: str, rows_each: int = 20_000) -> DataFrame:
+def running_sum(df: DataFrame, key: str, spot: str, order: list[str], value: str, out: str, rows_each: int = 2_000) -> DataFrame:
     """df with `out`: the sum of `value` over the rows of the same `key` that come before a row, by `spot`, then `order`.
 
     spot lies in [0, 1) and is spread evenly over a key's rows, so equal slices of it hold about rows_each rows: no task

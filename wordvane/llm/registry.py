@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from wordvane.llm import mixing, packing, url_filter, warc
+from wordvane.llm import language_id, mixing, packing, url_filter, warc
 
 
 def queries() -> dict:
-    return {"op2_mixing": mixing.op2_mixing, "op5_packing": packing.op5_packing, "op8_warc": warc.op8_warc, "op10_url_filter": url_filter.op10_url_filter}
+    return {"op2_mixing": mixing.op2_mixing, "op5_packing": packing.op5_packing, "op8_warc": warc.op8_warc, "op9_language_id": language_id.op9_language_id, "op10_url_filter": url_filter.op10_url_filter}
 
 
 def oracle_sql() -> dict[str, str]:
