@@ -101,7 +101,7 @@ class ByteCNN:
         z -= z.max(axis=1, keepdims=True)
         return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
 
-    def predict(self, texts: list[bytes], batch: int = 96) -> tuple[list[str], np.ndarray]:
+    def predict(self, texts: list[bytes], batch: int = 32) -> tuple[list[str], np.ndarray]:
         """Language and its probability for each text of at least one byte."""
         n = np.array([max(1, -(-len(t) // WINDOW)) for t in texts])
         owner = np.repeat(np.arange(len(texts)), n)
