@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from wordvane.llm import html_extract, language_id, mixing, packing, url_filter, warc
+from wordvane.llm import html_extract, language_id, mixing, packing, pii, url_filter, warc
 
 
 def queries() -> dict:
-    return {"op1_html": html_extract.op1_html, "op2_mixing": mixing.op2_mixing, "op5_packing": packing.op5_packing, "op8_warc": warc.op8_warc, "op9_language_id": language_id.op9_language_id, "op10_url_filter": url_filter.op10_url_filter}
+    return {
+        "op1_html": html_extract.op1_html,
+        "op2_mixing": mixing.op2_mixing,
+        "op5_packing": packing.op5_packing,
+        "op6_pii": pii.op6_pii,
+        "op8_warc": warc.op8_warc,
+        "op9_language_id": language_id.op9_language_id,
+        "op10_url_filter": url_filter.op10_url_filter,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_html": html_extract.op1_html, "op2_mixing": mixing.OP2_SQL, "op8_warc": warc.OP8_SQL, "op10_url_filter": url_filter.op10_sql()}
+    return {"op2_mixing": mixing.OP2_SQL, "op8_warc": warc.OP8_SQL, "op10_url_filter": url_filter.op10_sql()}
