@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from wordvane.llm import html_extract, language_id, mixing, packing, pii, url_filter, warc
+from wordvane.llm import hnsw, html_extract, language_id, mixing, packing, pii, url_filter, warc
 
 
 def queries() -> dict:
     return {
         "op1_html": html_extract.op1_html,
         "op2_mixing": mixing.op2_mixing,
+        "op3_hnsw": hnsw.op3_hnsw,
         "op5_packing": packing.op5_packing,
         "op6_pii": pii.op6_pii,
         "op8_warc": warc.op8_warc,
