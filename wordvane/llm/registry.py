@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wordvane.llm import hnsw, html_extract, language_id, mixing, packing, pii, url_filter, warc
+from wordvane.llm import hnsw, html_extract, language_id, mixing, packing, pii, pivot_search, url_filter, warc
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_hnsw": hnsw.op3_hnsw,
         "op5_packing": packing.op5_packing,
         "op6_pii": pii.op6_pii,
+        "op7_topk": pivot_search.op7_topk,
         "op8_warc": warc.op8_warc,
         "op9_language_id": language_id.op9_language_id,
         "op10_url_filter": url_filter.op10_url_filter,
@@ -19,4 +20,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": mixing.OP2_SQL, "op8_warc": warc.OP8_SQL, "op10_url_filter": url_filter.op10_sql()}
+    return {"op2_mixing": mixing.OP2_SQL, "op7_topk": pivot_search.OP7_SQL, "op8_warc": warc.OP8_SQL, "op10_url_filter": url_filter.op10_sql()}
