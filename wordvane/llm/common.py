@@ -72,3 +72,11 @@ def running_sum(df: DataFrame, key: str, spot: str, order: list[str], value: str
 DOCUMENT_COLUMNS = T.StructType(
     [T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType())]
 )
+
+#: Rows of a few numbers that may be broadcast; with more, Spark joins by shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df with a broadcast hint if it has no more than so many rows; as it is otherwise. Give it a staged table: it is counted."""
+    return F.broadcast(df) if df.count() <= rows else df

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wordvane.llm import hnsw, html_extract, language_id, mixing, packing, pii, pivot_search, url_filter, warc
+from wordvane.llm import hnsw, html_extract, language_id, mixing, packing, pii, pivot_search, shingle_join, url_filter, warc
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_html": html_extract.op1_html,
         "op2_mixing": mixing.op2_mixing,
         "op3_hnsw": hnsw.op3_hnsw,
+        "op4_shingle_join": shingle_join.op4_shingle_join,
         "op5_packing": packing.op5_packing,
         "op6_pii": pii.op6_pii,
         "op7_topk": pivot_search.op7_topk,
