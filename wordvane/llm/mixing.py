@@ -21,20 +21,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from wordvane.llm.common import hash01, running_sum, staged, word_count
+from wordvane.llm.common import WORD, hash01, running_sum, staged, word_count
 
 MAX_PASSES = 3
 WEIGHTS = (1, 2, 3)
 SEED = "mix"
 #: Words between two borders of the global order: rows of one slice are ordered in one task.
-WORDS_EACH = 2_000_000
+WORDS_EACH = 200_000
 
 
 def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_PASSES) -> DataFrame:
     """_source, source_size, target of each source: shares of all sizes by weight, none above `most` times its size.
 
     A target is least(most * size, level * weight), with the one level at which targets sum to the total. Sources in
-    the order of most * size / weight: those before some place are capped, and the level follows from what they leave.
+    the order of most * size / weight: those before some place are capped, and the level follows from what they leave; of the
+    levels that fit their place the first, which is the greatest, is it.
     The windows without a key go over one row per source.
     """
     per = sized.groupBy("_source").agg(F.sum("size").alias("source_size"))
@@ -46,7 +47,7 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MA
     capped = F.coalesce(F.sum("cap").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     open_weight = F.sum("weight").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
     per = per.withColumn("level", (F.col("total") - capped) / open_weight)
-    level = F.min(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(everything)
+    level = F.max(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(everything)
     return per.withColumn("target", F.least("cap", level * F.col("weight"))).select("_source", "source_size", "weight", F.coalesce("target", F.lit(0.0)).alias("target"))
 
 
@@ -64,20 +65,34 @@ def served(documents: DataFrame, weights=WEIGHTS, most: int = MAX_PASSES, seed:
 
 
 def schedule(rows: DataFrame, most: int = MAX_PASSES, words_each: int = WORDS_EACH) -> DataFrame:
-    """The mix itself, from served(): one row per document and pass that it is taken in, with its virtual finish time, its words
-    and mix_start, the words before it in the global order of finish times. Each slice of virtual time holds about words_each words."""
+    """The mix, from served(), a written table: one row per document and pass it is taken in, with its virtual finish time, its
+    words, and mix_start, the words before it in the global order of finish times; nothing past the total budget.
+
+    Slices of virtual time hold about words_each words, by construction: at any time sources have been served in step.
+    """
     passes = rows.where("taken > 0").withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(most - 1))))
     begin = F.col("pass") * F.col("source_size") + F.col("first")
-    words = F.greatest(F.lit(0), F.least(F.col("size"), F.col("taken") - F.col("pass") * F.col("size")))
+    words = F.greatest(F.lit(0), F.least(F.col("size"), F.floor(F.col("target") + F.lit(1e-6)).cast("long") - begin))
     passes = passes.withColumn("words", words).where("words > 0").withColumn("finish", (begin + F.col("words")) / F.col("target"))
-    total = rows.agg(F.sum("taken").alias("_total"))
-    slices = F.greatest(F.lit(1), F.ceil(F.col("_total") / words_each))
-    passes = passes.crossJoin(F.broadcast(total)).withColumn("_slice", F.floor(F.least(F.col("finish"), F.lit(1.0)) * slices).cast("int")).drop("_total")  # one row of totals
+    budget = int(rows.agg(F.sum("size")).first()[0] or 0)
+    slices = max(1, -(-budget // words_each))
+    passes = passes.withColumn("_slice", F.floor(F.least(F.col("finish"), F.lit(1.0)) * slices).cast("int"))
     sums = passes.groupBy("_slice").agg(F.sum("words").alias("_sum"))
     starts = sums.select("_slice", F.coalesce(F.sum("_sum").over(Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
     inside = Window.partitionBy("_slice").orderBy("finish", F.col("source").asc_nulls_last(), "doc_id", "pass").rowsBetween(Window.unboundedPreceding, -1)
-    out = passes.join(starts, "_slice", "left").withColumn("mix_start", F.col("_start") + F.coalesce(F.sum("words").over(inside), F.lit(0)))
-    return out.select("doc_id", "source", "pass", "words", "finish", "mix_start")
+    out = passes.join(starts, "_slice", "left").withColumn("mix_start", (F.col("_start") + F.coalesce(F.sum("words").over(inside), F.lit(0))).cast("long"))
+    out = out.where(F.col("mix_start") < budget).withColumn("words", F.least(F.col("words"), F.lit(budget) - F.col("mix_start")))
+    return out.select("doc_id", "source", "first", "pass", "words", "finish", "mix_start")
+
+
+def mixed(documents: DataFrame, weights=WEIGHTS, most: int = MAX_PASSES) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, first, taken, mix_start (of its first pass, null if not taken)."""
+    rows = staged(served(documents, weights, most))
+    plan = schedule(rows, most).groupBy("doc_id", "source", "first").agg(F.sum("words").alias("_words"), F.min("mix_start").alias("mix_start"))
+    plan = plan.select(F.col("doc_id").alias("_id"), F.col("source").alias("_src"), F.col("first").alias("_first"), "_words", "mix_start")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_src")) & (F.col("first") == F.col("_first")) & (F.col("size") > 0)
+    found = rows.drop("taken").join(plan, same, "left")
+    return found.select("doc_id", "source", "size", "source_size", "target", "first", F.coalesce("_words", F.lit(0)).cast("long").alias("taken"), "mix_start")
 
 
 def mixed_documents(documents: DataFrame, weights=WEIGHTS, most: int = MAX_PASSES) -> DataFrame:
@@ -86,10 +101,8 @@ def mixed_documents(documents: DataFrame, weights=WEIGHTS, most: int = MAX_PASSE
 
     Rows of one doc_id (repeats) share what their id is taken: each row is served by itself, so they are numbered on both sides.
     """
-    from wordvane.llm.common import WORD
-
     columns = documents.columns
-    rows = staged(served(documents, weights, most))
+    rows = staged(mixed(documents, weights, most))
     rows = rows.where("taken > 0").withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy(F.desc("taken"), "first")))
     rows = rows.select(F.col("doc_id").alias("_id"), F.col("source").alias("_src"), F.col("size").alias("_size"), F.col("taken").alias("_taken"), "_nth")
     full = documents.withColumn("_words", word_count(F.col("text")))
@@ -121,8 +134,8 @@ def mixed_documents(documents: DataFrame, weights=WEIGHTS, most: int = MAX_PASSE
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, size, source_size, target, taken of every row of `documents`."""
-    return served(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken", "source", "first")
+    """doc_id, size, source_size, target, taken, source, first, mix_start of every row of `documents`."""
+    return mixed(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 OP2_SQL = """
@@ -130,9 +143,12 @@ with s as (select doc_id, source, cast(len(regexp_extract_all(coalesce(text, '')
 per as (select source, sum(size)::bigint as source_size, (row_number() over (order by source nulls last) - 1) % 3 + 1 as weight from s group by source),
 caps as (select *, 3.0::double * source_size as cap, 3.0::double * source_size / weight as ratio, (sum(source_size) over ())::double as total from per),
 lev as (select *, (total - coalesce(sum(cap) over (order by ratio, source nulls last rows between unbounded preceding and 1 preceding), 0)) / sum(weight) over (order by ratio, source nulls last rows between current row and unbounded following) as level from caps),
-tgt as (select source, source_size, coalesce(least(cap, weight * min(case when level <= ratio then level end) over ()), 0.0) as target from lev),
-r as (select s.*, t.source_size, t.target, coalesce(sum(size) over (partition by s.source order by substr(h, 1, 8), doc_id, size rows between unbounded preceding and 1 preceding), 0)::bigint as first from s join tgt t on s.source is not distinct from t.source)
-select doc_id, size, source_size, target::double as target,
- (greatest(0, least(size, floor(target + 1e-6)::bigint - first)) + greatest(0, least(size, floor(target + 1e-6)::bigint - source_size - first)) + greatest(0, least(size, floor(target + 1e-6)::bigint - 2 * source_size - first)))::bigint as taken, source, first
-from r
+tgt as (select source, source_size, coalesce(least(cap, weight * max(case when level <= ratio then level end) over ()), 0.0) as target from lev),
+r as (select s.*, t.source_size, t.target, coalesce(sum(size) over (partition by s.source order by substr(h, 1, 8), doc_id, size rows between unbounded preceding and 1 preceding), 0)::bigint as first from s join tgt t on s.source is not distinct from t.source),
+p as (select r.*, k.pass, greatest(0, least(size, floor(target + 1e-6)::bigint - (k.pass * source_size + first)))::bigint as words from r, (select unnest([0, 1, 2]) as pass) k),
+f as (select *, (k0 + words)::double / target as finish from (select *, pass * source_size + first as k0 from p where words > 0)),
+m as (select *, coalesce(sum(words) over (order by finish, source nulls last, doc_id, pass rows between unbounded preceding and 1 preceding), 0)::bigint as mix_start from f),
+t as (select doc_id, source, first, sum(words)::bigint as taken, min(mix_start) as mix_start from m group by all)
+select r.doc_id, r.size, r.source_size, r.target::double as target, coalesce(t.taken, 0)::bigint as taken, r.source, r.first, t.mix_start
+from r left join t on r.doc_id is not distinct from t.doc_id and r.source is not distinct from t.source and r.first = t.first and r.size > 0
 """
