@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from wordvane.llm import hnsw, html_extract, language_id, mixing, packing, pii, pivot_search, shingle_join, url_filter, warc
 
 
@@ -17,6 +18,7 @@ def queries() -> dict:
         "op8_warc": warc.op8_warc,
         "op9_language_id": language_id.op9_language_id,
         "op10_url_filter": url_filter.op10_url_filter,
+        "pipeline": corpus_pipeline.run,
     }
 
 
