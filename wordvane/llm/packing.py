@@ -17,6 +17,7 @@ import re
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -27,10 +28,14 @@ from wordvane.llm.common import hash01, running_sum, staged
 CAPACITY = 4096
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
-#: Words whose ids a task keeps: two generations of so many.
-CACHED_WORDS = 200_000
+#: Chunks and words whose ids a worker keeps: two generations of so many of each.
+CACHED = 300_000
 #: Only characters that the tokenizer drops for certain part the chunks, which are encoded each for itself.
-CHUNKS = re.compile("[ \t\n\r\x0b\x0c]+")
+GAPS = ("\t", "\n", "\r", "\x0b", "\x0c")
+#: Chunks of printable ASCII and of Latin-1 letters are cut into words here; NFC changes none of them, and lower-casing is one to one.
+PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+#: The tokenizer's own split of lower-cased text, over these characters.
+WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -39,33 +44,85 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+class Cache(dict):
+    """Two generations: once the young one is full it becomes the old one; what is met again moves over."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.old = most, {}
+
+    def find(self, key: str) -> bytes | None:
+        found = self.old.get(key)
+        if found is not None:
+            self[key] = found
+        return found
+
+    def turn(self) -> None:
+        if len(self) > self.most:
+            self.old = dict(self)
+            self.clear()
+
+
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in byte-level vocabularies: itself where printable, else the next one from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
+
+
 class WordEncoder:
-    """Ids of texts as little-endian unsigned 32-bit bytes. The tokenizer drops white space and never joins over it, so a text's ids
-    are those of its chunks in order; chunks met before are looked up."""
+    """Ids of texts as little-endian unsigned 32-bit bytes. The tokenizer drops white space and never joins over it, nor over the
+    borders of its words, so a text's ids are those of its chunks in order, and a plain chunk's those of its words; both are
+    looked up where met before. Chunks with other characters or special tokens go through the whole tokenizer."""
 
-    def __init__(self, path: str, cached: int = CACHED_WORDS):
+    def __init__(self, path: str, cached: int = CACHED):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cached = Tokenizer.from_file(path), cached
-        self.young: dict[str, bytes] = {"": b""}
-        self.old: dict[str, bytes] = {}
-
-    def learn(self, words: set[str]) -> None:
-        missing = []
-        for w in words - self.young.keys():
-            if (ids := self.old.get(w)) is None:
-                missing.append(w)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.letters = self.tokenizer.model, byte_letters()
+        self.chunks, self.words = Cache(cached), Cache(cached)
+        self.chunks[""] = b""
+
+    def word(self, word: str) -> bytes:
+        ids = self.words.get(word) or self.words.find(word)
+        if ids is None:
+            seen = word if word.isascii() else "".join(self.letters[b] for b in word.encode())
+            ids = self.words[word] = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(seen)])
+        return ids
+
+    def learn(self, chunks: list[str]) -> None:
+        known, whole = self.chunks, []
+        for c in chunks:
+            if c in known or known.find(c) is not None:
+                continue
+            if PLAIN.fullmatch(c) and "<|" not in c:
+                known[c] = b"".join([self.word(w) for w in WORDS.findall(c.lower())])
             else:
-                self.young[w] = ids
-        for w, e in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False), strict=True):
-            self.young[w] = b"".join(i.to_bytes(4, "little") for i in e.ids)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.young) > self.cached:
-            self.old, self.young = self.young, {"": b""}
-        split = [CHUNKS.split(t) for t in texts]
-        self.learn(set().union(*split))
-        return [b"".join(map(self.young.__getitem__, words)) for words in split]
+                whole.append(c)
+        if whole:
+            for c, e in zip(whole, self.tokenizer.encode_batch(whole, add_special_tokens=False), strict=True):
+                known[c] = b"".join([i.to_bytes(4, "little") for i in e.ids])
+
+    def encode(self, text: str) -> bytes:
+        for gap in GAPS:
+            text = text.replace(gap, " ")
+        chunks = text.split(" ")
+        try:
+            return b"".join(map(self.chunks.__getitem__, chunks))
+        except KeyError:
+            self.learn(chunks)
+            out = b"".join(map(self.chunks.__getitem__, chunks))
+        self.words.turn()
+        if len(self.chunks) > self.chunks.most:
+            self.chunks.turn()
+            self.chunks[""] = b""
+        return out
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> WordEncoder:
+    """One per Python worker, kept over its tasks."""
+    return WordEncoder(path)
 
 
 def pieces(documents: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -76,14 +133,13 @@ def pieces(documents: DataFrame, path: str | None = None, capacity: int = CAPACI
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, last = WordEncoder(path), end_id.to_bytes(4, "little")
+        encode, last = encoder(path).encode, end_id.to_bytes(4, "little")
         for batch in batches:
             ids, texts = batch.column("doc_id"), batch.column("text")
             out: list[list] = [[], [], [], [], []]
             for at in range(0, batch.num_rows, 64):
-                some = [t or "" for t in texts.slice(at, 64).to_pylist()]
-                for doc_id, data in zip(ids.slice(at, 64).to_pylist(), encoder.encode(some), strict=True):
-                    data += last
+                for doc_id, text in zip(ids.slice(at, 64).to_pylist(), texts.slice(at, 64).to_pylist(), strict=True):
+                    data = encode(text or "") + last
                     for k, begin in enumerate(range(0, len(data) // 4, capacity)):
                         part = data[4 * begin : 4 * (begin + capacity)]
                         for column, value in zip(out, (doc_id, k, begin, len(part) // 4, zlib.crc32(part)), strict=True):
