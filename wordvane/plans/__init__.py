@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-THEMES = ("dialogue", "tables", "measures")
+THEMES = ("dialogue", "tables", "measures", "procedural")
 
 
 def modules() -> list:

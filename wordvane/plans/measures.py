@@ -88,13 +88,13 @@ def top_samples(spark, sf_dir):
     return g.withColumn("k", best).where("k <= 5").select("model", "instance", F.round("d_pri", 6).alias("d_pri"))
 
 
-@query(f"with {SCORED}, m as (select *, ppl_var / greatest(0.001, max(ppl_var) over (partition by model)) as p, bf / greatest(0.001, max(bf) over (partition by model)) as b from g) select model, instance, round(p, 6) as ppl_var_norm, round(b, 6) as bf_norm, round({_c('1 - (p + b) / 2')}, 6) as ifi_norm from m")
+@query(f"with {SCORED}, m as (select *, ppl_var / greatest(0.001, max(ppl_var) over (partition by model)) as p, bf / greatest(0.001, max(bf) over (partition by model)) as b from g) select model, instance, round(p, 6) as ppl_var_norm, round(b, 6) as bf_norm, round({_c('1 - (p + b) / 2')} + 1e-9, 4) as ifi_norm from m")
 def ifi_normalised(spark, sf_dir):
     """Scaling by each model's maximum, which is aggregated first and joined back, so that no model's rows meet in one task."""
     g = scored(spark, sf_dir)
     most = g.groupBy("model").agg(F.greatest(F.lit(0.001), F.max("ppl_var")).alias("mp"), F.greatest(F.lit(0.001), F.max("bf")).alias("mb"))
     p, b = F.col("ppl_var") / F.col("mp"), F.col("bf") / F.col("mb")
-    return g.join(most, "model").select("model", "instance", F.round(p, 6).alias("ppl_var_norm"), F.round(b, 6).alias("bf_norm"), F.round(scores.clamp01(1 - (p + b) / 2), 6).alias("ifi_norm"))
+    return g.join(most, "model").select("model", "instance", F.round(p, 6).alias("ppl_var_norm"), F.round(b, 6).alias("bf_norm"), F.round(scores.clamp01(1 - (p + b) / 2) + 1e-9, 4).alias("ifi_norm"))
 
 
 @query(f"""with {SCORED}, f as (select *, greatest(sms, 1e-6) as a, greatest(cs, 1e-6) as b, greatest(faithfulness, 1e-6) as c from g)
