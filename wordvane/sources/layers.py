@@ -28,8 +28,9 @@ def names(schema: str) -> list[str]:
 
 def read_jsonl(spark: SparkSession, path: str, schema: str = NESTED) -> DataFrame:
     """JSON lines by schema; blank and malformed lines (a cut-off tail) are left out."""
-    frame = spark.read.schema(f"{schema}, _corrupt string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
-    return frame.where(F.col("_corrupt").isNull()).drop("_corrupt")
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    rows = spark.read.text(path).where(F.trim("value") != "").select(F.from_json("value", f"{schema}, _corrupt string", options).alias("r"))
+    return rows.where("r._corrupt is null").select("r.*").drop("_corrupt")
 
 
 def read_json_array(spark: SparkSession, path: str, schema: str = LEGACY) -> DataFrame:
