@@ -11,9 +11,9 @@ Groups of copies can hold a third of all rows, so no step lists all pairs of a g
 1. Documents of equal sets are one class from the start (counts and sums of set hashes, pre-aggregated).
 2. Star pass: in each list of documents with a prefix shingle, every one is paired with the list's first only. Verified
    pairs join documents to components; a group of near copies mostly becomes one component, from a linear number of pairs.
-3. Exact pass: only lists with two components or more are joined with themselves, and only pairs of different components
-   and fitting sizes come out. All such pairs with enough matches are verified. Links within a component don't change
-   components, so none that matters is lost.
+3. Exact pass: only lists with two components or more are joined with themselves, and only pairs of different components,
+   of fitting sizes and with room for enough shared shingles (by the places of the one they meet in) come out. All such
+   pairs with enough matches are verified. Links within a component don't change components, so none that matters is lost.
 
 Verification takes both whole texts and compares whole sets. Components are found by alternating hook-and-jump steps on
 written tables. Set elements are 64-bit hashes of the shingles' words.
@@ -29,7 +29,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -40,6 +40,8 @@ WORDS_EACH = 5
 PERCENT = 80
 LEVELS = 3
 SKETCH_BITS = 18
+#: A list head is tried by the star pass from so many hundredths of a document's shingles in common on (prefixes hold 20).
+STAR_PERCENT = 3
 #: Cost of verifying a pair, in look-ups of one document.
 VERIFY = 50.0
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -163,27 +165,39 @@ def prefix(s: np.ndarray, frequency: np.ndarray, floor: float, levels: int = LEV
 
 
 def prefix_rows(documents: DataFrame, frequency: np.ndarray) -> DataFrame:
-    """(token, doc, n, level) of the prefixes of all class representatives. documents: doc, text."""
+    """(token, doc, n, level, at) of the prefixes of all class representatives; at is the token's place in its set's order. documents: doc, text, tag.
+
+    level also tells apart the texts of one doc: it is 4 * (tag modulo 31) more than the level itself.
+    """
     floor = float(np.median(frequency)) + 4 * float(np.median(frequency)) ** 0.5  # what unrelated shingles add to a cell
     cells = frequency.astype(np.float32)
 
     def run(batches):
         for batch in batches:
-            ids, texts = batch.column("doc").to_pylist(), batch.column("text")
+            ids, texts, tags = batch.column("doc").to_pylist(), batch.column("text"), batch.column("tag").to_pylist()
             for at in range(0, batch.num_rows, 256):
-                tokens, docs, sizes, levels = [], [], [], []
-                for d, t in zip(ids[at : at + 256], texts.slice(at, 256).to_pylist(), strict=True):
+                columns: list[list] = [[], [], [], [], []]
+                for d, t, tag in zip(ids[at : at + 256], texts.slice(at, 256).to_pylist(), tags[at : at + 256], strict=True):
                     s = shingles(t)
                     if len(s):
                         p, level = prefix(s, cells, floor)
-                        tokens.append(signed(p))
-                        docs.append(np.full(len(p), d, np.int64))
-                        sizes.append(np.full(len(p), len(s), np.int32))
-                        levels.append(np.full(len(p), level, np.int8))
-                if tokens:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, docs, sizes, levels)], names=["token", "doc", "n", "level"])
+                        k = len(p)
+                        for column, value in zip(columns, (signed(p), np.full(k, d, np.int64), np.full(k, len(s), np.int32), np.full(k, level + 4 * (tag % 31), np.int8), np.arange(k, dtype=np.int32)), strict=True):
+                            column.append(value)
+                if columns[0]:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in columns], names=["token", "doc", "n", "level", "at"])
+
+    return documents.select("doc", "text", "tag").mapInArrow(run, "token long, doc long, n int, level byte, at int")
+
 
-    return documents.mapInArrow(run, "token long, doc long, n int, level byte")
+def reaches(shared: Column, n_x: Column, at_x: Column, n_y: Column, at_y: Column) -> Column:
+    """Whether two sets can be linked that share at most `shared` tokens up to one at places at_x, at_y: what follows in both is all that may come."""
+    most = shared + F.least(n_x - at_x, n_y - at_y) - 1
+    return (100 + PERCENT) * most >= PERCENT * (n_x + n_y)
+
+
+def sizes_fit(n_x: Column, n_y: Column) -> Column:
+    return (100 * n_x >= PERCENT * n_y) & (100 * n_y >= PERCENT * n_x)
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -234,7 +248,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def class_texts(documents: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(classes, texts): (n, sum_a, sum_b, doc) of each set met, named by its smallest doc_id, and (doc, text) of the row so named.
+    """(classes, texts): (n, sum_a, sum_b, doc) of each set met, named by its smallest doc_id, and (doc, text, tag) of the row so named.
 
     rows: doc_id, tag, n, sum_a, sum_b of the rows that have an id and a set. Rows that name no class are taken away, by broadcast where
     they are few; a row that is there several times is kept once.
@@ -246,8 +260,8 @@ def class_texts(documents: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataF
     repeated = small(staged(heads.where("times > 1").select(F.col("doc").alias("doc_id"), "tag").distinct()))
     with_words = documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     first = with_words.join(others, ["doc_id", "tag"], "left_anti")
-    once = first.join(repeated, ["doc_id", "tag"], "left_anti").select("doc_id", "text")
-    several = first.join(repeated, ["doc_id", "tag"], "left_semi").dropDuplicates(["doc_id", "tag"]).select("doc_id", "text")
+    once = first.join(repeated, ["doc_id", "tag"], "left_anti").select("doc_id", "text", "tag")
+    several = first.join(repeated, ["doc_id", "tag"], "left_semi").dropDuplicates(["doc_id", "tag"]).select("doc_id", "text", "tag")
     return heads.select("n", "sum_a", "sum_b", "doc"), once.union(several).withColumnRenamed("doc_id", "doc")
 
 
@@ -263,25 +277,32 @@ def join(documents: DataFrame) -> DataFrame:
     least = members.groupBy("doc_id").agg(F.min("doc").alias("b"), F.max("doc").alias("_most")).where("b < _most")
     same_id = members.join(least, "doc_id").where("b < doc").select(F.col("doc").alias("a"), "b").distinct()
 
-    by_token = Window.partitionBy("token")
-    listed = prefix_rows(texts, frequency).withColumn("first", F.min("doc").over(by_token)).withColumn("last", F.max("doc").over(by_token)).where("first < last")
-    listed = staged(listed.select("token", "doc", "n", "level", "first"))
-
-    # Star pass: the two list heads that a document shares most prefix shingles with.
-    met = listed.where("first < doc").groupBy("doc", "first").agg(F.count(F.lit(1)).alias("shared"))
-    best = Window.partitionBy("doc").orderBy(F.desc("shared"), "first")
-    stars = staged(met.withColumn("nth", F.row_number().over(best)).where("nth <= 2").select(F.col("doc").alias("a"), F.col("first").alias("b")))
+    by_token, c = Window.partitionBy("token"), F.col
+    listed = prefix_rows(texts, frequency).withColumn("first", F.min(F.struct("doc", "n", "at")).over(by_token)).withColumn("last", F.max("doc").over(by_token)).where("first.doc < last")
+    listed = staged(listed.select("token", "doc", "n", "level", "at", "first"))
+
+    # Star pass: the two list heads that a document shares most prefix shingles with, where those are some part of its prefix. It decides
+    # nothing for good: pairs that it leaves out are the exact pass's.
+    met = listed.where((c("first.doc") < c("doc")) & sizes_fit(c("n"), c("first.n")) & reaches(F.least("at", "first.at") + 1, c("n"), c("at"), c("first.n"), c("first.at")))
+    met = met.groupBy("doc", c("first.doc").alias("head")).agg(F.count(F.lit(1)).alias("shared"), F.max("n").alias("n"), F.min(c("level") % 4).alias("level"))
+    met = met.where((c("shared") >= c("level")) & (100 * c("shared") >= STAR_PERCENT * c("n")))
+    best = Window.partitionBy("doc").orderBy(F.desc("shared"), "head")
+    stars = staged(met.withColumn("nth", F.row_number().over(best)).where("nth <= 2").select(c("doc").alias("a"), c("head").alias("b")))
     links = staged(verified(stars, texts))
     near = components(links)
 
-    # Exact pass: what the star pass left apart.
-    marked = listed.select("token", "doc", "n", "level").join(near.select(F.col("node").alias("doc"), "root"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
-    marked = staged(marked.withColumn("_least", F.min("root").over(by_token)).withColumn("_most", F.max("root").over(by_token)).where("_least < _most").drop("_least", "_most"))
-    x, y = (marked.select(F.col("token").alias(f"token_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in ("doc", "n", "level", "root")]) for s in "xy")
-    fits = (F.col("doc_x") < F.col("doc_y")) & (F.col("root_x") != F.col("root_y")) & (100 * F.col("n_x") >= PERCENT * F.col("n_y")) & (100 * F.col("n_y") >= PERCENT * F.col("n_x"))
-    crossing = x.join(y, (F.col("token_x") == F.col("token_y")) & fits)
-    enough = crossing.groupBy(F.col("doc_y").alias("a"), F.col("doc_x").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("level_x", "level_y")).alias("needed")).where("shared >= needed")
-    left = staged(enough.select("a", "b").join(stars, ["a", "b"], "left_anti"))
+    # Exact pass: what the star pass left apart. Shingles that two components share are numbered within each document: of those alone can a
+    # crossing pair share any, so a shared one's number bounds how many they share before it, and places what may come after.
+    marked = listed.drop("first").join(near.select(c("node").alias("doc"), "root"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
+    marked = marked.withColumn("_least", F.min("root").over(by_token)).withColumn("_most", F.max("root").over(by_token)).where("_least < _most").drop("_least", "_most")
+    marked = staged(marked.withColumn("nth", F.row_number().over(Window.partitionBy("doc", "n", "level").orderBy("at"))))
+    x, y = (marked.select(*[c(k).alias(f"{k}_{s}") for k in ("token", "doc", "n", "level", "at", "nth", "root")]) for s in "xy")
+    fits = (c("doc_x") < c("doc_y")) & (c("root_x") != c("root_y")) & sizes_fit(c("n_x"), c("n_y")) & reaches(F.least("nth_x", "nth_y"), c("n_x"), c("at_x"), c("n_y"), c("at_y"))
+    crossing = x.join(y, (c("token_x") == c("token_y")) & fits)
+    by_text = (c("doc_y").alias("a"), c("doc_x").alias("b"), "n_x", "n_y", "level_x", "level_y")
+    enough = crossing.groupBy(*by_text).agg(F.count(F.lit(1)).alias("shared"), F.max("at_x").alias("at_x"), F.max("at_y").alias("at_y"))
+    enough = enough.where((c("shared") >= F.least(c("level_x") % 4, c("level_y") % 4)) & reaches(c("shared"), c("n_x"), c("at_x"), c("n_y"), c("at_y")))
+    left = staged(enough.select("a", "b").distinct().join(stars, ["a", "b"], "left_anti"))
     more = verified(left, texts)
 
     whole = components(staged(links.unionByName(more).unionByName(same_id)))
