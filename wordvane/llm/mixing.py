@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from wordvane.llm.common import WORD, hash01, running_sum, staged, word_count
+from wordvane.llm.common import WORD, hash01, running_sum, small, staged, word_count
 
 MAX_PASSES = 3
 WEIGHTS = (1, 2, 3)
@@ -103,11 +103,13 @@ def mixed_documents(documents: DataFrame, weights=WEIGHTS, most: int = MAX_PASSE
     """
     columns = documents.columns
     rows = staged(mixed(documents, weights, most))
-    rows = rows.where("taken > 0").withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy(F.desc("taken"), "first")))
-    rows = rows.select(F.col("doc_id").alias("_id"), F.col("source").alias("_src"), F.col("size").alias("_size"), F.col("taken").alias("_taken"), "_nth")
+    repeats = rows.groupBy("doc_id", "source", "size").count().where("count > 1").take(1)
+    nth = F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy(F.desc("taken"), "first")) if repeats else F.lit(1)
+    taken = staged(rows.withColumn("_nth", nth).where("taken > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_src"), F.col("size").alias("_size"), F.col("taken").alias("_taken"), "_nth"))
     full = documents.withColumn("_words", word_count(F.col("text")))
-    full = full.withColumn("_spare", F.row_number().over(Window.partitionBy("doc_id", "source", "_words").orderBy(F.xxhash64("text"))))
-    kept = full.join(rows, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_src")) & (F.col("_words") == F.col("_size")) & (F.col("_spare") == F.col("_nth")))
+    # Only where ids repeat do rows with the same id, source and size have to be told apart; texts are not moved for that otherwise.
+    full = full.withColumn("_spare", F.row_number().over(Window.partitionBy("doc_id", "source", "_words").orderBy(F.xxhash64("text"))) if repeats else F.lit(1))
+    kept = full.join(small(taken), F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_src")) & (F.col("_words") == F.col("_size")) & (F.col("_spare") == F.col("_nth")))
     schema = T.StructType([documents.schema[c] for c in columns])
 
     def copies(batches):
