@@ -10,11 +10,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def tie_ranks(df: DataFrame, key: str, value: str) -> DataFrame:
-    """key, value, rank: average ranks of each key's distinct values, from their counts; only distinct values are windowed."""
+def tie_ranks(df: DataFrame, key: str, value: str, slices: int = 64) -> DataFrame:
+    """key, value, rank: average ranks of each key's distinct values, from their counts.
+
+    Values of a key are cut into slices at approximate quantiles; slices are summed first, then ranked each for itself, so no task
+    gets all values of a key.
+    """
     counts = df.groupBy(key, value).agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy(key).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return counts.select(key, value, (before + (F.col("_n") + 1) / 2.0).cast("double").alias("rank"))
+    cuts = counts.groupBy(key).agg(F.percentile_approx(value, [i / slices for i in range(1, slices)], 1000).alias("_cuts"))
+    placed = counts.join(cuts, key).withColumn("_slice", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    sums = placed.groupBy(key, "_slice").agg(F.sum("_n").alias("_sum"))
+    before = lambda keys, order: Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(key, "_slice", F.coalesce(F.sum("_sum").over(before([key], "_slice")), F.lit(0)).alias("_start"))
+    inside = F.coalesce(F.sum("_n").over(before([key, "_slice"], value)), F.lit(0))
+    ranked = placed.join(starts, [key, "_slice"])
+    return ranked.select(key, value, (F.col("_start") + inside + (F.col("_n") + 1) / 2.0).cast("double").alias("rank"))
 
 
 def guarded_corr(x: str, y: str):
