@@ -348,13 +348,14 @@ def map_flatten(spark, sf_dir):
     return e.groupBy("model", "level").agg(F.sum("x").alias("total"))
 
 
-@query("""with s as (select unnest(range(0, 10)) as slot), p as (select item_id, row_number() over (order by item_id) - 1 as k, count(*) over () as n from (select item_id from benchmark where item_id < 3))
-select slot, item_id from s join p on s.slot % p.n = p.k""")
+@query("""with s as (select unnest(range(0, 12)) as slot), p as (select event_type, row_number() over (order by event_type) - 1 as k, count(*) over () as n from (select distinct event_type from events where event_type is not null))
+select slot, event_type from s join p on s.slot % p.n = p.k""")
 def cycle_fill(spark, sf_dir):
-    """A small pool cycled to ten slots."""
-    pool = table(spark, sf_dir, "benchmark").where("item_id < 3").select("item_id").withColumn("k", F.row_number().over(Window.orderBy("item_id")) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy()))
-    slots = spark.range(10).select(F.col("id").alias("slot"))
-    return slots.join(pool, F.pmod("slot", "n") == F.col("k")).select("slot", "item_id")
+    """A small pool of distinct values cycled to twelve slots."""
+    kinds = table(spark, sf_dir, "events").where("event_type is not null").select("event_type").distinct()
+    pool = kinds.withColumn("k", F.row_number().over(Window.orderBy("event_type")) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy()))
+    slots = spark.range(12).select(F.col("id").alias("slot"))
+    return slots.join(pool, F.pmod("slot", "n") == F.col("k")).select("slot", "event_type")
 
 
 @query("""with n as (select count(*) as n from nation), s as (select cast(floor(i * (n - 1) / 4.0) as bigint) as k from n, (select unnest(range(0, 5)) as i)), r as (select n_nationkey, row_number() over (order by n_nationkey) - 1 as k from nation)
