@@ -25,7 +25,7 @@ Rows without a doc_id take no part and get a null component. Other columns are i
 
 from __future__ import annotations
 
-import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -128,7 +128,7 @@ def set_digests(documents: DataFrame) -> DataFrame:
             columns = [pa.array(n, pa.int64()), *(pa.array(signed(np.asarray(c)), pa.int64()) for c in (a, b))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tag"), *columns, pa.nulls(batch.num_rows, pa.binary())], names=names)
         one = lambda x: pa.array([x], pa.int64())
-        yield pa.RecordBatch.from_arrays([one(None), one(0), one(-1), one(0), one(0), pa.array([counts.astype("<i8").tobytes()], pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([one(None), one(0), one(-1), one(0), one(0), pa.array([zlib.compress(np.minimum(counts, 2**31 - 1).astype("<i4").tobytes(), 1)], pa.binary())], names=names)
 
     return documents.mapInArrow(run, SETS)
 
@@ -140,10 +140,10 @@ def sketch_of(digests: DataFrame) -> np.ndarray:
         total = np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in batches:
             for cell in batch.column("cells"):
-                total += np.frombuffer(cell.as_py(), "<i8")
+                total += np.frombuffer(zlib.decompress(cell.as_py()), "<i4")
         yield pa.RecordBatch.from_arrays([pa.array([total.astype("<i8").tobytes()], pa.binary())], names=["cells"])
 
-    parts = digests.where("n = -1").select("cells").coalesce(8).mapInArrow(add, "cells binary").collect()  # 8 rows of 2 MB at most
+    parts = digests.where("n = -1").select("cells").coalesce(8).mapInArrow(add, "cells binary").collect()  # 8 rows of 2 MB
     return sum((np.frombuffer(r["cells"], "<i8") for r in parts), np.zeros(1 << SKETCH_BITS, np.int64))
 
 
@@ -165,9 +165,10 @@ def prefix(s: np.ndarray, frequency: np.ndarray, floor: float, levels: int = LEV
 
 
 def prefix_rows(documents: DataFrame, frequency: np.ndarray) -> DataFrame:
-    """(token, doc, n, level, at) of the prefixes of all class representatives; at is the token's place in its set's order. documents: doc, text, tag.
+    """(token, doc, info) of the prefixes of all class representatives. documents: doc, text, tag.
 
-    level also tells apart the texts of one doc: it is 4 * (tag modulo 31) more than the level itself.
+    info is one number, so that rows stay short: the set's size n, the token's place at in its order, and the level, which also
+    tells apart the texts of one doc (4 * (tag modulo 31) more than the level itself). unpacked() takes it apart.
     """
     floor = float(np.median(frequency)) + 4 * float(np.median(frequency)) ** 0.5  # what unrelated shingles add to a cell
     cells = frequency.astype(np.float32)
@@ -176,18 +177,34 @@ def prefix_rows(documents: DataFrame, frequency: np.ndarray) -> DataFrame:
         for batch in batches:
             ids, texts, tags = batch.column("doc").to_pylist(), batch.column("text"), batch.column("tag").to_pylist()
             for at in range(0, batch.num_rows, 256):
-                columns: list[list] = [[], [], [], [], []]
+                columns: list[list] = [[], [], []]
                 for d, t, tag in zip(ids[at : at + 256], texts.slice(at, 256).to_pylist(), tags[at : at + 256], strict=True):
                     s = shingles(t)
                     if len(s):
                         p, level = prefix(s, cells, floor)
-                        k = len(p)
-                        for column, value in zip(columns, (signed(p), np.full(k, d, np.int64), np.full(k, len(s), np.int32), np.full(k, level + 4 * (tag % 31), np.int8), np.arange(k, dtype=np.int32)), strict=True):
+                        info = (len(s) << (AT_BITS + LEVEL_BITS)) + (np.arange(len(p), dtype=np.int64) << LEVEL_BITS) + level + 4 * (tag % 31)
+                        for column, value in zip(columns, (signed(p), np.full(len(p), d, np.int64), info), strict=True):
                             column.append(value)
                 if columns[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in columns], names=["token", "doc", "n", "level", "at"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in columns], names=["token", "doc", "info"])
 
-    return documents.select("doc", "text", "tag").mapInArrow(run, "token long, doc long, n int, level byte, at int")
+    return documents.select("doc", "text", "tag").mapInArrow(run, "token long, doc long, info long")
+
+
+#: A set's size takes what these leave of 63 bits: documents of up to 2^28 shingles.
+AT_BITS, LEVEL_BITS = 28, 7
+
+
+def n_of(info: Column) -> Column:
+    return F.shiftright(info, AT_BITS + LEVEL_BITS)
+
+
+def at_of(info: Column) -> Column:
+    return F.shiftright(info, LEVEL_BITS) % (1 << AT_BITS)
+
+
+def level_of(info: Column) -> Column:
+    return info % (1 << LEVEL_BITS)
 
 
 def reaches(shared: Column, n_x: Column, at_x: Column, n_y: Column, at_y: Column) -> Column:
@@ -278,30 +295,34 @@ def join(documents: DataFrame) -> DataFrame:
     same_id = members.join(least, "doc_id").where("b < doc").select(F.col("doc").alias("a"), "b").distinct()
 
     by_token, c = Window.partitionBy("token"), F.col
-    listed = prefix_rows(texts, frequency).withColumn("first", F.min(F.struct("doc", "n", "at")).over(by_token)).withColumn("last", F.max("doc").over(by_token)).where("first.doc < last")
-    listed = staged(listed.select("token", "doc", "n", "level", "at", "first"))
+    listed = prefix_rows(texts, frequency).withColumn("first", F.min(F.struct("doc", "info")).over(by_token)).withColumn("last", F.max("doc").over(by_token)).where("first.doc < last")
+    listed = staged(listed.select("token", "doc", "info", "first"))
 
     # Star pass: the two list heads that a document shares most prefix shingles with, where those are some part of its prefix. It decides
     # nothing for good: pairs that it leaves out are the exact pass's.
-    met = listed.where((c("first.doc") < c("doc")) & sizes_fit(c("n"), c("first.n")) & reaches(F.least("at", "first.at") + 1, c("n"), c("at"), c("first.n"), c("first.at")))
-    met = met.groupBy("doc", c("first.doc").alias("head")).agg(F.count(F.lit(1)).alias("shared"), F.max("n").alias("n"), F.min(c("level") % 4).alias("level"))
+    n, at, head_n, head_at = n_of(c("info")), at_of(c("info")), n_of(c("first.info")), at_of(c("first.info"))
+    met = listed.where((c("first.doc") < c("doc")) & sizes_fit(n, head_n) & reaches(F.least(at, head_at) + 1, n, at, head_n, head_at))
+    met = met.groupBy("doc", c("first.doc").alias("head")).agg(F.count(F.lit(1)).alias("shared"), F.max(n).alias("n"), F.min(level_of(c("info")) % 4).alias("level"))
     met = met.where((c("shared") >= c("level")) & (100 * c("shared") >= STAR_PERCENT * c("n")))
     best = Window.partitionBy("doc").orderBy(F.desc("shared"), "head")
     stars = staged(met.withColumn("nth", F.row_number().over(best)).where("nth <= 2").select(c("doc").alias("a"), c("head").alias("b")))
     links = staged(verified(stars, texts))
     near = components(links)
 
-    # Exact pass: what the star pass left apart. Shingles that two components share are numbered within each document: of those alone can a
+    # Exact pass: what the star pass left apart. Shingles that two components share are numbered within each text: of those alone can a
     # crossing pair share any, so a shared one's number bounds how many they share before it, and places what may come after.
     marked = listed.drop("first").join(near.select(c("node").alias("doc"), "root"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
     marked = marked.withColumn("_least", F.min("root").over(by_token)).withColumn("_most", F.max("root").over(by_token)).where("_least < _most").drop("_least", "_most")
-    marked = staged(marked.withColumn("nth", F.row_number().over(Window.partitionBy("doc", "n", "level").orderBy("at"))))
-    x, y = (marked.select(*[c(k).alias(f"{k}_{s}") for k in ("token", "doc", "n", "level", "at", "nth", "root")]) for s in "xy")
-    fits = (c("doc_x") < c("doc_y")) & (c("root_x") != c("root_y")) & sizes_fit(c("n_x"), c("n_y")) & reaches(F.least("nth_x", "nth_y"), c("n_x"), c("at_x"), c("n_y"), c("at_y"))
+    text_key = F.shiftleft(n, LEVEL_BITS) + level_of(c("info"))
+    marked = staged(marked.withColumn("text", text_key).withColumn("nth", F.row_number().over(Window.partitionBy("doc", "text").orderBy("info"))))
+    x, y = (marked.select(*[c(k).alias(f"{k}_{s}") for k in ("token", "doc", "info", "text", "nth", "root")]) for s in "xy")
+    n_x, n_y, at_x, at_y = n_of(c("info_x")), n_of(c("info_y")), at_of(c("info_x")), at_of(c("info_y"))
+    fits = (c("doc_x") < c("doc_y")) & (c("root_x") != c("root_y")) & sizes_fit(n_x, n_y) & reaches(F.least("nth_x", "nth_y"), n_x, at_x, n_y, at_y)
     crossing = x.join(y, (c("token_x") == c("token_y")) & fits)
-    by_text = (c("doc_y").alias("a"), c("doc_x").alias("b"), "n_x", "n_y", "level_x", "level_y")
-    enough = crossing.groupBy(*by_text).agg(F.count(F.lit(1)).alias("shared"), F.max("at_x").alias("at_x"), F.max("at_y").alias("at_y"))
-    enough = enough.where((c("shared") >= F.least(c("level_x") % 4, c("level_y") % 4)) & reaches(c("shared"), c("n_x"), c("at_x"), c("n_y"), c("at_y")))
+    enough = crossing.groupBy(c("doc_y").alias("a"), c("doc_x").alias("b"), "text_x", "text_y").agg(F.count(F.lit(1)).alias("shared"), F.max(at_x).alias("at_x"), F.max(at_y).alias("at_y"))
+    level = lambda k: c(k) % (1 << LEVEL_BITS) % 4
+    size = lambda k: F.shiftright(k, LEVEL_BITS)
+    enough = enough.where((c("shared") >= F.least(level("text_x"), level("text_y"))) & reaches(c("shared"), size("text_x"), c("at_x"), size("text_y"), c("at_y")))
     left = staged(enough.select("a", "b").distinct().join(stars, ["a", "b"], "left_anti"))
     more = verified(left, texts)
 
