@@ -37,9 +37,16 @@ def staged(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def rename_free(df: DataFrame, keep: list[str]) -> DataFrame:
-    """Only the columns an operator reads, so that extra ones can't clash with its own."""
-    return df.select(*[F.col(f"`{c}`") for c in keep])
+#: Rows of whole texts that go to a Python worker at once.
+BATCH_ROWS = 500
+
+
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """df, in a session whose Arrow batches hold BATCH_ROWS rows at most: both sides of a Python operator keep a batch of whole texts."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(key, str(BATCH_ROWS))
+    return df
 
 
 def word_count(text: Column) -> Column:

@@ -19,6 +19,8 @@ from functools import lru_cache
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
+from wordvane.llm.common import in_small_batches
+
 # Fixed values of HTML: elements that flow within a line, void elements, and elements whose content is no page text.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr label ruby rt rp img".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -326,7 +328,7 @@ def extract(pages: DataFrame) -> DataFrame:
                 texts = [main_text(h, field) for h in part.column("html").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return in_small_batches(pages).select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
 
 def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordvane.llm.common import hash01
+from wordvane.llm.common import hash01, in_small_batches
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -191,7 +191,7 @@ def train(sample: list[tuple[str, bytes]], epochs: int = EPOCHS, seed: int = 7)
 def predict(documents: DataFrame, model: ByteCNN | None) -> DataFrame:
     """documents with lang_pred and score; columns of these names in the input are replaced."""
     keep = [c for c in documents.columns if c not in ("lang_pred", "score")]
-    base = documents.select(*[F.col(f"`{c}`") for c in keep])
+    base = in_small_batches(documents).select(*[F.col(f"`{c}`") for c in keep])
     if model is None:
         return base.withColumn("lang_pred", F.lit(UNKNOWN)).withColumn("score", F.lit(0.0))
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))

@@ -21,13 +21,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from wordvane.llm.common import WORD, hash01, running_sum, small, staged, word_count
+from wordvane.llm.common import WORD, hash01, in_small_batches, running_sum, small, staged, word_count
 
 MAX_PASSES = 3
 WEIGHTS = (1, 2, 3)
 SEED = "mix"
-#: Words between two borders of the global order: rows of one slice are ordered in one task.
-WORDS_EACH = 200_000
+#: Words between two borders of the global order: rows of one slice are ordered in one task. Sums of slices are added up in one task,
+#: so there are no more than MOST_SLICES, and larger ones beyond.
+WORDS_EACH, MOST_SLICES = 200_000, 1_000_000
 
 
 def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_PASSES) -> DataFrame:
@@ -75,7 +76,7 @@ def schedule(rows: DataFrame, most: int = MAX_PASSES, words_each: int = WORDS_EA
     words = F.greatest(F.lit(0), F.least(F.col("size"), F.floor(F.col("target") + F.lit(1e-6)).cast("long") - begin))
     passes = passes.withColumn("words", words).where("words > 0").withColumn("finish", (begin + F.col("words")) / F.col("target"))
     budget = int(rows.agg(F.sum("size")).first()[0] or 0)
-    slices = max(1, -(-budget // words_each))
+    slices = max(1, min(MOST_SLICES, -(-budget // words_each)))
     passes = passes.withColumn("_slice", F.floor(F.least(F.col("finish"), F.lit(1.0)) * slices).cast("int"))
     sums = passes.groupBy("_slice").agg(F.sum("words").alias("_sum"))
     starts = sums.select("_slice", F.coalesce(F.sum("_sum").over(Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
@@ -106,7 +107,7 @@ def mixed_documents(documents: DataFrame, weights=WEIGHTS, most: int = MAX_PASSE
     repeats = rows.groupBy("doc_id", "source", "size").count().where("count > 1").take(1)
     nth = F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy(F.desc("taken"), "first")) if repeats else F.lit(1)
     taken = staged(rows.withColumn("_nth", nth).where("taken > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_src"), F.col("size").alias("_size"), F.col("taken").alias("_taken"), "_nth"))
-    full = documents.withColumn("_words", word_count(F.col("text")))
+    full = in_small_batches(documents).withColumn("_words", word_count(F.col("text")))
     # Only where ids repeat do rows with the same id, source and size have to be told apart; texts are not moved for that otherwise.
     full = full.withColumn("_spare", F.row_number().over(Window.partitionBy("doc_id", "source", "_words").orderBy(F.xxhash64("text"))) if repeats else F.lit(1))
     kept = full.join(small(taken), F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_src")) & (F.col("_words") == F.col("_size")) & (F.col("_spare") == F.col("_nth")))

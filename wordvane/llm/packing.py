@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordvane.llm.common import hash01, running_sum, staged
+from wordvane.llm.common import hash01, in_small_batches, running_sum, staged
 
 CAPACITY = 4096
 END_ID = 1
@@ -146,7 +146,7 @@ def pieces(documents: DataFrame, path: str | None = None, capacity: int = CAPACI
                             column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return documents.select("doc_id", "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return in_small_batches(documents).select("doc_id", "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 Pattern = tuple[tuple[int, int], ...]

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordvane.llm.common import staged
+from wordvane.llm.common import in_small_batches, staged
 
 KINDS = ("email", "ip", "card", "phone", "id", "name")
 BASE_KINDS = KINDS[:4]
@@ -238,7 +238,7 @@ def found(documents: DataFrame) -> DataFrame:
                 spans = [[{"rank": KINDS.index(k), "s": s, "e": e, "kind": k, "base": b, "key": key} for k, s, e, b, key in all_spans(t or "")] for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(spans, kind)], names=["doc_id", "spans"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, spans array<struct<rank:int,s:int,e:int,kind:string,base:boolean,key:string>>")
+    return in_small_batches(documents).select("doc_id", "text").mapInArrow(run, "doc_id long, spans array<struct<rank:int,s:int,e:int,kind:string,base:boolean,key:string>>")
 
 
 def accepted_keys(spans: DataFrame, accept: float = ACCEPT) -> list[str]:
@@ -276,7 +276,7 @@ def redact(documents: DataFrame, keys: list[str]) -> DataFrame:
     def masked(texts):
         return texts.map(clean, na_action="ignore")
 
-    out = documents.withColumn("text", masked(F.col("text")))
+    out = in_small_batches(documents).withColumn("text", masked(F.col("text")))
     return (out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in columns else out).select(*[F.col(f"`{c}`") for c in columns])
 
 

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wordvane.llm.common import small, staged
+from wordvane.llm.common import in_small_batches, small, staged
 
 WORDS_EACH = 5
 #: Links from this many hundredths of the union on.
@@ -284,7 +284,7 @@ def class_texts(documents: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataF
 
 def join(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of documents (doc_id, text)."""
-    documents = documents.select("doc_id", "text", F.xxhash64("text").alias("tag"))
+    documents = in_small_batches(documents).select("doc_id", "text", F.xxhash64("text").alias("tag"))
     digests = staged(set_digests(documents))
     frequency = sketch_of(digests)
     rows = digests.where("n >= 0").drop("cells")
