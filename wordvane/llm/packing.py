@@ -29,7 +29,7 @@ CAPACITY = 4096
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Chunks and words whose ids a worker keeps: two generations of so many of each.
-CACHED = 300_000
+CACHED = 100_000
 #: Only characters that the tokenizer drops for certain part the chunks, which are encoded each for itself.
 GAPS = ("\t", "\n", "\r", "\x0b", "\x0c")
 #: Chunks of printable ASCII and of Latin-1 letters are cut into words here; NFC changes none of them, and lower-casing is one to one.
