@@ -6,7 +6,8 @@ observations; the two labels are main text and other. The field is trained on th
 backward, Adam, numpy) on labelled pages that training_pages() makes from a list of page layouts, and decoded by Viterbi.
 
 Defined cases: null or empty html gives empty text. Unclosed elements last until an enclosing one closes. A page that ends
-inside a tag or comment ends there. Pages without any block give empty text. Very long pages are read whole. Repeated rows
+inside a tag or comment ends there. An element hides its text by its kind (HIDDEN), the attribute `hidden` or display:none in its
+style, and by nothing else; a head ends where the body's first element or text begins. Pages without any block give empty text. Very long pages are read whole. Repeated rows
 give repeated results; other columns are ignored.
 """
 
@@ -22,16 +23,18 @@ from pyspark.sql import DataFrame, SparkSession
 from wordvane.llm.common import in_small_batches
 
 # Fixed values of HTML: elements that flow within a line, void elements, and elements whose content is no page text.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr label ruby rt rp img".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr label ruby rt rp img math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom msub msup msubsup munder mover munderover mmultiscripts mprescripts mtable mtr mtd semantics annotation annotation-xml maction menclose mfenced".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("script style head title template noscript svg math iframe object canvas textarea select option datalist audio video".split())
+HIDDEN = frozenset("script style title template noscript svg iframe object canvas textarea select option datalist audio video".split())
 RAW = frozenset("script style textarea title iframe noscript template svg select".split())
 #: An opening tag of these closes an open element of the same kind, as in HTML.
 SELF_CLOSING = frozenset("p li dt dd option tr td th".split())
 
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
 NAMES = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-HIDES = re.compile(r"(?<![\w-])hidden(?![\w-])|display\s*:\s*none", re.I)
+MAY_HIDE = re.compile("hidden|style", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+CSS_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
 SPLIT_NAMES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 # Words in class, id and role names, by what they tell.
@@ -54,6 +57,27 @@ INDEX = {f: i for i, f in enumerate(FEATURES)}
 LABELS = 2  # 0: other, 1: main text
 
 
+def hides_content(attributes: str) -> bool:
+    """Whether an element has the attribute `hidden`, or display:none in its own style. The first attribute of a name counts."""
+    if not MAY_HIDE.search(attributes):
+        return False
+    style = None
+    for m in ATTRIBUTE.finditer(attributes):
+        name = m[1].lower()
+        if name == "hidden":
+            return True
+        if name == "style" and style is None:
+            style = entities.unescape(m[2] or m[3] or m[4] or "")
+    shown, important = "", False
+    for declaration in CSS_COMMENT.sub("", style or "").split(";"):
+        key, _, value = declaration.partition(":")
+        value, _, mark = value.strip().lower().partition("!")
+        # the last one counts, but for one that is marked as important
+        if key.strip().lower() == "display" and (mark.strip() == "important" or not important):
+            shown, important = value.strip(), mark.strip() == "important"
+    return shown == "none"
+
+
 class Block:
     __slots__ = ("text", "path", "names", "linked")
 
@@ -116,6 +140,8 @@ def blocks(page: str) -> list[Block]:
         inline = name in INLINE
         if not inline:
             close()
+        if name == "head":
+            continue  # what hides there hides by itself; anything else stands in the body, whether head is closed or not
         if closing:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
@@ -139,7 +165,7 @@ def blocks(page: str) -> list[Block]:
             continue
         attributes = m[3]
         names = frozenset(NAME_OF[w] for found in NAMES.findall(attributes) for x in found for w in map(str.lower, SPLIT_NAMES.findall(x)) if w in NAME_OF) if "=" in attributes else frozenset()
-        hides = name in HIDDEN or bool(attributes and HIDES.search(attributes))
+        hides = name in HIDDEN or hides_content(attributes)
         stack.append((name, names, hides))
         hidden += hides
         in_link += name == "a"
