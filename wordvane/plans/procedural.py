@@ -62,8 +62,8 @@ def perturbed(spark, sf_dir):
 
 @query()
 def bootstrap_ci(spark, sf_dir):
-    """Interval of the mean event value by Poisson bootstrap over all rows."""
-    return stats.poisson_bootstrap(table(spark, sf_dir, "events").where("value is not null"), "value", resamples=50)
+    """Interval of the mean event value by Poisson bootstrap over all rows, 10,000 resamples."""
+    return stats.poisson_bootstrap(table(spark, sf_dir, "events").where("value is not null"), "value", resamples=10_000)
 
 
 @query()
