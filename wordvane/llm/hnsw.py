@@ -168,6 +168,20 @@ class Graph:
         return np.zeros((len(queries), 0), int)
 
 
+def may_be_reported(owner: np.ndarray, ids: np.ndarray, top: int) -> np.ndarray:
+    """Of rows in order of (owner, id), those among the first `top` of their owner once all rows of some other id, the query's own, are left out."""
+    sizes = np.bincount(owner)
+    begin = np.cumsum(sizes) - sizes
+    nth = np.arange(len(owner)) - begin[owner]
+    keep = nth < top
+    for k in np.flatnonzero(sizes > top):
+        part = ids[begin[k] : begin[k] + sizes[k]]
+        _, first, times = np.unique(part, return_index=True, return_counts=True)
+        most = np.concatenate([[0], np.maximum.accumulate(times)[:-1]])  # rows of one id that come before, at most
+        keep[begin[k] : begin[k] + sizes[k]] |= np.arange(sizes[k]) - np.repeat(most, times) < top
+    return keep
+
+
 INDEX_SCHEMA = "shard int, dim int, ids binary, owner binary, vectors binary, nodes binary, sizes array<int>, neighbours binary, degree int"
 
 
@@ -185,10 +199,8 @@ def shard_index(vectors: DataFrame, shard_rows: int = SHARD_ROWS, top: int = TOP
         ids, raw = ids[order], raw[order]
         nodes, owner = np.unique(raw, axis=0, return_inverse=True)
         owner = owner.ravel()
-        # the smallest top + 1 ids of each node (one may be the query's own)
         by = np.lexsort((ids, owner))
-        nth = np.arange(len(by)) - np.concatenate([[0], np.cumsum(np.bincount(owner))[:-1]])[owner[by]]
-        by = by[nth <= top]
+        by = by[may_be_reported(owner[by], ids[by], top)]
         mix = np.random.default_rng(5).permutation(len(nodes))  # np.unique sorts; graphs like a mixed order
         place = np.empty_like(mix)
         place[mix] = np.arange(len(mix))
@@ -227,7 +239,8 @@ def search(vectors: DataFrame, is_query: Column, top: int = TOP, ef: int = EF, s
     """query_id, rank, vec_id, score: the nearest found of each query among all vectors but those of its own id. vectors: vec_id, v."""
     clean = staged(vectors)
     index = staged(shard_index(clean, shard_rows, top))
-    queries = clean.where(is_query).withColumn("dim", F.size("v"))
+    # Repeated query rows are searched once; different vectors of one id are queries each.
+    queries = staged(clean.where(is_query).dropDuplicates(["vec_id", "v"]).withColumn("query_no", F.monotonically_increasing_id())).withColumn("dim", F.size("v"))
     blocks = max(1, -(-queries.count() // QUERY_ROWS))
     shards = index.select((F.col("shard") + 0).alias("shard"), (F.col("dim") + 0).alias("dim"))  # columns of their own, as both sides of a join below hold them
     # Each query block meets each shard of its dimension: queries are a stated set, against all rows, in blocks.
@@ -237,11 +250,11 @@ def search(vectors: DataFrame, is_query: Column, top: int = TOP, ef: int = EF, s
     def look(key, qs, graph):
         import pandas as pd
 
-        out = pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+        out = pd.DataFrame({"query_no": [], "query_id": [], "vec_id": [], "score": []}).astype({"query_no": "int64", "query_id": "int64", "vec_id": "int64", "score": "float64"})
         if not len(qs) or not len(graph):
             return out
         ids, owner, nodes, net = read_graph(graph.iloc[0].to_dict())
-        q_ids, q = qs["vec_id"].to_numpy(np.int64), np.stack(qs["v"].to_numpy()).astype(np.float64)
+        numbers, q_ids, q = qs["query_no"].to_numpy(np.int64), qs["vec_id"].to_numpy(np.int64), np.stack(qs["v"].to_numpy()).astype(np.float64)
         flat = np.concatenate([q / np.maximum(np.sqrt((q * q).sum(axis=1, keepdims=True)), 1e-300), np.zeros((len(q), 1))], axis=1).astype(np.float32)
         found = net.search(flat, ef)
         begin = np.searchsorted(owner, np.arange(len(nodes))) if np.all(owner[1:] >= owner[:-1]) else None
@@ -260,11 +273,11 @@ def search(vectors: DataFrame, is_query: Column, top: int = TOP, ef: int = EF, s
             other = v != q_ids[i]
             s, v = s[other], v[other]
             best = np.lexsort((v, -s))[:top]
-            parts.append(pd.DataFrame({"query_id": q_ids[i], "vec_id": v[best], "score": s[best]}))
+            parts.append(pd.DataFrame({"query_no": numbers[i], "query_id": q_ids[i], "vec_id": v[best], "score": s[best]}))
         return pd.concat(parts, ignore_index=True)
 
-    met = dealt.groupBy("shard", "dim", "block").cogroup(graphs.groupBy("shard", "dim", "block")).applyInPandas(look, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    met = dealt.groupBy("shard", "dim", "block").cogroup(graphs.groupBy("shard", "dim", "block")).applyInPandas(look, "query_no long, query_id long, vec_id long, score double")
+    order = Window.partitionBy("query_no").orderBy(F.desc("score"), "vec_id")
     return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
 
 
