@@ -46,6 +46,7 @@ LOOSE = (
     ("id", re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])|\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b")),
 )
 WRITTEN_EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?[\[(] ?at ?[\])] ?[A-Za-z0-9-]{1,63}(?: ?[\[(] ?dot ?[\])] ?[A-Za-z0-9-]{1,63}|\.[A-Za-z0-9-]{1,63}){1,4}", re.I)
+WRITTEN_AT = re.compile(r"[\[(] ?at ?[\])]", re.I)
 TITLES = ("Mr", "Mrs", "Ms", "Dr", "Prof", "Herr", "Frau", "Monsieur", "Madame", "Señor", "Señora")
 TITLED = re.compile(rf"\b(?:{'|'.join(TITLES)})\.? [A-ZÀ-Þ][\w'’-]{{1,30}}(?: [A-ZÀ-Þ][\w'’-]{{1,30}})?")
 
@@ -97,7 +98,7 @@ def loose_spans(text: str) -> list[tuple[str, int, int]]:
     if DIGIT.search(text):
         for kind, pattern in LOOSE:
             out += [(kind, m.start(), m.end()) for m in pattern.finditer(text)]
-    if "at)" in text or "at]" in text or "AT)" in text or "AT]" in text or "at )" in text or "at ]" in text:
+    if WRITTEN_AT.search(text):
         out += [("email", m.start(), m.end()) for m in WRITTEN_EMAIL.finditer(text)]
     if any(t in text for t in TITLES):
         out += [("name", m.start(), m.end()) for m in TITLED.finditer(text)]
