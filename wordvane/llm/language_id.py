@@ -6,7 +6,8 @@ once after training, answer a width of 4 with two look-ups per position. The who
 without overlap; the text's distribution is the softmax of the windows' mean log-probabilities, weighted by their bytes.
 
 Training is numpy on the driver, from a sample of at most SAMPLE rows, spread evenly over the languages and drawn by hash over
-all labelled rows; of each row one window at a hashed place. The sample's size is the bound on what the driver holds.
+all labelled rows; of each row one window at a hashed place. Every label is learned, however rare: with more labels than SAMPLE
+the sample is one row of each. Its size and the number of labels are the bound on what the driver holds.
 
 Defined cases: null texts and texts without a letter are `und` with score 1.0. With no labelled row at all everything is
 `und` with score 0.0. Other columns are ignored, repeated rows give repeated results, no rows give none.
@@ -23,9 +24,8 @@ from wordvane.llm.common import hash01, in_small_batches
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
-#: Rows that the classifier is fitted on, at most, and the languages it tells apart, at most.
+#: Rows that the classifier is fitted on, at most, but for one of each language.
 SAMPLE = 6000
-LANGUAGES = 200
 SHORTEST_TRAINING_BYTES = 8
 EPOCHS = 14
 UNKNOWN = "und"
@@ -36,24 +36,28 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_sample(documents: DataFrame, size: int = SAMPLE) -> list[tuple[str, bytes]]:
-    """(lang, bytes of one window) of at most `size` labelled rows that aren't held out, as many of each language where there are."""
+    """(lang, bytes of one window) of at most `size` labelled rows that aren't held out, as many of each language where there are, one at least."""
     rows = documents.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out(F.col("doc_id"))).select("lang", "text", "doc_id")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not counts:
         return []
-    each = size // len(counts)
-    share = F.lit(0.0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, 1.2 * each / n))).otherwise(share)
+    each = max(1, size // len(counts))
+    most = max(1.2 * each, each + 4 * each**0.5 + 12)
+    shares = rows.sparkSession.createDataFrame([(lang, min(1.0, most / n)) for lang, n in counts.items()], "lang string, share double")
     place = hash01(F.col("doc_id"), seed="place")
     length = F.length("text")
     at = (F.floor(place * F.greatest(F.lit(1), length - F.lit(WINDOW))) + 1).cast("int")
     window = F.substr("text", at, F.lit(WINDOW))
     spot = hash01(F.col("doc_id"), seed="sample")
-    drawn = rows.where(spot < share).select("lang", window.alias("window"), spot.alias("spot"), "doc_id")
+    spots = rows.select("lang", window.alias("window"), spot.alias("spot"), "doc_id")
+    drawn = spots.join(F.broadcast(shares), "lang").where("spot < share")  # a row of a label and a number per language
     taken = {lang: 0 for lang in counts}
     out = []
-    for r in drawn.orderBy("spot", "doc_id", "lang").limit(2 * size).collect():
+    found = drawn.orderBy("spot", "doc_id", "lang").limit(max(2 * size, int(2 * most * len(counts)))).collect()
+    if missed := sorted(set(counts) - {r["lang"] for r in found}):
+        first = spots.join(F.broadcast(rows.sparkSession.createDataFrame([(lang,) for lang in missed], "lang string")), "lang")
+        found += first.groupBy("lang").agg(F.min(F.struct("spot", "doc_id", "window")).alias("r")).select("lang", "r.window").orderBy("lang").collect()
+    for r in found:
         if taken[r["lang"]] < each:
             taken[r["lang"]] += 1
             out.append((r["lang"], r["window"].encode("utf-8", "replace")[:WINDOW]))
@@ -130,7 +134,8 @@ def train(sample: list[tuple[str, bytes]], epochs: int = EPOCHS, seed: int = 7)
     short, so that short texts are met too."""
     rng = np.random.default_rng(seed)
     languages = sorted({lang for lang, _ in sample})
-    y_all = np.array([languages.index(lang) for lang, _ in sample])
+    number = {lang: i for i, lang in enumerate(languages)}
+    y_all = np.array([number[lang] for lang, _ in sample])
     parts = [p for _, p in sample]
     x_all, lengths = window_matrix(parts), np.array([len(p) for p in parts])
     tables = {w: rng.normal(0, 0.1, (w, 256, FILTERS)).astype(np.float32) for w in WIDTHS}
