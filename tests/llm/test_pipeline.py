@@ -1,5 +1,8 @@
 """What the pipeline's stages decide, against brute force."""
 
+import numpy as np
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from wordvane.llm import shingle_join
 
@@ -44,3 +47,36 @@ def test_near_duplicates_clashing_ids(spark):
     want = brute(rows)
     assert {t for _, t in want} >= {A, B, D}
     assert kept_of(spark, rows) == want
+
+
+def test_language_without_labels(spark):
+    rows = [(1, A), (2, None), (3, "12 ?!"), (4, B)]
+    docs = frame_of(spark, rows).withColumn("lang", F.lit(None).cast("string"))
+    assert sorted((r.doc_id, r.text, r.lang) for r in corpus_pipeline.identify_language(spark, docs, "").collect()) == [(1, A, "und"), (4, B, "und")]
+
+
+def fixed(said):
+    """A model that says what its table says; its class goes to the workers by value."""
+
+    class Fixed:
+        pairs = {0: 0}
+
+        def predict(self, texts):
+            out = [said[t.decode()] for t in texts]
+            return [x for x, _ in out], np.array([p for _, p in out])
+
+    return Fixed()
+
+
+def test_language_rejection(spark, monkeypatch):
+    """Two languages: scores are 0.5 at least; held-out rows are wrong up to 0.62 and right above."""
+    said = {f"text {i}": ("en" if i % 400 >= 120 else "de", 0.5 + (i % 400) / 1000) for i in range(2000)} | {"": ("en", 0.0)}
+    model = fixed(said)
+    monkeypatch.setattr(corpus_pipeline.language_id, "fitted", lambda docs: model)
+    docs = frame_of(spark, [(i, f"text {i}") for i in range(2000)])
+    least = corpus_pipeline.least_score(docs, model)
+    assert least == 0.62
+    got = {r.doc_id: r.lang for r in corpus_pipeline.identify_language(spark, docs, "").collect()}
+    assert got == {i: said[f"text {i}"][0] for i in range(2000) if said[f"text {i}"][1] >= least}
+    none = docs.where("doc_id < 0")
+    assert corpus_pipeline.least_score(none, model) == 0.0
