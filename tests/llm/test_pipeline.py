@@ -1,10 +1,13 @@
 """What the pipeline's stages decide, against brute force."""
 
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from wordvane.llm import shingle_join
+from wordvane.llm import language_id, mixing, pii, shingle_join
+from wordvane.llm.common import staged
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -80,3 +83,66 @@ def test_language_rejection(spark, monkeypatch):
     assert got == {i: said[f"text {i}"][0] for i in range(2000) if said[f"text {i}"][1] >= least}
     none = docs.where("doc_id < 0")
     assert corpus_pipeline.least_score(none, model) == 0.0
+
+
+def redacted(rows):
+    """(id, text) with base spans and accepted candidates masked, character by character."""
+    spans = [pii.all_spans(t or "") for _, t in rows]
+    probability = pii.span_classifier(dict(Counter(key for found in spans for *_, key in found)))
+    out = []
+    for (i, t), found in zip(rows, spans, strict=True):
+        text, at = "", 0
+        for s, e, k in sorted((s, e, k) for k, s, e, base, key in found if base or probability[key] >= pii.ACCEPT):
+            while at < s:
+                text, at = text + t[at], at + 1
+            text, at = text + (f"[{k.upper()}]" if s == at else ""), max(at, e)
+        out.append((i, t and text + t[at:]))
+    return out
+
+
+PRIVATE = [(1, "mail bob@example.com or +1 (269) 555-3296"), (2, None), (3, "from 10.0.0.1 card 4111 1111 1111 1111 end"), (4, "nothing here"), (5, "write to bob (At) example (Dot) com now")]
+
+
+def test_redaction(spark):
+    got = corpus_pipeline.redact_personal_data(spark, frame_of(spark, PRIVATE), "").collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(redacted(PRIVATE), key=str)
+    assert all(r.n_chars == len(r.text) for r in got if r.text is not None)
+
+
+def mix_of(spark, frame):
+    """(id, words) of every copy that the mix takes, from the words taken of each row."""
+    texts = {r.doc_id: r.text for r in frame.collect()}
+    out = []
+    for r in mixing.mixed(frame).collect():
+        words = texts[r.doc_id].split()
+        out += [(r.doc_id, words)] * (r.taken // r.size) + [(r.doc_id, words[: r.taken % r.size])] * (r.taken % r.size > 0)
+    return sorted(out)
+
+
+def test_mixing_and_packing(spark):
+    frame = spark.createDataFrame([(i, prose(i, 10 + i % 30), "en", "abc"[i % 3], 9) for i in range(60)], DOCUMENTS)
+    mixed = staged(corpus_pipeline.mix_sources(spark, frame, ""))
+    assert sorted((r.doc_id, r.text.split()) for r in mixed.collect()) == mix_of(spark, frame)
+    pieces = corpus_pipeline.pack_sequences(spark, mixed, "").collect()
+    assert Counter(r.doc_id for r in pieces if r.piece == 0) == Counter(r.doc_id for r in mixed.collect())
+
+
+def test_run(spark, tmp_path):
+    some = np.random.default_rng(5)
+    words = {"en": "the quick fox and a lazy dog go over that old hill with their friends".split(), "de": "der schnelle fuchs und ein fauler hund gehen über den alten hügel mit ihren freunden".split()}
+    rows = [(i, " ".join(some.choice(words[lang], 30)), lang, "ab"[i % 2]) for i in range(120) for lang in ("en" if i % 3 else "de",)]
+    rows += [(200, rows[0][1], "de", "a"), (rows[7][0], rows[3][1] + " x", "en", "b"), (201, "12 ?!", "en", "a"), (202, None, "de", "b"), (203, "please write the old friends at bob@example.com and go with them", "en", "a")]
+    docs = spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], DOCUMENTS)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    model = language_id.fitted(docs)
+    least = corpus_pipeline.least_score(docs, model)
+    model.prepare()
+    _, score = model.predict([(t or "").encode() for _, t, *_ in rows])
+    told = [(i, t) for (i, t, *_), p in zip(rows, score, strict=True) if t and any(c.isalpha() for c in t) and p >= least]
+    source = {(i, t): s for i, t, _, s in rows}
+    kept = brute(told)
+    clean = [(i, t, "en", source[old], len(t)) for (i, t), old in zip(redacted(kept), kept, strict=True)]
+    frame = spark.createDataFrame(clean, DOCUMENTS)
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert len(kept) > 100 and Counter(r.doc_id for r in got if r.piece == 0) == Counter(i for i, _ in mix_of(spark, frame))
