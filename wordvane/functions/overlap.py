@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from wordvane.functions.text import words
+
 VOWELS = "aeiou"
 
 
@@ -134,17 +136,6 @@ def char_ratio(a: str, b: str) -> float:
     return round(difflib.SequenceMatcher(None, (a or "").lower(), (b or "").lower()).ratio(), 4)
 
 
-def word_edits(a: str, b: str) -> int:
-    """Levenshtein distance of word lists."""
-    x, y = (a or "").split(), (b or "").split()
-    row = list(range(len(y) + 1))
-    for i, w in enumerate(x, 1):
-        previous, row[0] = row[0], i
-        for j, v in enumerate(y, 1):
-            previous, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, previous + (w != v))
-    return row[-1]
-
-
 def _metrics(response: pd.Series, reference: pd.Series) -> pd.DataFrame:
     rows = []
     for a, b in zip(response.fillna(""), reference.fillna(""), strict=True):
@@ -158,10 +149,6 @@ def _rouge_l(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([rouge_l(rouge_tokens(x), rouge_tokens(y)) for x, y in zip(a.fillna(""), b.fillna(""), strict=True)], dtype="float64")
 
 
-def _edits(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([word_edits(x, y) for x, y in zip(a.fillna(""), b.fillna(""), strict=True)], dtype="int32")
-
-
 # UDFs are made at each use: executors import this module without a session.
 def eval_metrics(response: Column, reference: Column) -> Column:
     """struct of all pair metrics; each text is tokenised once. Blank responses have 0 everywhere."""
@@ -173,4 +160,14 @@ def rouge_l_score(a: Column, b: Column) -> Column:
 
 
 def word_levenshtein(a: Column, b: Column) -> Column:
-    return F.pandas_udf(_edits, "int")(a, b)
+    """Levenshtein distance of word lists, by the built-in one of characters: each different word of a pair becomes a character of its own, by its
+    place among them; a pair may hold a million different words."""
+    x, y = words(a), words(b)
+    met = F.array_union(x, y)
+
+    def letter(w: Column) -> Column:
+        at = F.array_position(met, w) + 0xFF
+        code = F.when(at >= 0xD800, at + 0x800).otherwise(at)  # not the halves of surrogate pairs
+        return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+
+    return F.levenshtein(F.array_join(F.transform(x, letter), ""), F.array_join(F.transform(y, letter), ""))

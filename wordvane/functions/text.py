@@ -15,7 +15,8 @@ def words(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    return F.size(words(text))
+    """Number of words, counted without making them."""
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"\S+"))
 
 
 def tokens(text: Column) -> Column:
@@ -103,14 +104,24 @@ def constraints(prompt: Column) -> Column:
     )
 
 
+def is_list(response: Column) -> Column:
+    """Whether a line starts with a list marker."""
+    return response.rlike(r"(^|\n)(\s*[-*•]\s|\s*[0-9]+\.\s)")
+
+
 def compliance(response: Column, asked: Column) -> Column:
     """Mean compliance with what is asked for; 1 where nothing is."""
-    n, limit = word_count(response).cast("double"), asked["word_limit"].cast("double")
+    return compliance_of(word_count(response), is_list(response), asked)
+
+
+def compliance_of(words: Column, listed: Column, asked: Column) -> Column:
+    """compliance() of a response of so many words that is a list or isn't: where one response meets many prompts it is read once."""
+    n, limit = words.cast("double"), asked["word_limit"].cast("double")
     parts = F.array_compact(
         F.array(
             F.when(limit.isNotNull(), F.when(n <= limit * 1.1, 1.0).when(limit == 0, 0.0).otherwise(F.greatest(F.lit(0.0), 1 - F.try_divide(n - limit, limit)))),
             F.when(asked["length"] == "short", F.when(n < 100, 1.0).otherwise(0.5)).when(asked["length"] == "long", F.when(n >= 50, 1.0).otherwise(0.5)),
-            F.when(asked["format"] == "list", F.when(response.rlike(r"(^|\n)(\s*[-*•]\s|\s*[0-9]+\.\s)"), 1.0).otherwise(0.0)),
+            F.when(asked["format"] == "list", F.when(listed, 1.0).otherwise(0.0)),
         )
     )
     return F.when(F.size(parts) == 0, 1.0).otherwise(F.aggregate(parts, F.lit(0.0), lambda a, x: a + x) / F.size(parts))

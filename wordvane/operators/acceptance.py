@@ -2,47 +2,34 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from wordvane.functions import fixed
-from wordvane.functions.text import signature, tokens, word_count
+from wordvane.functions.text import jaccard, signature, tokens, word_count
 
 
-def greedy_accept(candidates: DataFrame, most: int = 4, overlap: float = fixed.OVERLAP_MOST, per_strategy: int = fixed.PER_STRATEGY) -> DataFrame:
+def greedy_accept(candidates: DataFrame, most: int = 4, overlap: float = fixed.OVERLAP_MOST, per_strategy: int = fixed.PER_STRATEGY, key: str = "instance") -> DataFrame:
     """instance, attempt, strategy, variant_idx of the accepted candidates. candidates: instance, attempt, strategy, base, text.
 
     In order of attempt a candidate is taken unless `most` are, its strategy has its cap, it is short, a copy of the base, has a
-    signature seen among the accepted, or overlaps the base or an accepted one too much. Tokens and signatures are made by
-    built-in functions before the groups are dealt; a group is one instance's candidates.
+    signature seen among the accepted, or overlaps the base or an accepted one too much. What a candidate fails by itself is left out
+    before the groups are made; the rest is one fold over an instance's candidates in order, whose state holds the accepted ones only.
+    With a key that is the same for several instances they share this state: a pool of candidates that is filtered as one.
     """
-    from pyspark.sql import functions as F
-
     ready = candidates.select(
-        "instance", "attempt", "strategy", F.array_distinct(tokens(F.col("text"))).alias("words"), F.array_distinct(tokens(F.col("base"))).alias("base_words"),
-        signature(F.col("text")).alias("sig"), (word_count(F.col("text")) >= fixed.LEAST_WORDS).alias("long_enough"), (F.lower(F.trim("text")) == F.lower(F.trim("base"))).alias("copy"),
+        key, "attempt", "strategy", F.array_distinct(tokens(F.col("text"))).alias("words"), F.array_distinct(tokens(F.col("base"))).alias("base_words"),
+        signature(F.col("text")).alias("sig"), word_count(F.col("text")).alias("n"), (F.lower(F.trim("text")) == F.lower(F.trim("base"))).alias("copy"),
     )
-
-    def jac(a: set, b: set) -> float:
-        return len(a & b) / len(a | b) if a and b else 0.0
-
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        taken: list[set] = []
-        seen: set[str] = set()
-        used: dict[str, int] = {}
-        rows = []
-        for r in frame.sort_values("attempt").itertuples():
-            if len(taken) == most:
-                break
-            words = set(r.words)
-            if used.get(r.strategy, 0) >= per_strategy or not r.long_enough or r.copy or r.sig in seen:
-                continue
-            if jac(words, set(r.base_words)) > overlap or any(jac(words, t) > overlap for t in taken):
-                continue
-            rows.append((r.instance, r.attempt, r.strategy, len(taken)))
-            taken.append(words)
-            seen.add(r.sig)
-            used[r.strategy] = used.get(r.strategy, 0) + 1
-        return pd.DataFrame(rows, columns=["instance", "attempt", "strategy", "variant_idx"])
-
-    return ready.groupBy("instance").applyInPandas(fold, "instance long, attempt long, strategy string, variant_idx int")
+    ready = ready.where((F.col("n") >= fixed.LEAST_WORDS) & ~F.col("copy") & (jaccard(F.col("words"), F.col("base_words")) <= overlap))
+    row = F.struct("attempt", "strategy", "sig", "words")
+    kind = "array<struct<attempt:bigint,strategy:string,sig:string,words:array<string>>>"
+
+    def step(taken: Column, x: Column) -> Column:
+        same = F.size(F.filter(taken, lambda t: t["strategy"].eqNullSafe(x["strategy"])))
+        met = F.exists(taken, lambda t: (t["sig"] == x["sig"]) | (jaccard(t["words"], x["words"]) > overlap))
+        return F.when((F.size(taken) < most) & (same < per_strategy) & ~met, F.concat(taken, F.array(x))).otherwise(taken)
+
+    grouped = ready.groupBy(key).agg(F.array_sort(F.collect_list(row)).cast(kind).alias("rows"))
+    taken = grouped.select(key, F.posexplode(F.aggregate("rows", F.array().cast(kind), step)).alias("variant_idx", "r"))
+    return taken.select(key, F.col("r.attempt").alias("attempt"), F.col("r.strategy").alias("strategy"), "variant_idx")

@@ -176,12 +176,12 @@ def longest_sample(spark, sf_dir):
 
 
 @query(f"""with {EXCHANGES},
-s as (select conv_id, pos, regexp_extract(answer, '([0-9])', 1) as d, lower(answer) as low from x)
+s as (select conv_id, pos, regexp_extract(answer, '([0-9])', 1) as d, lower(answer) as low from x where trim(coalesce(answer, '')) <> '')
 select conv_id, round(avg(case when d <> '' then d::double / 5 else 0.5 end), 6) as human_score,
  round(avg(case when contains(low, 'entailment') then 1.0 when contains(low, 'neutral') then 0.5 when contains(low, 'contradiction') then 0.0 else 0.5 end), 6) as faithfulness from s group by conv_id""")
 def judge_scores(spark, sf_dir):
-    """Scores parsed from judges' raw outputs."""
-    x = exchanges(spark, sf_dir)
+    """Scores parsed from judges' raw outputs; blank ones don't count."""
+    x = exchanges(spark, sf_dir).where(F.trim(F.coalesce("answer", F.lit(""))) != "")
     return x.groupBy("conv_id").agg(F.round(F.avg(text.judge_score(F.col("answer"))), 6).alias("human_score"), F.round(F.avg(text.entailment_score(F.col("answer"))), 6).alias("faithfulness"))
 
 
@@ -195,14 +195,14 @@ def exact_match(spark, sf_dir):
 
 
 @query("""with t as (select conv_id, turn, role, md5(lower(trim(text))) as norm from conversations where text is not null),
-c as (select role, norm, count(*) as n, min(conv_id * 1000 + turn) as first from t group by role, norm),
+c as (select role, norm, count(*) as n, min(row(conv_id, turn)) as first from t group by role, norm),
 r as (select role, norm, n, first, row_number() over (partition by role order by n desc, first) as k from c)
 select role, norm as answer_md5, n as votes from r where k = 1""")
 def majority_vote(spark, sf_dir):
     """A10: the most common normalised answer, the first met of equals."""
     t = turns(spark, sf_dir).where("text is not null").withColumn("norm", F.md5(F.lower(F.trim("text"))))
-    c = t.groupBy("role", "norm").agg(F.count(F.lit(1)).alias("n"), F.min(F.col("conv_id") * 1000 + F.col("turn")).alias("first"))
-    return c.groupBy("role").agg(F.max_by(F.struct("norm", "n"), F.struct("n", -F.col("first"))).alias("best")).select("role", F.col("best.norm").alias("answer_md5"), F.col("best.n").alias("votes"))
+    c = t.groupBy("role", "norm").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("conv_id", "turn")).alias("first"))
+    return c.groupBy("role").agg(F.max_by(F.struct("norm", "n"), F.struct("n", -F.col("first.conv_id"), -F.col("first.turn"))).alias("best")).select("role", F.col("best.norm").alias("answer_md5"), F.col("best.n").alias("votes"))
 
 
 # Gates take a candidate (a later turn) against its base (the first turn).
@@ -231,7 +231,7 @@ f as (select conv_id, null::bigint as turn, 'Q01' as check_id, 'warning' as seve
  union all select conv_id, turn, 'Q04', 'warning' from v where n < 5 or n > 3 * nb
  union all select conv_id, turn, 'Q05', 'warning' from v where trim(text) = trim(base)
  union all select conv_id, turn, 'Q06', 'warning' from v where not contains('Reply: ' || text, text) or (contains('Reply: ' || text, base) and trim(text) <> trim(base))
- union all select conv_id, null, 'Q07', 'error' from b where trim(coalesce(base, '')) = '')
+ union all select conv_id, null, 'Q07', 'warning' from b where trim(coalesce(base, '')) = '')
 select * from f""")
 def quality_findings(spark, sf_dir):
     """Q01, Q04 to Q07: findings of the variants of each conversation against its first turn."""
@@ -246,7 +246,7 @@ def quality_findings(spark, sf_dir):
         )
     )
     found = v.select("conv_id", "turn", F.explode(checks).alias("check_id"), F.lit("warning").alias("severity"))
-    whole = F.array_compact(F.array(F.when(F.col("k") - 1 != 4, F.struct(F.lit("Q01").alias("c"), F.lit("warning").alias("s"))), F.when(F.trim(F.coalesce("base", F.lit(""))) == "", F.struct(F.lit("Q07").alias("c"), F.lit("error").alias("s")))))
+    whole = F.array_compact(F.array(F.when(F.col("k") - 1 != 4, F.struct(F.lit("Q01").alias("c"), F.lit("warning").alias("s"))), F.when(F.trim(F.coalesce("base", F.lit(""))) == "", F.struct(F.lit("Q07").alias("c"), F.lit("warning").alias("s")))))
     more = base.select("conv_id", F.lit(None).cast("long").alias("turn"), F.explode(whole).alias("x")).select("conv_id", "turn", F.col("x.c").alias("check_id"), F.col("x.s").alias("severity"))
     return found.unionByName(more)
 
@@ -254,13 +254,30 @@ def quality_findings(spark, sf_dir):
 @query(f"""with b as (select conv_id, arg_min(text, turn) as base, min(turn) as t0, count(*) as k from conversations group by conv_id),
 v as (select c.conv_id, c.turn, c.text, b.base, len({WORDS.format('c.text')}) as n, len({WORDS.format('b.base')}) as nb from conversations c join b on c.conv_id = b.conv_id and c.turn > b.t0),
 f as (select 'Q01' as check_id, 'warning' as severity from b where k - 1 <> 4 union all select 'Q04', 'warning' from v where n < 5 or n > 3 * nb union all select 'Q05', 'warning' from v where trim(text) = trim(base)
- union all select 'Q06', 'warning' from v where contains('Reply: ' || text, base) and trim(text) <> trim(base) union all select 'Q07', 'error' from b where trim(coalesce(base, '')) = '')
+ union all select 'Q06', 'warning' from v where contains('Reply: ' || text, base) and trim(text) <> trim(base) union all select 'Q07', 'warning' from b where trim(coalesce(base, '')) = '')
 select check_id, severity, count(*) as n, severity <> 'error' as passed from f group by all""")
 def quality_report(spark, sf_dir):
     """Q08: findings by check; errors fail."""
     return quality_findings(spark, sf_dir).groupBy("check_id", "severity").agg(F.count(F.lit(1)).alias("n")).withColumn("passed", F.col("severity") != "error")
 
 
+#: Messages that a report lists of each check; all are counted.
+MESSAGES = 50
+
+
+@query(f"""with b as (select conv_id, arg_min(text, turn) as base, min(turn) as t0 from conversations group by conv_id),
+v as (select c.conv_id, c.turn, len({WORDS.format('c.text')}) as n, len({WORDS.format('b.base')}) as nb, trim(c.text) = trim(b.base) as copy from conversations c join b on c.conv_id = b.conv_id and c.turn > b.t0),
+f as (select conv_id, turn, 'Q04' as check_id from v where n < 5 or n > 3 * nb union all select conv_id, turn, 'Q05' from v where copy),
+r as (select *, row_number() over (partition by check_id order by conv_id, turn) as nth, count(*) over (partition by check_id) as total from f)
+select check_id, nth::integer as nth, conv_id, turn, total from r where nth <= 50""")
+def report_messages(spark, sf_dir):
+    """The first fifty messages of each check on variants, with the number of all."""
+    f = quality_findings(spark, sf_dir).where(F.col("check_id").isin("Q04", "Q05"))
+    total = f.groupBy("check_id").agg(F.count(F.lit(1)).alias("total"))
+    first = f.withColumn("nth", F.row_number().over(Window.partitionBy("check_id").orderBy("conv_id", "turn"))).where(F.col("nth") <= MESSAGES)  # limited per task first
+    return first.join(total, "check_id").select("check_id", "nth", "conv_id", "turn", "total")
+
+
 @query(f"""with {EXCHANGES},
 e as (select conv_id, pos, list_distinct(list_filter(regexp_extract_all(question, '([\\p{{L}}\\p{{N}}_]+)', 1), lambda w: regexp_matches(w, '^[A-Z][A-Za-z0-9]+$'))) as er, list_distinct(list_filter(regexp_extract_all(answer, '([\\p{{L}}\\p{{N}}_]+)', 1), lambda w: regexp_matches(w, '^[A-Z][A-Za-z0-9]+$'))) as ea, len({WORDS.format('question')})::double as nr, len({WORDS.format('answer')})::double as na from x),
 s as (select *, case when len(er) = 0 then 1.0 else len(list_intersect(er, ea))::double / len(er) end as coverage, case when nr = 0 then 1.0 when na = 0 then 0.0 when na / nr < 0.5 then na / nr / 0.5 when na / nr <= 2 then 1.0 else greatest(0.0, 1 - (na / nr - 2) / 2) end as adequacy from e),

@@ -39,7 +39,7 @@ def composites(g: DataFrame, weights=fixed.PRI_WEIGHTS) -> DataFrame:
     })
     g = g.withColumns({"d_pri": scores.diagnostic_pri(c("d_ori"), c("d_ifi")), "final": scores.final_static(c("pri"), c("human")), "usd": scores.usd(c("pri"), c("human")), "ipri": scores.ipri(c("pri"), c("cs")), "confidence": scores.confidence(c("sms"), c("cs"), c("faithfulness"))})
     g = g.withColumns({"final_dynamic": scores.final_dynamic(c("pri"), c("human"), c("usd")), "diagnosis": scores.diagnosis(c("d_ori"), c("d_ifi")), "reliability": scores.reliability(c("pri"))})
-    return g.withColumn("attribution", scores.attribution([c("sms"), c("auc_e"), c("kpig")], [c("trd")]))
+    return g.withColumn("attribution", scores.attribution([c("sms"), c("auc_e"), c("kpig")], [c("trd"), c("ppl_var"), c("bf")]))
 
 
 def _c(x: str) -> str:
@@ -53,7 +53,7 @@ i as (select *, case when s1 <= 0 or s2 <= 0 or s3 <= 0 or s4 <= 0 then 0.0 else
 j as (select *, case when d_ori <= 0 or d_ifi <= 0 then 0.0 else {_c('1.0 / (0.5 / d_ori + 0.5 / d_ifi)')} end as d_pri, {_c('0.6 * pri + 0.4 * human')} as final, {_c('(1 - least(0.7, 0.4 + 0.3 * usd)) * pri + least(0.7, 0.4 + 0.3 * usd) * human')} as final_dynamic, {_c('pri * cs')} as ipri, (sms + cs + faithfulness) / 3 as confidence,
  case when d_ori >= 0.7 and d_ifi >= 0.7 then 'Robust' when d_ori >= 0.7 then 'Externally Stable / Internally Fragile' when d_ifi >= 0.7 then 'Internally Stable / Output-Sensitive' else 'Fragile' end as diagnosis,
  case when pri >= 0.7 then 'Robust' when pri >= 0.5 then 'Moderate' else 'Unreliable' end as reliability,
- least(s1, s2, s3, {_c('1 - trd')}) as lo, greatest(s1, s2, s3, {_c('1 - trd')}) as hi, (s1 + s2 + s3 + {_c('1 - trd')}) / 4 as mean from i),
+ least(s1, s2, s3, {_c('1 - trd')}, {_c('1 - ppl_var')}, {_c('1 - bf')}) as lo, greatest(s1, s2, s3, {_c('1 - trd')}, {_c('1 - ppl_var')}, {_c('1 - bf')}) as hi, (s1 + s2 + s3 + {_c('1 - trd')} + {_c('1 - ppl_var')} + {_c('1 - bf')}) / 6 as mean from i),
 k as (select *, case when lo >= 0.65 then 'True Robustness' when lo < 0.2 then 'Evaluation Artifact' when mean >= 0.55 and hi - lo > 0.35 then 'Stochastic Luck' else 'Knowledge Boundary' end as attribution from j)"""
 MEANS = ("pri", "ori", "ifi", "d_ori", "d_ifi", "d_pri", "final", "final_dynamic", "usd", "ipri", "confidence", "sms", "cs", "faithfulness", "trd")
 
@@ -107,13 +107,22 @@ def score_aggregators(spark, sf_dir):
     return scored(spark, sf_dir).groupBy("model").agg(*agg, F.round(F.avg(scores.harmonic_skipping(F.array(*v))), 3).alias("skipping"))
 
 
-@query(f"""with {SCORED}, p as (select *, case when bf > 0 then 1 - ppl_var / bf else 0.0 end as red from g), s as (select model, instance, round(1 / (1 + ppl_var), 4) as a, round(least(1.0, greatest(0.0, 1 - trd)), 4) as b, red from p),
-h as (select *, case when a > 1e-9 and b > 1e-9 then round(2 / (1 / a + 1 / b), 4) when a > 1e-9 then a else b end as ori from s) select model, round(avg(ori), 4) as mean_ori, round(avg(red), 6) as mean_reduction, case when avg(ori) >= 0.7 then 'Evaluation Artifact' else 'Knowledge Boundary' end as diagnosis from h group by model""")
+def _harmonic2(x: str, y: str) -> str:
+    return f"case when {x} > 1e-9 and {y} > 1e-9 then round(2 / (1 / {x} + 1 / {y}), 4) when {x} > 1e-9 then {x} else {y} end"
+
+
+@query(f"""with {SCORED}, p as (select *, case when bf > 0 then 1 - ppl_var / bf else 0.0 end as red from g),
+s as (select model, instance, round(1 / (1 + ppl_var), 4) as a, round(least(1.0, greatest(0.0, 1 - trd)), 4) as b, round(exp(-0.5 * ppl_var), 4) as c, round(exp(-0.5 * bf), 4) as d, red from p),
+h as (select *, {_harmonic2('a', 'b')} as ori, {_harmonic2('c', 'd')} as ifi from s), i as (select *, {_harmonic2('ori', 'ifi')} as pri from h)
+select model, round(avg(ori), 4) as mean_ori, round(avg(ifi), 4) as mean_ifi, round(avg(pri), 4) as mean_pri, round(avg(red), 6) as mean_reduction,
+ case when avg(ori) >= 0.7 and avg(ifi) >= 0.7 then 'True Robustness' when avg(ori) >= 0.7 then 'Evaluation Artifact' when avg(ifi) >= 0.7 then 'Stochastic Luck' else 'Knowledge Boundary' end as diagnosis from i group by model""")
 def light_composites(spark, sf_dir):
-    """C26, M08, light diagnosis."""
-    g = scored(spark, sf_dir).select("model", F.round(1 / (1 + F.col("ppl_var")), 4).alias("a"), F.round(scores.clamp01(1 - F.col("trd")), 4).alias("b"), scores.safe_reduction(F.col("ppl_var"), F.col("bf")).alias("red"))
-    g = g.withColumn("ori", scores.harmonic_skipping(F.array("a", "b")))
-    return g.groupBy("model").agg(F.round(F.avg("ori"), 4).alias("mean_ori"), F.round(F.avg("red"), 6).alias("mean_reduction"), scores.diagnosis_light(F.avg("ori"), F.lit(0.0)).alias("diagnosis"))
+    """C26, M03, M07, M08, light diagnosis: external, internal and whole scores as harmonic means that skip absent parts."""
+    c, r = F.col, lambda x: F.round(x, 4)
+    g = scored(spark, sf_dir).select("model", r(1 / (1 + c("ppl_var"))).alias("a"), r(scores.clamp01(1 - c("trd"))).alias("b"), r(F.exp(-0.5 * c("ppl_var"))).alias("c"), r(F.exp(-0.5 * c("bf"))).alias("d"), scores.safe_reduction(c("ppl_var"), c("bf")).alias("red"))
+    g = g.withColumn("ori", scores.harmonic_skipping(F.array("a", "b"))).withColumn("ifi", scores.harmonic_skipping(F.array("c", "d"))).withColumn("pri", scores.harmonic_skipping(F.array("ori", "ifi")))
+    mean = lambda k: r(F.avg(k)).alias(f"mean_{k}")
+    return g.groupBy("model").agg(mean("ori"), mean("ifi"), mean("pri"), F.round(F.avg("red"), 6).alias("mean_reduction"), scores.diagnosis_light(F.avg("ori"), F.avg("ifi")).alias("diagnosis"))
 
 
 @query(f"""with {SCORED}, c as (select c.g, s.model, avg(abs(s.pri0 - c.g)) as v from (select model, 0.4 * sms + 0.6 * cs as pri0 from g) s, (select unnest([0.25, 0.5, 0.75]) as g) c group by all), r as (select model, g::double as g, row_number() over (partition by model order by v, g) as k from c) select model, g as chosen from r where k = 1""")
@@ -184,28 +193,96 @@ def layer_distribution(spark, sf_dir):
     return ell.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("ell"), 6).alias("mean"), F.round(F.stddev_pop("ell"), 6).alias("std"), F.min("ell").alias("least"), F.max("ell").alias("most"), F.round(F.try_divide(F.stddev_pop("ell"), F.avg("ell")), 6).alias("cv"))
 
 
-TOKENS_OF = """t as (select user_id as inst, event_type as variant, row_number() over (partition by user_id, event_type order by ts, event_id) - 1 as pos, case when value > 1e300 then null else value end as ppl, event_type || (event_id % 7) as tok from events),
+# Words that stand at positions of the layer table: stop words, punctuation and content.
+SHOWN = ("the", "price", "of", "market", "!!", "share", "and")
+STOPS = ", ".join(f"'{w}'" for w in fixed.ANCHOR_STOP_WORDS)
+TOKENS_OF = f"""t as (select user_id as inst, event_type as variant, row_number() over (partition by user_id, event_type order by ts, event_id) - 1 as pos, case when isfinite(value) then value end as ppl, ([{', '.join(f"'{w}'" for w in SHOWN)}])[event_id % 7 + 1] as tok from events),
 n as (select inst, min(k) as n from (select inst, variant, count(*) as k from t group by all) group by inst),
-a as (select t.inst, t.pos, avg(ppl) as m, var_samp(ppl) as v, min(n.n) as n, bool_or(ppl is null or isnan(ppl)) as bad from t join n on t.inst = n.inst and t.pos < n.n group by all),
-k as (select *, row_number() over (partition by inst order by case when bad then 1.797e308 else m end, pos) + row_number() over (partition by inst order by case when bad or v is null then 1.797e308 else v end, pos) - 2 as stab from a),
-r as (select *, row_number() over (partition by inst order by bad, pos % 3 = 0, stab, pos) as nth, greatest(1, least(round_even(n * 30 / 100.0, 0)::bigint, n // 2)) as target from k)"""
+a as (select t.inst, t.pos, avg(ppl) as m, var_samp(ppl) as v, min(n.n) as n, bool_or(ppl is null) as bad, arg_min(tok, variant) as tok from t join n on t.inst = n.inst and t.pos < n.n group by all),
+k as (select *, row_number() over (partition by inst order by case when bad then 1.797e308 else m end, pos) + row_number() over (partition by inst order by case when bad or v is null then 1.797e308 else v end, pos) - 2 as stab, lower(trim(tok)) not in ({STOPS}) and not regexp_matches(tok, '^[[:punct:]]+$') as content from a),
+r as (select *, row_number() over (partition by inst order by bad, not content, stab, pos) as nth, greatest(1, least(round_even(n * 30 / 100.0, 0)::bigint, n // 2)) as target from k)"""
 
 
-@query(f"with {TOKENS_OF} select inst, pos, stab, target from r where nth <= target")
-def anchors(spark, sf_dir):
-    """The most stable 30 % of aligned positions, content ones first, bad ones last. Every third position counts as a stop word here."""
+def aligned_positions(spark, sf_dir) -> DataFrame:
+    """inst, pos, m, v, n, bad, content of the positions that all variants of an instance have: mean and variance over variants, non-finite values masked."""
     place = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
-    t = table(spark, sf_dir, "events").select(F.col("user_id").alias("inst"), F.col("event_type").alias("variant"), (F.row_number().over(place) - 1).cast("long").alias("pos"), F.when(F.col("value") > 1e300, None).otherwise(F.col("value")).alias("ppl"))
+    finite = ~F.isnan("value") & (F.abs("value") < float("inf"))
+    word = F.element_at(F.array(*[F.lit(w) for w in SHOWN]), (F.col("event_id") % len(SHOWN) + 1).cast("int"))
+    t = table(spark, sf_dir, "events").select(F.col("user_id").alias("inst"), F.col("event_type").alias("variant"), (F.row_number().over(place) - 1).cast("long").alias("pos"), F.when(finite, F.col("value")).alias("ppl"), word.alias("tok"))
     n = t.groupBy("inst", "variant").agg(F.count(F.lit(1)).alias("k")).groupBy("inst").agg(F.min("k").alias("n"))
-    a = t.join(n, "inst").where("pos < n").groupBy("inst", "pos").agg(F.avg("ppl").alias("m"), F.var_samp("ppl").alias("v"), F.min("n").alias("n"), F.bool_or(F.col("ppl").isNull() | F.isnan("ppl")).alias("bad"))
-    worst = F.lit(1.797e308)
+    a = t.join(n, "inst").where("pos < n").groupBy("inst", "pos").agg(F.avg("ppl").alias("m"), F.var_samp("ppl").alias("v"), F.min("n").alias("n"), F.bool_or(F.col("ppl").isNull()).alias("bad"), F.min_by("tok", "variant").alias("tok"))
+    return a.withColumn("content", ~F.lower(F.trim("tok")).isin(*fixed.ANCHOR_STOP_WORDS) & ~F.col("tok").rlike(r"^\p{Punct}+$"))
+
+
+@query(f"with {TOKENS_OF} select inst, pos, stab, target from r where nth <= target")
+def anchors(spark, sf_dir):
+    """The most stable 30 % of aligned positions, content words first, masked ones last."""
+    a, worst = aligned_positions(spark, sf_dir), F.lit(1.797e308)
     by = lambda c: F.row_number().over(Window.partitionBy("inst").orderBy(c, "pos"))
     a = a.withColumn("stab", (by(F.when(F.col("bad"), worst).otherwise(F.col("m"))) + by(F.when(F.col("bad") | F.col("v").isNull(), worst).otherwise(F.col("v"))) - 2).cast("long"))
-    nth = F.row_number().over(Window.partitionBy("inst").orderBy("bad", F.col("pos") % 3 == 0, "stab", "pos"))
+    nth = F.row_number().over(Window.partitionBy("inst").orderBy("bad", ~F.col("content"), "stab", "pos"))
     target = F.greatest(F.lit(1), F.least(F.bround(F.col("n") * 30 / 100.0, 0).cast("long"), F.floor(F.col("n") / 2)))
     return a.withColumn("nth", nth).withColumn("target", target.cast("long")).where("nth <= target").select("inst", "pos", "stab", "target")
 
 
+@query(f"with {TOKENS_OF} select inst, pos, round(m, 6) as mean, round(v, 6) as variance from a where m < 50 and v < 900")
+def threshold_anchors(spark, sf_dir):
+    """Positions whose mean and variance over variants lie under thresholds."""
+    return aligned_positions(spark, sf_dir).where("m < 50 and v < 900").select("inst", "pos", F.round("m", 6).alias("mean"), F.round("v", 6).alias("variance"))
+
+
+# Re-aggregation of stored scores: every seventh instance lacks its consistency, every eleventh its faithfulness.
+CUSTOM_WEIGHTS = (0.5, 0.3, 0.1)
+STORED = f"""{SCORED}, q as (select model, instance, case when instance % 7 = 0 then null else sms end as sms, cs, case when instance % 11 = 0 then null else faithfulness end as faithfulness, avg_length, human from g)"""
+
+
+def stored_scores(spark, sf_dir) -> DataFrame:
+    g, c = scored(spark, sf_dir), F.col
+    return g.select("model", "instance", F.when(c("instance") % 7 != 0, c("sms")).alias("sms"), "cs", F.when(c("instance") % 11 != 0, c("faithfulness")).alias("faithfulness"), "avg_length", "human")
+
+
+@query(f"""with {STORED}, p as (select *, {_c(f"(0.5 * {_c('coalesce(sms, 0)')} + 0.3 * {_c('coalesce(cs, 0)')} + 0.1 * {_c('coalesce(faithfulness, 0)')}) * case when avg_length < 12 then 0.85 else 1.0 end")} as pri from q)
+select model, count(*) as n_samples, round(sum(coalesce(sms, 0)) / count(*), 4) as sms, round(sum(coalesce(cs, 0)) / count(*), 4) as cs, round(sum(coalesce(faithfulness, 0)) / count(*), 4) as faithfulness, round(avg(pri), 4) as pri, round(avg({_c('0.6 * pri + 0.4 * human')}), 4) as final, abs(0.5 + 0.3 + 0.1 - 1) > 1e-6 as weights_warning from p group by model""")
+def reaggregated(spark, sf_dir):
+    """Composites of stored scores recomputed with custom weights; a missing metric counts as 0, and weights that don't sum to 1 are flagged."""
+    zero = lambda k: F.coalesce(F.col(k), F.lit(0.0))
+    q = stored_scores(spark, sf_dir).select("model", "avg_length", "human", *[zero(k).alias(k) for k in ("sms", "cs", "faithfulness")])
+    q = q.withColumn("pri", scores.pri(F.col("sms"), F.col("cs"), F.col("faithfulness"), F.col("avg_length"), CUSTOM_WEIGHTS))
+    mean = lambda c, name: F.round(F.avg(c), 4).alias(name)
+    return q.groupBy("model").agg(F.count(F.lit(1)).alias("n_samples"), *[mean(k, k) for k in ("sms", "cs", "faithfulness", "pri")], mean(scores.final_static(F.col("pri"), F.col("human")), "final")).withColumn("weights_warning", F.lit(abs(sum(CUSTOM_WEIGHTS) - 1) > 1e-6))
+
+
+CARDS = ("sms", "cs", "faithfulness", "trd", "auc_e", "kpig", "ppl_var", "human")
+
+
+@query(f"with {SCORED} select count(distinct model) as n_models, " + ", ".join(f"round(avg({k}), 4) as {k}" for k in CARDS) + " from g where model in (1, 3, 5)")
+def card_means(spark, sf_dir):
+    """Eight means over the selected models."""
+    g = scored(spark, sf_dir).where(F.col("model").isin(1, 3, 5))
+    return g.agg(F.count_distinct("model").alias("n_models"), *[F.round(F.avg(k), 4).alias(k) for k in CARDS])
+
+
+@query("""with r as (select o_orderpriority as topic, l_orderkey, avg(l_discount::double) as m from lineitem join orders on o_orderkey = l_orderkey group by all),
+v as (select cast(l_linenumber as varchar) as variant, avg(l_discount::double) as m, count(*) as n from lineitem group by 1)
+select 'topic' as kind, topic as name, count(*) as n, round(avg(m), 6) as mean from r group by topic union all select 'variant', variant, n, round(m, 6) from v""")
+def topic_and_variant_means(spark, sf_dir):
+    """Means of row means by topic, and means by variant over rows. An order is a row, its lines are its variants."""
+    l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_discount").cast("double").alias("x"))  # noqa: E741
+    rows = l.groupBy("l_orderkey").agg(F.avg("x").alias("m")).join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderpriority").alias("name")), "l_orderkey")
+    topics = rows.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("m"), 6).alias("mean")).select(F.lit("topic").alias("kind"), "name", "n", "mean")
+    variants = l.groupBy(F.col("l_linenumber").cast("string").alias("name")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("x"), 6).alias("mean")).select(F.lit("variant").alias("kind"), "name", "n", "mean")
+    return topics.unionByName(variants)
+
+
+@query(f"""with {STORED}, h as (select *, coalesce(sms, 1e-6) as a, coalesce(cs, 1e-6) as b, coalesce(faithfulness, 1e-6) as c from q)
+select model, instance, round(case when a <= 0 or b <= 0 or c <= 0 then 0.0 else 3 / (1 / a + 1 / b + 1 / c) end, 6) as pri from h""")
+def legacy_pri(spark, sf_dir):
+    """Harmonic mean of three metrics; a missing one counts as 1e-6, one of zero gives 0."""
+    a, b, c = (F.coalesce(F.col(k), F.lit(1e-6)) for k in ("sms", "cs", "faithfulness"))
+    pri = F.when((a <= 0) | (b <= 0) | (c <= 0), 0.0).otherwise(F.try_divide(F.lit(3.0), F.try_divide(F.lit(1.0), a) + F.try_divide(F.lit(1.0), b) + F.try_divide(F.lit(1.0), c)))
+    return stored_scores(spark, sf_dir).select("model", "instance", F.round(pri, 6).alias("pri"))
+
+
 @query("""with t as (select user_id as inst, event_type as variant, value / 100 as loss from events), p as (select inst, variant, exp(least(avg(loss), 20)) as ppl, avg(exp(least(loss, 20))) as h from t group by all)
 select inst, round(stddev_samp(ppl), 6) as ppl_var, round(least(1.0, greatest(0.0, 2 * stddev_samp(ppl) / avg(ppl))), 6) as ppl_cv, round(least(1.0, greatest(0.0, avg(log2(1 + h)) / 8)), 6) as branching, round(var_samp(h), 6) as pc_stab from p group by inst""")
 def internal_fidelity(spark, sf_dir):

@@ -1,13 +1,13 @@
-"""Queries that SQL can't express: stemmed overlap, sequential acceptance, seeded perturbation, bootstrap, whole evaluations."""
+"""Stemmed overlap, sequential acceptance, seeded perturbation, bootstrap, whole evaluations: what SQL can't express, or at length only."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wordvane.functions import overlap, scores, text
+from wordvane.functions import fixed, overlap, scores, text
 from wordvane.operators import acceptance, coverage, perturb, stats
 from wordvane.plans.catalog import query
-from wordvane.plans.dialogue import exchanges, pairs_within, turns
+from wordvane.plans.dialogue import EXCHANGES, TOKENS, WORDS, exchanges, pairs_within, turns
 from wordvane.session import table
 
 
@@ -27,10 +27,14 @@ def word_levenshtein_diversity(spark, sf_dir):
 
 @query()
 def consistency_light(spark, sf_dir):
-    """Mean pairwise ROUGE-L of a group, and the score built on it."""
-    p = pairs_within(turns(spark, sf_dir), "conv_id", "turn", "text").select("conv_id", overlap.eval_metrics(F.col("text_i"), F.col("text_j")).alias("m"))
-    g = p.groupBy("conv_id").agg(F.avg("m.rougeL").alias("cs"), F.avg("m.bleu").alias("b"))
-    return g.select("conv_id", F.round("cs", 4).alias("cs"), F.round(0.40 * F.col("cs") + 0.35 * F.col("b") + 0.25 * F.col("cs"), 4).alias("hs"))
+    """Mean pairwise ROUGE-L of an instance's responses (its later turns), and the score of it and their mean ROUGE-L and BLEU against the reference (its first turn)."""
+    t = turns(spark, sf_dir)
+    base = t.groupBy("conv_id").agg(F.min_by("text", "turn").alias("reference"), F.min("turn").alias("t0"))
+    r = t.join(base, "conv_id").where("turn > t0")
+    own = r.select("conv_id", overlap.eval_metrics(F.col("text"), F.col("reference")).alias("m")).groupBy("conv_id").agg(F.avg("m.rougeL").alias("rl"), F.avg("m.bleu").alias("bleu"))
+    pairs = pairs_within(r, "conv_id", "turn", "text").select("conv_id", overlap.rouge_l_score(F.col("text_i"), F.col("text_j")).alias("rl")).groupBy("conv_id").agg(F.avg("rl").alias("cs"))
+    g = own.join(pairs, "conv_id", "left").withColumn("cs", F.coalesce("cs", F.lit(1.0)))  # a single response agrees with itself
+    return g.select("conv_id", F.round("cs", 4).alias("cs"), F.round(0.40 * F.col("rl") + 0.35 * F.col("bleu") + 0.25 * F.col("cs"), 4).alias("hs"))
 
 
 @query()
@@ -53,6 +57,33 @@ def greedy_accept(spark, sf_dir):
     return acceptance.greedy_accept(c)
 
 
+def _drawn(items: str, least: int = 0) -> str:
+    """Items in drawn order, in SQL."""
+    return f"list_sort(list_transform(list_zip(range(0, len({items})), {items}), lambda z: {{'u': case when length(z[2]) >= {least} then ('0x' || substr(md5(h || '#' || seed || '#' || z[1]), 1, 8))::bigint / 4294967295.0::double else 2.0::double end, 'i': z[1], 'x': z[2]}}))"
+
+
+#: Of a word w and a number u, the swap of two inner letters.
+_AT = "least(length(w) - 2, floor(u * (length(w) - 3))::integer + 2)"
+_SWAP = f"case when length(w) >= 4 then substr(w, 1, {_AT} - 1) || substr(w, {_AT} + 1, 1) || substr(w, {_AT}, 1) || substr(w, {_AT} + 2) else w end"
+
+
+@query(f"""with r as (select item_id, coalesce(text, '') as t, md5(coalesce(text, '')) as h, unnest([0, 1, 3]) as seed from benchmark),
+a as (select *, {WORDS.format('t')} as ws, list_filter(list_transform(string_split_regex(regexp_replace(trim(t), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1) || '|;\\s+'), lambda x: trim(x)), lambda x: x <> '') as ss, list_filter(list_transform(string_split(t, ', '), lambda x: trim(x)), lambda x: x <> '') as cs from r),
+b as (select *, case when len(ss) > 1 then ss else cs end as ps from a),
+typo0 as (select item_id, t, h, seed, ws, list_transform(({_drawn('ws', 4)})[1:greatest(1, round(len(ws) * 0.08)::integer)], lambda s: s.i) as hit from b where seed = 0),
+typo1 as (select item_id, t, seed, hit, unnest(ws) as w, unnest(range(0, len(ws))) as i, h from typo0),
+typo2 as (select *, ('0x' || substr(md5(h || '#' || seed || '#at' || i), 1, 8))::bigint / 4294967295.0::double as u from typo1),
+typo as (select item_id, t, seed, string_agg(case when list_contains(hit, i) then {_SWAP} else w end, ' ' order by i) as v from typo2 group by item_id, t, seed),
+re0 as (select item_id, t, seed, len(ps) as n, array_to_string(list_transform({_drawn('ps')}, lambda s: s.x), '. ') as j from b where seed = 1),
+re as (select item_id, t, seed, case when n < 2 then t when regexp_matches(j, '[.!?]$') then j else j || '.' end as v from re0),
+he as (select item_id, t, seed, ([{', '.join(repr(x) for x in fixed.HEDGES)}])[least({len(fixed.HEDGES)}, floor(('0x' || substr(md5(h || '#' || seed || '#hedge'), 1, 8))::bigint / 4294967295.0::double * {len(fixed.HEDGES)})::integer + 1)] || ' ' || lower(substr(t, 1, 1)) || substr(t, 2) as v from b where seed = 3)
+select item_id, 'adv:' || (['typo', 'sentence_reorder', '', 'hedged'])[seed + 1] as strategy, seed::bigint as seed, md5(v) as variant_md5 from (select * from typo union all select * from re union all select * from he) where trim(v) <> '' and trim(v) <> trim(t)""")
+def perturbed_by_hash(spark, sf_dir):
+    """the strategies that draw: typos, reordered sentences, hedges."""
+    v = perturb.variants(table(spark, sf_dir, "benchmark").select("item_id", "text"), "text")
+    return v.where(F.col("seed").isin(0, 1, 3)).select("item_id", "strategy", F.col("seed").cast("long").alias("seed"), F.md5("paraphrased_text").alias("variant_md5"))
+
+
 @query()
 def perturbed(spark, sf_dir):
     """Adversarial variants of the benchmark's texts, five strategies in turn."""
@@ -66,9 +97,26 @@ def bootstrap_ci(spark, sf_dir):
     return stats.poisson_bootstrap(table(spark, sf_dir, "events").where("value is not null"), "value", resamples=10_000)
 
 
-@query()
+CONTENT = f"list_filter({TOKENS.format('t')}, lambda w: regexp_matches(w, '^[a-z]+$') and length(w) >= 3 and w not in ({', '.join(repr(w) for w in fixed.STOP_WORDS)}))"
+
+
+@query(f"""with b as (select conv_id, arg_min(text, turn) as reference, min(turn) as t0 from conversations group by conv_id),
+x as (select c.conv_id as inst, c.turn as idx, c.text as t from conversations c join b on c.conv_id = b.conv_id and c.turn > b.t0 union all select conv_id, -1, reference from b where exists (select 1 from conversations c where c.conv_id = b.conv_id and c.turn > b.t0)),
+y as (select inst, idx, {CONTENT} as w, list_filter(list_transform(regexp_extract_all(' ' || coalesce(t, ''), '[^\\p{{L}}\\p{{N}}_]([A-Z][a-z]+(?:\\s+[A-Z][a-z]+)*)', 1), lambda n: lower(n)), lambda n: length(n) >= 3 and n not in ({', '.join(repr(w) for w in fixed.STOP_WORDS)})) as named from x),
+z as (select inst, idx, w, list_distinct(named || w || list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1])) as units from y),
+tf as (select inst, idx, u, count(*)::double as tf from (select inst, idx, unnest(w) as u from z) group by all),
+n as (select inst, count(*)::double as n from x group by inst), df as (select inst, u, count(*)::double as df from tf group by all),
+w as (select tf.inst, tf.idx, tf.u, tf * (ln((1 + n) / (1 + df)) + 1) as x, n from tf join df using (inst, u) join n using (inst)),
+l as (select inst, idx, sqrt(sum(x * x)) as len from w group by all), imp as (select inst, u, sum(x / len) / any_value(n) as imp from w join l using (inst, idx) group by all),
+held as (select inst, idx, unnest(units) as u from z where idx >= 0), freq as (select inst, u, count(distinct idx) as freq from held group by all),
+u0 as (select a.inst, a.u, greatest(coalesce(imp, 0.0), 0.1) as imp, coalesce(freq, 0) as freq from (select inst, unnest(units) as u from z where idx = -1) a left join imp using (inst, u) left join freq using (inst, u)),
+u1 as (select *, imp / max(imp) over (partition by inst) * (0.3 + 0.7 / (1 + freq)) as w from u0),
+base as (select inst, sum(case when freq > 0 then w else 0.0 end) / (sum(w) + 1e-8) as base, count(*) as n_units from u1 group by inst),
+hits as (select h.inst, h.idx, count(*) as hits from held h join u0 using (inst, u) group by all),
+each as (select x.inst, base, coalesce(hits, 0)::double / n_units as c from x join base using (inst) left join hits on x.inst = hits.inst and x.idx = hits.idx where x.idx >= 0)
+select inst as instance, round(greatest(0.0, least(1.0, any_value(base) * case when count(*) < 2 then 1.0 else greatest(0.3, 1 - exp(-3 * stddev_pop(c))) end)), 6) as kpig, round(avg(c), 6) as coverage from each group by inst""")
 def key_point_coverage(spark, sf_dir):
-    """Importance-weighted coverage of a conversation's first turn by its later ones."""
+    """Importance-weighted coverage of a conversation's first turn by its later ones."""
     t = turns(spark, sf_dir)
     base = t.groupBy("conv_id").agg(F.min_by("text", "turn").alias("reference"), F.min("turn").alias("t0"))
     r = t.join(base, "conv_id").where("turn > t0").select(F.col("conv_id").alias("instance"), F.col("turn").alias("idx"), "reference", F.col("text").alias("response"))
@@ -104,7 +152,9 @@ def evaluate_samples(spark, sf_dir):
     return g.select("conv_id", "k", *[F.round(x, 6).alias(x) for x in ("avg_length", "sms", "cs", "hs", "trd", "auc_e", "coverage", "faithfulness", "pri", "ori")], scores.diagnosis(c("ori"), F.lit(1.0)).alias("diagnosis"), scores.reliability(c("pri")).alias("label"), F.array_join(flags, ",").alias("flags"))
 
 
-@query()
+@query(f"""with {EXCHANGES}, k as (select conv_id, pos, answer, {WORDS.format('answer')} as r, {WORDS.format('question')} as i, 'm|' || conv_id || '|' || pos as k from x),
+s as (select *, list_transform(range(0, 40), lambda j: case when ('0x' || substr(md5(k || '#' || j), 1, 8))::bigint / 4294967295.0::double < 0.7 then r[j % greatest(len(r), 1) + 1] else i[j % greatest(len(i), 1) + 1] end) as w from k)
+select 'm' as model, cast(conv_id as varchar) as instance_id, cast(pos as integer) as variant_idx, md5(case when pos = 0 and answer <> '' then answer else array_to_string(list_filter(w, lambda v: v is not null), ' ') end) as response_md5 from s""")
 def simulated_responses(spark, sf_dir):
     """Stored answers where there are some, simulated ones elsewhere."""
     from wordvane.operators.providers import SimulatorProvider, TableProvider, run_provider

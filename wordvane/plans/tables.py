@@ -139,9 +139,10 @@ s as (select doc_id, prompt, list_filter([case when lim is null then null when n
 select doc_id, prompt, round(case when len(parts) = 0 then 1.0 else list_sum(parts) / len(parts) end, 6) as compliance from s""")
 def constraint_compliance(spark, sf_dir):
     """A short literal list of prompts against every document."""
-    rows = F.explode(F.array(*[F.lit(p) for p in PROMPTS]))
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", rows.alias("prompt"))
-    return d.select("doc_id", "prompt", F.round(text.compliance(F.col("text"), text.constraints(F.col("prompt"))), 6).alias("compliance"))
+    read = table(spark, sf_dir, "documents").select("doc_id", text.word_count(F.col("text")).alias("n"), text.is_list(F.col("text")).alias("listed"))
+    prompts = F.array(*[F.struct(F.lit(p).alias("prompt"), text.constraints(F.lit(p)).alias("asked")) for p in PROMPTS])
+    d = read.select("doc_id", "n", "listed", F.explode(prompts).alias("p"))
+    return d.select("doc_id", "p.prompt", F.round(text.compliance_of(F.col("n"), F.col("listed"), F.col("p.asked")), 6).alias("compliance"))
 
 
 # Embeddings: an instance is a label, or a run of eight vectors where pairs are compared.
@@ -211,20 +212,31 @@ def similarities(spark, sf_dir) -> DataFrame:
     return e.join(centroids(e, "label"), "label").select("label", "vec_id", vectors.cosine(F.col("v"), F.col("centroid")).alias("sim"))
 
 
-EDGES = list(zip((-1.0, *[x * 0.2 for x in range(-3, 4)]), ([x * 0.2 for x in range(-3, 4)] + [1.01]), strict=True))
+EDGES = list(enumerate(zip(fixed.HISTOGRAM_EDGES, fixed.HISTOGRAM_EDGES[1:])))
+LAST = EDGES[-1][0]
 
 
-@query(f"""with {SIMS}, b as (select * from (values {', '.join(f"({i}, {a!r}, {z!r})" for i, (a, z) in enumerate(EDGES))}) t(bin, lo, hi))
-select b.bin, count(s.sim) as n from b left join s on s.sim >= b.lo and s.sim < b.hi group by b.bin""")
+@query(f"""with s as (select 0.65::double + l_discount::double * 3.6::double as sim from lineitem), b as (select * from (values {', '.join(f"({i}, {lo!r}::double, {hi!r}::double)" for i, (lo, hi) in EDGES)}) t(bin, lo, hi))
+select b.bin, count(s.sim) as n from b left join s on s.sim >= b.lo and (s.sim < b.hi or b.bin = {LAST} and s.sim = b.hi) group by b.bin""")
 def similarity_histogram(spark, sf_dir):
-    """Left-closed bins, empty ones too."""
+    """The fixed bins of a report: left-closed, the last closed on both sides, empty ones too. A line's discount stands in for its similarity."""
+    s = table(spark, sf_dir, "lineitem").select((F.lit(0.65) + F.col("l_discount").cast("double") * F.lit(3.6)).alias("sim"))
     bin_of = F.lit(None).cast("int")
-    for i, (lo, hi) in enumerate(EDGES):
-        bin_of = F.when((F.col("sim") >= lo) & (F.col("sim") < hi), i).otherwise(bin_of)
-    n = similarities(spark, sf_dir).groupBy(bin_of.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    for i, (lo, hi) in EDGES:
+        bin_of = F.when((F.col("sim") >= lo) & ((F.col("sim") <= hi) if i == LAST else (F.col("sim") < hi)), i).otherwise(bin_of)
+    n = s.groupBy(bin_of.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     return spark.range(len(EDGES)).select(F.col("id").cast("int").alias("bin")).join(n, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+@query(f"with {SIMS} select label, count(*) as n, count(*) filter (sim < {fixed.SIMILARITY_LOW}) as below, round(avg(sim), 6) as mean, round(stddev_pop(sim), 6) as std, round(min(sim), 6) as least, round(max(sim), 6) as most, case when count(*) filter (sim < {fixed.SIMILARITY_LOW}) > 0 then 'warning' else 'ok' end as severity from s group by label")
+def similarity_findings(spark, sf_dir):
+    """Q02: similarities below the general bound are warnings, whatever the task."""
+    r = lambda c, name: F.round(c, 6).alias(name)
+    below = F.count(F.when(F.col("sim") < fixed.SIMILARITY_LOW, 1))
+    g = similarities(spark, sf_dir).groupBy("label").agg(F.count(F.lit(1)).alias("n"), below.alias("below"), r(F.avg("sim"), "mean"), r(F.stddev_pop("sim"), "std"), r(F.min("sim"), "least"), r(F.max("sim"), "most"))
+    return g.withColumn("severity", F.when(F.col("below") > 0, "warning").otherwise("ok"))
+
+
 @query(f"""with {SIMS} select label, count(*) as n, round(avg(sim), 6) as mean, round(stddev_pop(sim), 6) as std, round(min(sim), 6) as least, round(max(sim), 6) as most, round(quantile_cont(sim, 0.25), 6) as p25, round(quantile_cont(sim, 0.75), 6) as p75 from s group by label""")
 def dataset_stats(spark, sf_dir):
     """Similarity statistics of each group, with exact interpolated percentiles."""
@@ -240,19 +252,41 @@ def band(sim: Column, task: Column) -> Column:
     return (sim >= low) & (sim <= fixed.SIMILARITY_HIGH)
 
 
-TASKS = ("summarization", "creative", "dialogue", "qa")
+#: The last is no task that strategies are listed for.
+TASKS = ("summarization", "creative", "dialogue", "qa", "other")
 _allowed = " union all ".join(f"select '{t}' as task, '{s}' as strategy" for t, ss in fixed.STRATEGIES_BY_TASK.items() for s in ss)
 
 
-@query(f"""with s as (select l.l_orderkey, l.l_linenumber, (['summarization', 'creative', 'dialogue', 'qa'])[l_orderkey % 4 + 1] as task, ([{', '.join(f"'{x}'" for x in fixed.STRATEGIES)}])[l_partkey % 16 + 1] as strategy, 0.75 + l_discount::double * 2.4 as sim from lineitem l),
+@query(f"""with s as (select l.l_orderkey, l.l_linenumber, (['summarization', 'creative', 'dialogue', 'qa', 'other'])[l_orderkey % 5 + 1] as task, ([{', '.join(f"'{x}'" for x in fixed.STRATEGIES)}])[l_partkey % 16 + 1] as strategy, 0.75 + l_discount::double * 2.4 as sim from lineitem l),
 a as ({_allowed})
-select s.task, s.strategy, count(*) as accepted from s where exists (select 1 from a where a.task = s.task and a.strategy = s.strategy) and sim >= case when task = 'dialogue' then 0.78 else 0.82 end and sim <= 0.98 group by all""")
+select s.task, s.strategy, count(*) as accepted from s where (exists (select 1 from a where a.task = s.task and a.strategy = s.strategy) or not exists (select 1 from a where a.task = s.task)) and sim >= case when task = 'dialogue' then 0.78 else 0.82 end and sim <= 0.98 group by all""")
 def band_and_whitelist(spark, sf_dir):
-    """Band gate per task, and a left semi join with the strategies a task allows."""
+    """Band gate per task, and a left semi join with the strategies a task allows; a task that none are listed for allows all."""
     at = lambda names, k: F.element_at(F.array(*[F.lit(x) for x in names]), (k + 1).cast("int"))
-    s = table(spark, sf_dir, "lineitem").select(at(TASKS, F.col("l_orderkey") % 4).alias("task"), at(fixed.STRATEGIES, F.col("l_partkey") % 16).alias("strategy"), (0.75 + F.col("l_discount").cast("double") * 2.4).alias("sim"))
+    s = table(spark, sf_dir, "lineitem").select(at(TASKS, F.col("l_orderkey") % 5).alias("task"), at(fixed.STRATEGIES, F.col("l_partkey") % 16).alias("strategy"), (0.75 + F.col("l_discount").cast("double") * 2.4).alias("sim"))
     allowed = spark.createDataFrame([(t, x) for t, xs in fixed.STRATEGIES_BY_TASK.items() for x in xs], "task string, strategy string")
-    return s.where(band(F.col("sim"), F.col("task"))).join(F.broadcast(allowed), ["task", "strategy"], "left_semi").groupBy("task", "strategy").agg(F.count(F.lit(1)).alias("accepted"))
+    s = s.where(band(F.col("sim"), F.col("task")))
+    known = F.col("task").isin(*fixed.STRATEGIES_BY_TASK)
+    kept = s.where(known).join(F.broadcast(allowed), ["task", "strategy"], "left_semi").unionByName(s.where(~known))  # a constant table of 45 rows
+    return kept.groupBy("task", "strategy").agg(F.count(F.lit(1)).alias("accepted"))
+
+
+@query("select doc_id, lang, source from documents order by doc_id limit 100")
+def first_rows(spark, sf_dir):
+    """The first n rows by id; 0 takes all."""
+    return limited(table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), 100, "doc_id")
+
+
+def limited(df: DataFrame, n: int, *order: str) -> DataFrame:
+    """The first n rows in an order; all where n is 0."""
+    return df.orderBy(*order).limit(n) if n else df
+
+
+@query("select d.doc_id, d.n_chars, c.conv_id, c.turn from conversations c join documents d on d.doc_id = c.conv_id * 3 + c.turn")
+def row_lookup(spark, sf_dir):
+    """Texts looked up by their row number, all in one join."""
+    wanted = table(spark, sf_dir, "conversations").select("conv_id", "turn", (F.col("conv_id") * 3 + F.col("turn")).alias("doc_id"))
+    return wanted.join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id").select("doc_id", "n_chars", "conv_id", "turn")
 
 
 NUMERICS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
