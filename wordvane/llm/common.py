@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -16,17 +19,36 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only where it is unset (tests) a temporary one is set."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local master (tests) gets a temporary one;
+    on a cluster that would be a folder of one machine, so it is an error there."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         held = spark.sparkContext.getCheckpointDir()
         if held is None:
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             held = tempfile.mkdtemp(prefix="wordvane-")
+            atexit.register(shutil.rmtree, held, ignore_errors=True)
             spark.sparkContext.setCheckpointDir(held)
         found = held
     return found.rstrip("/")
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, each with underscores before it until no column is called so in any case of letters."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def quoted(names: list[str]) -> list[Column]:
+    return [F.col(f"`{c.replace('`', '``')}`") for c in names]
+
+
 def staged(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     """df written as Parquet to the shared folder and read again: lineage ends there, and lost executors cost nothing."""
     path = f"{shared_dir(df.sparkSession)}/staged-{uuid.uuid4().hex}"
@@ -37,18 +59,31 @@ def staged(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Rows of whole texts that go to a Python worker at once.
-BATCH_ROWS = 500
+#: Rows and bytes of whole texts that go to a Python worker at once, whichever is reached first.
+BATCH_ROWS, BATCH_BYTES = 500, 2 << 20
 
 
 def in_small_batches(df: DataFrame) -> DataFrame:
-    """df, in a session whose Arrow batches hold BATCH_ROWS rows at most: both sides of a Python operator keep a batch of whole texts."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(df.sparkSession.conf.get(key)) <= BATCH_ROWS:
-        df.sparkSession.conf.set(key, str(BATCH_ROWS))
+    """df, in a session whose Arrow batches hold BATCH_ROWS rows and about BATCH_BYTES bytes at most: both sides of a Python operator keep a
+    batch of whole texts. Smaller settings of the session stay."""
+    conf = df.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        if not 0 < int(re.sub(r"\D", "", conf.get(key))) <= most:
+            conf.set(key, str(most))
     return df
 
 
+def local_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table of the driver's rows. By Arrow: from a list Spark would start Python workers of another kind on every executor."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    fields = T._parse_datatype_string(schema)
+    columns = list(zip(*rows, strict=True)) or [()] * len(fields)
+    table = pa.table([pa.array(c, f.type) for c, f in zip(columns, to_arrow_schema(fields), strict=True)], names=fields.names)
+    return spark.createDataFrame(table, fields)
+
+
 def word_count(text: Column) -> Column:
     """Number of words as long; null text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -59,21 +94,34 @@ def hash01(*cols: Column, seed: str = "") -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), *[c.cast("string") for c in cols])), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
+#: Copies of one row that a task writes out in a go; more are dealt to several tasks.
+COPIES_EACH = 10_000
+
+
 def running_sum(df: DataFrame, key: str, spot: str, order: list[str], value: str, out: str, rows_each: int = 2_000) -> DataFrame:
     """df with `out`: the sum of `value` over the rows of the same `key` that come before a row, by `spot`, then `order`.
 
-    spot lies in [0, 1) and is spread evenly over a key's rows, so equal slices of it hold about rows_each rows: no task
-    gets a whole key. Sums of slices are added first (one row per slice), then the rows of each slice. Rows equal in
-    spot and order follow each other in any order.
+    Equal rows are counted first (map-side, so that one row repeated a billion times is a count per task) and written out again at the
+    end, in several tasks where they are many. spot lies in [0, 1) and is spread evenly over a key's different rows, so even slices of it hold about rows_each
+    of them: no task gets a whole key. Sums of slices are added first (one row per slice), then the rows of each slice.
     """
-    slices = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).select(F.col(key).alias("_k"), F.ceil(F.col("_n") / rows_each).cast("int").alias("_slices"))
-    cut = df.join(slices, F.col(key).eqNullSafe(F.col("_k")), "left").withColumn("_slice", F.floor(F.col(spot) * F.col("_slices")).cast("int")).drop("_k", "_slices")
-    sums = cut.groupBy(key, "_slice").agg(F.sum(value).alias("_sum"))
-    before = Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select(F.col(key).alias("_k"), F.col("_slice").alias("_s"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy(key, "_slice").orderBy(spot, *order).rowsBetween(Window.unboundedPreceding, -1)
-    joined = cut.join(starts, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_slice") == F.col("_s")), "left").drop("_k", "_s")
-    return joined.withColumn(out, (F.col("_start") + F.coalesce(F.sum(value).over(inside), F.lit(0))).cast("long")).drop("_slice", "_start")
+    columns = df.columns
+    n, slices, piece, total, start, k, piece_k = fresh([*columns, out], "_n", "_slices", "_slice", "_sum", "_start", "_k", "_s")
+    rows = staged(df.groupBy(*quoted(columns)).agg(F.count(F.lit(1)).alias(n)))
+    sizes = rows.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / rows_each).cast("int").alias(slices)).withColumnRenamed(key, k)
+    cut = rows.join(sizes, F.col(key).eqNullSafe(F.col(k)), "left").withColumn(piece, F.floor(F.col(spot) * F.col(slices)).cast("int")).drop(k, slices)
+    weight = F.col(value) * F.col(n)
+    sums = cut.groupBy(key, piece).agg(F.sum(weight).alias(total))
+    before = Window.partitionBy(key).orderBy(piece).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(F.col(key).alias(k), F.col(piece).alias(piece_k), F.coalesce(F.sum(total).over(before), F.lit(0)).alias(start))
+    inside = Window.partitionBy(key, piece).orderBy(spot, *order).rowsBetween(Window.unboundedPreceding, -1)
+    joined = cut.join(starts, F.col(key).eqNullSafe(F.col(k)) & (F.col(piece) == F.col(piece_k)), "left").drop(k, piece_k)
+    found = staged(joined.withColumn(out, (F.col(start) + F.coalesce(F.sum(weight).over(inside), F.lit(0))).cast("long")).select(*quoted(columns), n, out))
+    few = found.where(F.col(n) <= COPIES_EACH).withColumn(k, F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)))
+    parts = found.where(F.col(n) > COPIES_EACH).withColumn(piece, F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1, F.lit(COPIES_EACH).cast("long")))).repartition(F.col(piece), F.col(out))
+    many = parts.withColumn(k, F.explode(F.sequence(F.col(piece), F.least(F.col(piece) + COPIES_EACH, F.col(n)) - 1))).drop(piece)
+    whole = few.unionByName(many).withColumn(out, F.col(out) + F.col(k) * F.col(value))
+    return whole.select(*quoted(columns), out)
 
 
 DOCUMENT_COLUMNS = T.StructType(

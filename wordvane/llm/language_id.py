@@ -18,8 +18,9 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from wordvane.llm.common import hash01, in_small_batches
+from wordvane.llm.common import hash01, in_small_batches, local_rows
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -43,7 +44,7 @@ def training_sample(documents: DataFrame, size: int = SAMPLE) -> list[tuple[str,
         return []
     each = max(1, size // len(counts))
     most = max(1.2 * each, each + 4 * each**0.5 + 12)
-    shares = rows.sparkSession.createDataFrame([(lang, min(1.0, most / n)) for lang, n in counts.items()], "lang string, share double")
+    shares = local_rows(rows.sparkSession, [(lang, min(1.0, most / n)) for lang, n in counts.items()], "lang string, share double")
     place = hash01(F.col("doc_id"), seed="place")
     length = F.length("text")
     at = (F.floor(place * F.greatest(F.lit(1), length - F.lit(WINDOW))) + 1).cast("int")
@@ -55,7 +56,7 @@ def training_sample(documents: DataFrame, size: int = SAMPLE) -> list[tuple[str,
     out = []
     found = drawn.orderBy("spot", "doc_id", "lang").limit(max(2 * size, int(2 * most * len(counts)))).collect()
     if missed := sorted(set(counts) - {r["lang"] for r in found}):
-        first = spots.join(F.broadcast(rows.sparkSession.createDataFrame([(lang,) for lang in missed], "lang string")), "lang")
+        first = spots.join(F.broadcast(local_rows(rows.sparkSession, [(lang,) for lang in missed], "lang string")), "lang")
         found += first.groupBy("lang").agg(F.min(F.struct("spot", "doc_id", "window")).alias("r")).select("lang", "r.window").orderBy("lang").collect()
     for r in found:
         if taken[r["lang"]] < each:
@@ -193,29 +194,49 @@ def train(sample: list[tuple[str, bytes]], epochs: int = EPOCHS, seed: int = 7)
     return ByteCNN(languages, tables, dense, bias)
 
 
-def predict(documents: DataFrame, model: ByteCNN | None) -> DataFrame:
-    """documents with lang_pred and score; columns of these names in the input are replaced."""
-    keep = [c for c in documents.columns if c not in ("lang_pred", "score")]
+def has_letter(text: str | None) -> bool:
+    return next(filter(str.isalpha, text or ""), None) is not None
+
+
+def predict(documents: DataFrame, model: ByteCNN | None, replace: bool = False, least: float = 0.0) -> DataFrame:
+    """documents with lang_pred and score; columns of these names in the input are replaced.
+
+    replace: instead, the columns of documents with the prediction as `lang`, of the texts with letters and scores of `least` or more.
+    One Arrow operator does both: a filter on the outcome of a column function would be pushed below it and run the network twice.
+    """
+    keep = documents.columns if replace else [c for c in documents.columns if c not in ("lang_pred", "score")]
     base = in_small_batches(documents).select(*[F.col(f"`{c}`") for c in keep])
     if model is None:
         return base.withColumn("lang_pred", F.lit(UNKNOWN)).withColumn("score", F.lit(0.0))
-    letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    schema = T.StructType([T.StructField(c, T.StringType()) if replace and c == "lang" else base.schema[c] for c in keep])
+    if not replace:
+        schema = schema.add("lang_pred", T.StringType()).add("score", T.DoubleType())
 
-    @F.pandas_udf("lang string, score double")
-    def classify(texts):
-        import pandas as pd
+    def classify(batches):
+        import pyarrow as pa
 
         if not model.pairs:
             model.prepare()
-        langs, scores = [], []
-        for at in range(0, len(texts), 64):
-            some, p = model.predict([t.encode("utf-8", "replace") for t in texts.iloc[at : at + 64]])
-            langs += some
-            scores += p.tolist()
-        return pd.DataFrame({"lang": langs, "score": scores})
-
-    found = base.withColumn("_letters", letters).withColumn("_guess", classify(F.when(F.col("_letters"), F.col("text")).otherwise(F.lit(""))))
-    return found.select(*[F.col(f"`{c}`") for c in keep], F.when(F.col("_letters"), F.col("_guess.lang")).otherwise(UNKNOWN).alias("lang_pred"), F.when(F.col("_letters"), F.col("_guess.score")).otherwise(1.0).alias("score"))
+        for batch in batches:
+            texts = batch.column(keep.index("text"))
+            langs, scores, lettered = [UNKNOWN] * batch.num_rows, np.ones(batch.num_rows), np.zeros(batch.num_rows, bool)
+            for at in range(0, batch.num_rows, 64):
+                some = texts.slice(at, 64).to_pylist()
+                rows = [i for i, t in enumerate(some) if has_letter(t)]
+                if rows:
+                    found, p = model.predict([some[i].encode("utf-8", "replace") for i in rows])
+                    for i, lang, x in zip(rows, found, p.tolist(), strict=True):
+                        langs[at + i], scores[at + i], lettered[at + i] = lang, x, True
+            lang = pa.array(langs, pa.string())
+            columns = list(batch.columns)
+            if replace:
+                columns[keep.index("lang")] = lang
+                good = pa.array(lettered & (scores >= least))
+                yield pa.RecordBatch.from_arrays(columns, names=keep).filter(good)
+            else:
+                yield pa.RecordBatch.from_arrays([*columns, lang, pa.array(scores)], names=[*keep, "lang_pred", "score"])
+
+    return base.mapInArrow(classify, schema)
 
 
 def fitted(documents: DataFrame, size: int = SAMPLE) -> ByteCNN | None:

@@ -18,13 +18,16 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import defaultdict
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from wordvane.llm.common import in_small_batches, staged
+from wordvane.llm.common import in_small_batches, quoted, staged
 
 KINDS = ("email", "ip", "card", "phone", "id", "name")
 BASE_KINDS = KINDS[:4]
@@ -151,11 +154,18 @@ def all_spans(text: str) -> list[tuple[str, int, int, bool, str]]:
     """(kind, start, end, is base, key) of base spans, then of candidates that meet no base span."""
     base = base_spans(text)
     out = [(k, s, e, True, key_of(text, k, s, e, "b")) for k, s, e in base]
-    taken = sorted((s, e) for _, s, e in base)
-    for k, s, e in sorted(loose_spans(text), key=lambda x: (x[1], -x[2])):
-        if all(e <= a or b <= s for a, b in taken):
+    loose = sorted(loose_spans(text), key=lambda x: (x[1], -x[2]))
+    if not loose:
+        return out
+    # Base spans of different kinds may overlap: of those that start before a place, the farthest end tells whether one reaches past it.
+    starts = sorted(s for _, s, _ in base)
+    ends = list(accumulate((e for _, e in sorted((s, e) for _, s, e in base)), max))
+    last = 0
+    for k, s, e in loose:
+        before = bisect_left(starts, e)
+        if s >= last and (not before or ends[before - 1] <= s):
             out.append((k, s, e, False, key_of(text, k, s, e, "c")))
-            taken.append((s, e))
+            last = e
     return out
 
 
@@ -262,8 +272,8 @@ def redact(documents: DataFrame, keys: list[str]) -> DataFrame:
     taken = frozenset(keys)
     columns = documents.columns
 
-    def clean(text: str | None) -> str | None:
-        spans = sorted((s, e, k) for k, s, e, b, key in all_spans(text or "") if b or key in taken)
+    def clean(text: str) -> str:
+        spans = sorted((s, e, k) for k, s, e, b, key in all_spans(text) if b or key in taken)
         if not spans:
             return text
         out, at = [], 0
@@ -273,12 +283,13 @@ def redact(documents: DataFrame, keys: list[str]) -> DataFrame:
             at = max(at, e)
         return "".join([*out, text[at:]])
 
-    @F.pandas_udf("string")
-    def masked(texts):
-        return texts.map(clean, na_action="ignore")
+    def run(batches):
+        for batch in batches:
+            texts = [clean(t) if (t := x.as_py()) is not None else None for x in batch.column("text")]
+            new = {"text": pa.array(texts, pa.string()), "n_chars": pa.array([None if t is None else len(t) for t in texts], pa.int64())}
+            yield pa.RecordBatch.from_arrays([new[f.name].cast(f.type) if f.name in new else batch.column(i) for i, f in enumerate(batch.schema)], names=columns)
 
-    out = in_small_batches(documents).withColumn("text", masked(F.col("text")))
-    return (out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in columns else out).select(*[F.col(f"`{c}`") for c in columns])
+    return in_small_batches(documents).select(*quoted(columns)).mapInArrow(run, T.StructType([documents.schema[c] for c in columns]))
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
