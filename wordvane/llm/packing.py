@@ -23,13 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordvane.llm.common import hash01, in_small_batches, running_sum, staged
+from wordvane.llm.common import hash01, in_small_batches, local_rows, running_sum, staged
 
 CAPACITY = 4096
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Chunks and words whose ids a worker keeps: two generations of so many of each.
-CACHED = 100_000
+CACHED = 150_000
 #: Only characters that the tokenizer drops for certain part the chunks, which are encoded each for itself.
 GAPS = ("\t", "\n", "\r", "\x0b", "\x0c")
 #: Chunks of printable ASCII and of Latin-1 letters are cut into words here; NFC changes none of them, and lower-casing is one to one.
@@ -44,23 +44,21 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-class Cache(dict):
+class Cache:
     """Two generations: once the young one is full it becomes the old one; what is met again moves over."""
 
     def __init__(self, most: int):
-        super().__init__()
-        self.most, self.old = most, {}
+        self.most, self.young, self.old = most, {}, {}
 
     def find(self, key: str) -> bytes | None:
-        found = self.old.get(key)
-        if found is not None:
-            self[key] = found
+        found = self.young.get(key)
+        if found is None and (found := self.old.get(key)) is not None:
+            self.young[key] = found
         return found
 
     def turn(self) -> None:
-        if len(self) > self.most:
-            self.old = dict(self)
-            self.clear()
+        if len(self.young) > self.most:
+            self.young, self.old = {}, self.young
 
 
 def byte_letters() -> list[str]:
@@ -79,24 +77,27 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model, self.letters = self.tokenizer.model, byte_letters()
+        self.tokenize, self.letters = self.tokenizer.model.tokenize, byte_letters()
+        self.units = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.chunks, self.words = Cache(cached), Cache(cached)
-        self.chunks[""] = b""
 
     def word(self, word: str) -> bytes:
-        ids = self.words.get(word) or self.words.find(word)
+        ids = self.words.find(word)
         if ids is None:
-            seen = word if word.isascii() else "".join(self.letters[b] for b in word.encode())
-            ids = self.words[word] = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(seen)])
+            seen = word if word.isascii() else "".join([self.letters[b] for b in word.encode()])
+            units = self.units
+            ids = self.words.young[word] = b"".join([units[t.id] for t in self.tokenize(seen)])
         return ids
 
-    def learn(self, chunks: list[str]) -> None:
-        known, whole = self.chunks, []
+    def learn(self, chunks: set[str]) -> None:
+        known, whole = self.chunks.young, []
         for c in chunks:
-            if c in known or known.find(c) is not None:
+            if self.chunks.find(c) is not None:
                 continue
             if PLAIN.fullmatch(c) and "<|" not in c:
-                known[c] = b"".join([self.word(w) for w in WORDS.findall(c.lower())])
+                low = c.lower()
+                # letters alone are one word of the tokenizer's split
+                known[c] = self.word(low) if low.isalpha() else b"".join([self.word(w) for w in WORDS.findall(low)])
             else:
                 whole.append(c)
         if whole:
@@ -107,15 +108,11 @@ class WordEncoder:
         for gap in GAPS:
             text = text.replace(gap, " ")
         chunks = text.split(" ")
-        try:
-            return b"".join(map(self.chunks.__getitem__, chunks))
-        except KeyError:
-            self.learn(chunks)
-            out = b"".join(map(self.chunks.__getitem__, chunks))
+        if new := set(chunks).difference(self.chunks.young):
+            self.learn(new)
+        out = b"".join(map(self.chunks.young.__getitem__, chunks))
         self.words.turn()
-        if len(self.chunks) > self.chunks.most:
-            self.chunks.turn()
-            self.chunks[""] = b""
+        self.chunks.turn()
         return out
 
 
@@ -258,7 +255,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `capacity` rows
     runs = slots(packing_plan(counts, capacity))
     ranked = running_sum(cut.withColumn("_spot", hash01(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("piece"), seed="pack")).withColumn("_one", F.lit(1)), "length", "_spot", ["doc_id", "piece", "ids_crc32"], "_one", "_rank")
-    places = spark.createDataFrame(runs, "_length long, _from long, _to long, _each long, _sequence long, _offset long")
+    places = local_rows(spark, runs, "_length long, _from long, _to long, _each long, _sequence long, _offset long")
     # Runs follow from at most `capacity` counts, a few per length; they grow with that, not with the documents.
     found = ranked.join(F.broadcast(places), (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")), "left")
     nth = F.col("_rank") - F.col("_from")
