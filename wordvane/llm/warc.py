@@ -4,7 +4,7 @@ Records are (page_id, url, payload). Headers alone are shuffled by payload diges
 MIN_BYTES bytes that several records hold, the one with the smallest page_id; the others become revisits of it and carry no
 payload. Archives are written by Spark's own text writer, whose line end is the record end of WARC (CRLF CRLF), to the shared
 folder, so any file system of Spark and its commit protocol serve. Reading takes each archive by its Content-Length fields,
-checks every payload against its digest, and joins revisits to the originals by digest again.
+checks every payload against its digest (a wrong one is an error), and joins revisits to the originals by digest again.
 
 Defined cases: a null payload is an empty one. Payloads under MIN_BYTES are always responses. Rows that share page_id and
 payload are all responses if theirs is the smallest id. A null page_id sorts last, is written as an empty id and comes
@@ -20,7 +20,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordvane.llm.common import shared_dir
+from wordvane.llm.common import shared_dir, small, staged
 
 MIN_BYTES = 100
 #: Bytes that one archive holds, about, by the mean payload; its reader keeps one archive in memory.
@@ -33,12 +33,16 @@ READ_SCHEMA = "page_id long, url string, record_type string, payload_digest stri
 
 
 def with_headers(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """page_id, url, payload (string), payload_bytes, payload_digest, refers_to (null: a response) of every row."""
+    """page_id, url, payload (string), payload_bytes, payload_digest, refers_to (null: a response) of every row.
+
+    Only (digest, page_id) rows are shuffled, combined on the map side to one per digest and task however many copies there are. What comes out
+    of it, digests held by several records, goes to where the payloads are while it is small enough to be broadcast; payloads move beyond that only.
+    """
     payload = F.coalesce(F.col("html"), F.lit(""))
     records = pages.select("page_id", "url", payload.alias("payload"), F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha2(F.encode(payload, "UTF-8"), 256).alias("payload_digest"))
-    # Map-side combining leaves one row per digest and task, however many copies there are.
-    first = records.where(F.col("payload_bytes") >= min_bytes).groupBy(F.col("payload_digest").alias("_digest")).agg(F.min("page_id").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    joined = records.join(first, F.col("payload_digest") == F.col("_digest"), "left")
+    first = records.where(F.col("payload_bytes") >= min_bytes).groupBy(F.col("payload_digest").alias("_digest")).agg(F.min("page_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    first = staged(first.where("_n > 1").select("_digest", "_first"))
+    joined = records.join(small(first), F.col("payload_digest") == F.col("_digest"), "left")
     refers = F.when(F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first")), F.col("_first"))
     return joined.select("page_id", "url", "payload", "payload_bytes", "payload_digest", refers.alias("refers_to"))
 
@@ -89,7 +93,8 @@ def parse_archive(content: bytes) -> Iterator[tuple]:
 
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """Records of all archives under a path, as READ_SCHEMA. An archive is one input row; its size is bounded by its writer."""
+    """Records of all archives under a path, as READ_SCHEMA. An archive is one input row, of so many records as its writer puts into one: about ARCHIVE_BYTES
+    where payloads are near their mean, and as many of the largest payloads at most."""
 
     def parse(batches):
         import zlib
@@ -133,7 +138,8 @@ def round_trip(pages: DataFrame, min_bytes: int = MIN_BYTES, archive_bytes: int
     mean = pages.agg(F.avg(F.octet_length("html"))).first()[0] or 0.0
     write_archives(with_headers(pages, min_bytes), path, int(min(1_000_000, max(1, archive_bytes // (mean + 500)))))
     headers = read_archives(spark, path, payloads=False)
-    return resolve_revisits(headers).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "intact")
+    whole = F.when(F.col("intact"), True).otherwise(F.raise_error(F.concat(F.lit("payload of page "), F.coalesce(F.col("page_id").cast("string"), F.lit("null")), F.lit(" does not fit its digest"))))
+    return resolve_revisits(headers).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", whole.cast("boolean").alias("intact"))
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
