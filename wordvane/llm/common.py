@@ -124,6 +124,37 @@ def running_sum(df: DataFrame, key: str, spot: str, order: list[str], value: str
     return whole.select(*quoted(columns), out)
 
 
+def meet(index: DataFrame, queries: DataFrame, keys: list[str], load, look, schema: str) -> DataFrame:
+    """look(load(index rows as dicts), a batch of query rows) for the rows of both sides with the same keys; look yields batches of the schema.
+
+    Rows of both sides are dealt by the keys and sorted so that a key's index rows come before its queries. A task holds one key's index
+    and one batch of queries, however many queries there are; each index row moves once for each of its keys.
+    """
+    (side,) = fresh([*index.columns, *queries.columns], "_side")
+    both = index.withColumn(side, F.lit(0)).unionByName(queries.withColumn(side, F.lit(1)), allowMissingColumns=True)
+    dealt = in_small_batches(both).repartition(*keys).sortWithinPartitions(*keys, side)
+    left, right = index.columns, queries.columns
+
+    def run(batches):
+        held, rows, loaded = None, [], None
+        for batch in batches:
+            named = list(zip(*(batch.column(k).to_pylist() for k in [*keys, side]), strict=True))
+            begin = [i for i in range(len(named)) if not i or named[i] != named[i - 1]]
+            for at, stop in zip(begin, [*begin[1:], len(named)], strict=True):
+                *key, kind = named[at]
+                part = batch.slice(at, stop - at)
+                if kind == 0:
+                    if key != held:
+                        held, rows, loaded = key, [], None
+                    rows += part.select(left).to_pylist()
+                elif key == held:
+                    if loaded is None:
+                        loaded, rows = load(rows), []
+                    yield from look(loaded, part.select(right))
+
+    return dealt.mapInArrow(run, schema)
+
+
 DOCUMENT_COLUMNS = T.StructType(
     [T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType())]
 )

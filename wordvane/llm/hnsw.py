@@ -3,11 +3,11 @@
 Vectors are dealt to shards by hash of their id, SHARD_ROWS to a shard on average, so that no task's memory grows with the
 table. Each shard's graph is built in one task: identical vectors are one node, vectors get one more component that makes
 all norms of the shard equal (largest inner product is then nearest neighbour), nodes are inserted in batches, and every
-layer's neighbours are one flat array. Index rows are a written table. Queries, in blocks, meet every shard; shard results
-are merged by a window over 20 rows per query and shard.
+layer's neighbours are one flat array. Index rows are a written table. Queries are shipped to every shard, in blocks of QUERY_ROWS that bound a
+task's time, and go through it in batches; shard results are merged by a window over 20 rows per query and shard.
 
-Recall depends on EF and DEGREE; op3 is measured against brute force in the tests. Scores are exact, in double
-precision, on the original vectors.
+Recall depends on EF and DEGREE; op3 is measured against brute force in the tests. Every shard is searched with the same EF, though it holds only its share
+of a query's nearest: what a narrow search misses in one shard no other makes good. Scores are exact, in double precision, on the original vectors.
 
 Defined cases: vectors that are null, empty, all zero, or hold a null or non-finite component take no part, neither as queries
 nor as candidates; vectors of another length than a query's aren't its candidates. Ties go to the smaller id. Of
@@ -22,14 +22,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wordvane.llm.common import staged
+from wordvane.llm.common import meet, small, staged
 
 SHARD_ROWS = 16_384
 DEGREE = 16
 EF_BUILD = 64
 EF = 200
 TOP = 20
-QUERY_ROWS = 512
+QUERY_ROWS = 16_384
 INSERT_ROWS = 512
 
 
@@ -92,8 +92,11 @@ def beam(vectors: np.ndarray, graph: np.ndarray, queries: np.ndarray, entry: np.
     return np.take_along_axis(ids, order, axis=1), np.take_along_axis(sims, order, axis=1)
 
 
-def build_layer(vectors: np.ndarray, degree: int, ef: int) -> np.ndarray:
-    """Flat neighbour array of one layer over all given vectors, in order: row i holds the neighbours of node i, -1 where fewer."""
+def build_layer(vectors: np.ndarray, degree: int, ef: int, above: list[np.ndarray]) -> np.ndarray:
+    """Flat neighbour array of one layer over all given vectors, in order: row i holds the neighbours of node i, -1 where fewer.
+
+    above: the layers over this one, the highest first; each is over the first so many nodes. A node's search starts where the descent through them ends.
+    """
     n = len(vectors)
     graph = np.full((n, degree), -1, np.int64)
     first = min(n, 2 * degree)
@@ -106,7 +109,8 @@ def build_layer(vectors: np.ndarray, degree: int, ef: int) -> np.ndarray:
         np.fill_diagonal(inside, -np.inf)
         found_ids, found_sims = (np.broadcast_to(new, (size, size)), inside)
         if linked:
-            ids, sims = beam(vectors[:linked], graph[:linked], vectors[new], np.zeros(size, int), ef)
+            start = descend(vectors, above, vectors[new]) if above and linked >= len(above[-1]) else np.zeros(size, int)
+            ids, sims = beam(vectors[:linked], graph[:linked], vectors[new], start, ef)
             found_ids, found_sims = np.concatenate([ids, found_ids], axis=1), np.concatenate([sims, inside], axis=1)
         order = np.argsort(-found_sims, axis=1, kind="stable")[:, :width]
         ids, sims = np.take_along_axis(found_ids, order, axis=1), np.take_along_axis(found_sims, order, axis=1)
@@ -137,35 +141,35 @@ def build_layer(vectors: np.ndarray, degree: int, ef: int) -> np.ndarray:
     return graph
 
 
+def descend(vectors: np.ndarray, layers: list[np.ndarray], queries: np.ndarray) -> np.ndarray:
+    """The node nearest to each query in the lowest of the layers, by way of those above it; node 0 is where it starts."""
+    at = np.zeros(len(queries), int)
+    for graph in layers:
+        at = beam(vectors[: len(graph)], graph, queries, at, 4)[0][:, 0]
+    return at
+
+
 class Graph:
-    """nodes: distinct vectors; layers: [(nodes of the layer, flat neighbours)], the highest first, the last over all nodes."""
+    """layers: flat neighbours, the highest first, the last over all nodes; each is over the first so many nodes."""
 
-    def __init__(self, vectors: np.ndarray, layers: list[tuple[np.ndarray, np.ndarray]]):
+    def __init__(self, vectors: np.ndarray, layers: list[np.ndarray]):
         self.vectors, self.layers = vectors, layers
 
     @classmethod
     def build(cls, vectors: np.ndarray, degree: int = DEGREE, ef: int = EF_BUILD) -> Graph:
-        """Node i is on layer 1 with a chance of 1 / degree, on layer 2 with that of its square, and so on, by a fixed generator."""
+        """A node is on layer 1 with a chance of 1 / degree, on layer 2 with that of its square, and so on, by a fixed generator; vectors come in
+        mixed order, so that the first ones may be those of the highest layers."""
         rng = np.random.default_rng(11)
         level = np.floor(-np.log(1 - rng.random(len(vectors))) / np.log(degree)).astype(int)
-        layers = []
-        for k in range(int(level.max(initial=0)), 0, -1):
-            nodes = np.flatnonzero(level >= k)
-            layers.append((nodes, build_layer(vectors[nodes], degree, ef)))
-        layers.append((np.arange(len(vectors)), build_layer(vectors, 2 * degree, ef)))
+        layers: list[np.ndarray] = []
+        for k in range(int(level.max(initial=0)), -1, -1):
+            n = int((level >= k).sum())
+            layers.append(build_layer(vectors[:n], degree if k else 2 * degree, ef, layers))
         return cls(vectors, layers)
 
     def search(self, queries: np.ndarray, ef: int = EF) -> np.ndarray:
         """Node numbers near each query, best first, -1 for none."""
-        at = np.zeros(len(queries), int)  # a place in the layer's node list
-        for k, (nodes, graph) in enumerate(self.layers):
-            last = k == len(self.layers) - 1
-            ids, _ = beam(self.vectors[nodes], graph, queries, at, ef if last else 4)
-            if last:
-                return ids
-            found = nodes[ids[:, 0]]
-            at = np.searchsorted(self.layers[k + 1][0], found)
-        return np.zeros((len(queries), 0), int)
+        return beam(self.vectors, self.layers[-1], queries, descend(self.vectors, self.layers[:-1], queries), ef)[0]
 
 
 def may_be_reported(owner: np.ndarray, ids: np.ndarray, top: int) -> np.ndarray:
@@ -182,7 +186,7 @@ def may_be_reported(owner: np.ndarray, ids: np.ndarray, top: int) -> np.ndarray:
     return keep
 
 
-INDEX_SCHEMA = "shard int, dim int, ids binary, owner binary, vectors binary, nodes binary, sizes array<int>, neighbours binary, degree int"
+INDEX_SCHEMA = "shard int, dim int, ids binary, owner binary, vectors binary, sizes array<int>, neighbours binary, degree int"
 
 
 def shard_index(vectors: DataFrame, shard_rows: int = SHARD_ROWS, top: int = TOP) -> DataFrame:
@@ -206,10 +210,10 @@ def shard_index(vectors: DataFrame, shard_rows: int = SHARD_ROWS, top: int = TOP
         place[mix] = np.arange(len(mix))
         nodes = nodes[mix]
         graph = Graph.build(level_norms(nodes))
-        flat = np.concatenate([g.ravel() for _, g in graph.layers]).astype("<i4")
+        flat = np.concatenate([g.ravel() for g in graph.layers]).astype("<i4")
         return pd.DataFrame([{
             "shard": key[0], "dim": key[1], "ids": ids[by].astype("<i8").tobytes(), "owner": place[owner[by]].astype("<i4").tobytes(), "vectors": nodes.astype("<f8").tobytes(),
-            "nodes": np.concatenate([x for x, _ in graph.layers]).astype("<i4").tobytes(), "sizes": [len(x) for x, _ in graph.layers], "neighbours": flat.tobytes(), "degree": DEGREE,
+            "sizes": [len(g) for g in graph.layers], "neighbours": flat.tobytes(), "degree": DEGREE,
         }])
 
     return dealt.groupBy("shard", "dim").applyInPandas(build, INDEX_SCHEMA)
@@ -223,16 +227,17 @@ def level_norms(nodes: np.ndarray) -> np.ndarray:
 
 
 def read_graph(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, Graph]:
-    """(ids, node of each id, original vectors, graph) of an index row."""
+    """(ids in order of their nodes, where each node's begin and end, original vectors, graph) of an index row."""
     vectors = np.frombuffer(row["vectors"], "<f8").reshape(-1, row["dim"])
-    nodes, flat = np.frombuffer(row["nodes"], "<i4").astype(np.int64), np.frombuffer(row["neighbours"], "<i4").astype(np.int64)
-    layers, at, cut = [], 0, 0
-    sizes = list(row["sizes"])
+    flat = np.frombuffer(row["neighbours"], "<i4").astype(np.int64)
+    layers, cut, sizes = [], 0, list(row["sizes"])
     for k, size in enumerate(sizes):
         width = row["degree"] * (2 if k == len(sizes) - 1 else 1)
-        layers.append((nodes[at : at + size], flat[cut : cut + size * width].reshape(size, width)))
-        at, cut = at + size, cut + size * width
-    return np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["owner"], "<i4"), vectors, Graph(level_norms(vectors), layers)
+        layers.append(flat[cut : cut + size * width].reshape(size, width))
+        cut += size * width
+    ids, owner = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["owner"], "<i4")
+    by = np.lexsort((ids, owner))
+    return ids[by], np.searchsorted(owner[by], np.arange(len(vectors) + 1)), vectors, Graph(level_norms(vectors), layers)
 
 
 def search(vectors: DataFrame, is_query: Column, top: int = TOP, ef: int = EF, shard_rows: int = SHARD_ROWS) -> DataFrame:
@@ -242,41 +247,35 @@ def search(vectors: DataFrame, is_query: Column, top: int = TOP, ef: int = EF, s
     # Repeated query rows are searched once; different vectors of one id are queries each.
     queries = staged(clean.where(is_query).dropDuplicates(["vec_id", "v"]).withColumn("query_no", F.monotonically_increasing_id())).withColumn("dim", F.size("v"))
     blocks = max(1, -(-queries.count() // QUERY_ROWS))
-    shards = index.select((F.col("shard") + 0).alias("shard"), (F.col("dim") + 0).alias("dim"))  # columns of their own, as both sides of a join below hold them
+    shards = staged(index.select("shard", "dim"))  # two numbers per shard_rows vectors
     # Each query block meets each shard of its dimension: queries are a stated set, against all rows, in blocks.
-    dealt = queries.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int")).join(F.broadcast(shards), "dim")  # a row of two numbers per SHARD_ROWS vectors
+    dealt = queries.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int")).join(small(shards), "dim").select("shard", "dim", "block", "query_no", "vec_id", "v")
     graphs = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
-    def look(key, qs, graph):
-        import pandas as pd
+    def look(loaded, batch):
+        import pyarrow as pa
 
-        out = pd.DataFrame({"query_no": [], "query_id": [], "vec_id": [], "score": []}).astype({"query_no": "int64", "query_id": "int64", "vec_id": "int64", "score": "float64"})
-        if not len(qs) or not len(graph):
-            return out
-        ids, owner, nodes, net = read_graph(graph.iloc[0].to_dict())
-        numbers, q_ids, q = qs["query_no"].to_numpy(np.int64), qs["vec_id"].to_numpy(np.int64), np.stack(qs["v"].to_numpy()).astype(np.float64)
+        ids, begin, nodes, net = loaded
+        numbers, q_ids = (batch.column(c).to_numpy() for c in ("query_no", "vec_id"))
+        q = batch.column("v").flatten().to_numpy().reshape(len(q_ids), -1)
         flat = np.concatenate([q / np.maximum(np.sqrt((q * q).sum(axis=1, keepdims=True)), 1e-300), np.zeros((len(q), 1))], axis=1).astype(np.float32)
         found = net.search(flat, ef)
-        begin = np.searchsorted(owner, np.arange(len(nodes))) if np.all(owner[1:] >= owner[:-1]) else None
-        if begin is None:
-            by = np.lexsort((ids, owner))
-            ids, owner = ids[by], owner[by]
-            begin = np.searchsorted(owner, np.arange(len(nodes)))
-        stop = np.append(begin[1:], len(owner))
-        parts = []
+        which, near_ids, scores = [], [], []
         for i in range(len(q)):
             near = found[i][found[i] >= 0]
-            score = (nodes[near] * q[i]).sum(axis=1)
-            members = np.concatenate([np.arange(begin[k], stop[k]) for k in near]) if len(near) else np.zeros(0, int)
-            s = np.repeat(score, (stop - begin)[near])
-            v = ids[members]
+            n = begin[near + 1] - begin[near]
+            members = np.repeat(begin[near] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            s, v = np.repeat((nodes[near] * q[i]).sum(axis=1), n), ids[members]
             other = v != q_ids[i]
             s, v = s[other], v[other]
             best = np.lexsort((v, -s))[:top]
-            parts.append(pd.DataFrame({"query_no": numbers[i], "query_id": q_ids[i], "vec_id": v[best], "score": s[best]}))
-        return pd.concat(parts, ignore_index=True)
+            which.append(np.full(len(best), i))
+            near_ids.append(v[best])
+            scores.append(s[best])
+        which = np.concatenate(which)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (numbers[which], q_ids[which], np.concatenate(near_ids), np.concatenate(scores))], names=["query_no", "query_id", "vec_id", "score"])
 
-    met = dealt.groupBy("shard", "dim", "block").cogroup(graphs.groupBy("shard", "dim", "block")).applyInPandas(look, "query_no long, query_id long, vec_id long, score double")
+    met = meet(graphs, dealt, ["shard", "dim", "block"], lambda rows: read_graph(rows[0]), look, "query_no long, query_id long, vec_id long, score double")
     order = Window.partitionBy("query_no").orderBy(F.desc("score"), "vec_id")
     return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
 
