@@ -9,9 +9,10 @@ the pivot, the triangle inequality puts every vector of a block at least max(lea
 so a block has an upper bound of its scores. A query takes blocks from the best bound on and stops at the first bound below
 its k-th best score so far. The k-th best score over the pivots' sample, which is part of the candidates, is where it starts.
 
-Index blocks are a written table. They are bundled for tasks by pivot and, within one, by even shares; queries, in blocks,
-meet every bundle, and a window over k rows per query and bundle merges. The sample that pivots come from is the only thing
-collected: at most SAMPLE rows.
+Index blocks are a written table. They are bundled for tasks by pivot and, within one, by even shares. Each query's start and its
+distances from the pivots are found once; bundles whose bound is below its start are left out before anything is shipped, and queries go to the
+bundles that are left, in blocks of QUERY_ROWS. A window over k rows per query and bundle merges. The sample that pivots come from is the
+only thing collected: at most SAMPLE rows.
 
 Defined cases: vectors that are null, empty or hold a null or non-finite component take no part; all-zero ones do. Vectors of
 another length than a query's aren't its candidates. Ties go to the smaller id. Scores that don't fit 64 bits are
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wordvane.llm.common import staged
+from wordvane.llm.common import in_small_batches, meet, small, staged
 from wordvane.llm.hnsw import as_vectors
 
 SCALE = 1024.0
@@ -35,7 +36,7 @@ RINGS = 16
 SAMPLE = 2048
 BLOCK_ROWS = 2048
 BUNDLE_ROWS = 16_384
-QUERY_ROWS = 256
+QUERY_ROWS = 16_384
 BLOCK_SCHEMA = "dim int, pivot int, ring int, bundle int, least double, greatest double, norm2 double, ids binary, vectors binary"
 
 
@@ -81,11 +82,34 @@ class Pivots:
     def of(self, dim: int) -> tuple[np.ndarray, float, np.ndarray, np.ndarray]:
         return self.by_dim.get(dim) or (np.zeros((1, dim)), SCALE, np.zeros((0, dim)), np.zeros(0, np.int64))
 
-    def start(self, query_id: int, query: np.ndarray, top: int) -> int | None:
-        """The k-th best score over the sample without the query's own rows: a bound that the k-th best of all can't be below."""
-        _, _, rows, ids = self.of(len(query))
-        rows = rows[ids != query_id]
-        return None if len(rows) < top else int(np.sort(products(rows, query))[-top])
+    def starts(self, ids: np.ndarray, queries: np.ndarray, top: int) -> list[int | None]:
+        """Of each query, the k-th best score over the sample without its own rows: a bound that the k-th best of all can't be below."""
+        _, _, rows, held = self.of(queries.shape[1])
+        out: list[int | None] = []
+        for query_id, query in zip(ids, queries, strict=True):
+            others = products(rows, query)[held != query_id]
+            out.append(None if len(others) < top else int(np.partition(others, -top)[-top]))
+        return out
+
+
+def prepared(queries: DataFrame, pivots: Pivots, top: int) -> DataFrame:
+    """query_id, q (whole numbers), dim, square (of its norm), start, away (its distance from each pivot)."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        names = ["query_id", "q", "dim", "square", "start", "away"]
+        for batch in batches:
+            lengths = batch.column("v").value_lengths().to_numpy()
+            for dim in np.unique(lengths):
+                part = batch.take(pa.array(np.flatnonzero(lengths == dim)))
+                ids, q = part.column("vec_id").to_numpy(), integers(part.column("v").flatten().to_numpy()).reshape(-1, dim)
+                away = Pivots.distances(q, pivots.of(int(dim))[0])
+                listed = lambda x: pa.array(list(x), pa.list_(pa.float64()))
+                columns = [pa.array(ids), listed(q), pa.array(np.full(len(ids), dim), pa.int32()), pa.array((q * q).sum(axis=1)), pa.array(pivots.starts(ids, q, top), pa.int64()), listed(away)]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return in_small_batches(queries).select("vec_id", "v").mapInArrow(run, "query_id long, q array<double>, dim int, square double, start long, away array<double>")
 
 
 def keyed(vectors: DataFrame, pivots: Pivots) -> DataFrame:
@@ -159,29 +183,34 @@ def search(vectors: DataFrame, is_query: Column, top: int = TOP, block_rows: int
     sample = [(r["vec_id"], r["v"]) for r in clean.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()]
     pivots = Pivots(sample)
     blocks = staged(index_blocks(clean, pivots, block_rows, bundle_rows))
-    queries = clean.where(is_query).withColumn("dim", F.size("v"))
+    queries = staged(prepared(clean.where(is_query), pivots, top))
     shares = max(1, -(-queries.count() // QUERY_ROWS))
-    bundles = blocks.groupBy("dim", "pivot", "bundle").agg(F.count(F.lit(1)).alias("_n")).select((F.col("dim") + 0).alias("dim"), (F.col("pivot") + 0).alias("pivot"), (F.col("bundle") + 0).alias("bundle"))
-    # Each query block meets each bundle of its dimension: queries are a stated set, against all rows, in blocks.
-    dealt = queries.withColumn("share", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(shares)).cast("int")).join(F.broadcast(bundles), "dim")  # three numbers per bundle_rows vectors
-    meets = blocks.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
-
-    def look(key, qs, held):
-        import pandas as pd
-
-        out = [np.zeros(0, np.int64)] * 3
-        if len(qs) and len(held):
-            centre = pivots.of(int(key[0]))[0][int(key[1])]
-            parts = [(r.least, r.greatest, r.norm2, np.frombuffer(r.ids, "<i8"), np.frombuffer(r.vectors, "<f8").reshape(-1, int(key[0]))) for r in held.itertuples()]
-            rows = []
-            for query_id, v in zip(qs["vec_id"].to_numpy(np.int64), qs["v"], strict=True):
-                q = integers(np.asarray(v))
-                ids, scores = best_of_blocks(int(query_id), q, centre, parts, top, pivots.start(int(query_id), q, top))
-                rows.append((np.full(len(ids), query_id), ids, scores))
-            out = [np.concatenate(c) for c in zip(*rows, strict=True)]
-        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), out, strict=True)))
-
-    met = dealt.groupBy("dim", "pivot", "bundle", "share").cogroup(meets.groupBy("dim", "pivot", "bundle", "share")).applyInPandas(look, "query_id long, vec_id long, score long")
+    bundles = staged(blocks.groupBy("dim", "pivot", "bundle").agg(F.min("least").alias("least"), F.max("greatest").alias("greatest"), F.max("norm2").alias("norm2")))
+    # Each query block meets each bundle of its dimension that may hold one of its best: queries are a stated set, against all rows, in blocks.
+    c = F.col
+    far = F.greatest(c("least") - F.element_at("away", c("pivot") + 1), F.element_at("away", c("pivot") + 1) - c("greatest"), F.lit(0.0))
+    bound = F.least((c("square") + c("norm2") - far * far) / 2, F.sqrt(c("square") * c("norm2"))) + 1 + 1e-9 * (c("square") + c("norm2"))
+    pairs = queries.join(small(bundles), "dim").where(c("start").isNull() | (bound >= c("start").cast("double")))  # six numbers per bundle_rows vectors
+    dealt = pairs.withColumn("share", F.pmod(F.xxhash64("query_id", F.lit(1)), F.lit(shares)).cast("int")).select("dim", "pivot", "bundle", "share", "query_id", "q", "start")
+    meets = blocks.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1)))).select("dim", "pivot", "bundle", "share", "least", "greatest", "norm2", "ids", "vectors")
+
+    def load(rows):
+        centre = pivots.of(rows[0]["dim"])[0][rows[0]["pivot"]]
+        return centre, [(r["least"], r["greatest"], r["norm2"], np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["vectors"], "<f8").reshape(-1, r["dim"])) for r in rows]
+
+    def look(loaded, batch):
+        import pyarrow as pa
+
+        centre, parts = loaded
+        query_ids = batch.column("query_id").to_numpy()
+        qs = batch.column("q").flatten().to_numpy().reshape(len(query_ids), -1)
+        rows = []
+        for query_id, q, start in zip(query_ids, qs, batch.column("start").to_pylist(), strict=True):
+            ids, scores = best_of_blocks(int(query_id), q, centre, parts, top, start)
+            rows.append((np.full(len(ids), query_id), ids, scores))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*rows, strict=True)], names=["query_id", "vec_id", "score"])
+
+    met = meet(meets, dealt, ["dim", "pivot", "bundle", "share"], load, look, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
 
