@@ -79,18 +79,67 @@ def hides_content(attributes: str) -> bool:
 
 
 class Block:
-    __slots__ = ("text", "path", "names", "linked")
-
-    def __init__(self, text: str, path: tuple[str, ...], names: frozenset[str], linked: int):
-        self.text, self.path, self.names, self.linked = text, path, names, linked
+    """text, the features that its open ancestors have, its nearest ancestor that isn't inline, and how many of its characters are in links."""
+
+    __slots__ = ("text", "marks", "parent", "linked")
+
+    def __init__(self, text: str, marks: tuple[int, ...], parent: str, linked: int):
+        self.text, self.marks, self.parent, self.linked = text, marks, parent, linked
+
+
+class OpenElements:
+    """The elements that are open at a place of the page. What is asked of them is kept as they come and go, so that a page's time is in proportion to
+    its length however deep unclosed elements pile up: how many have each feature, where each kind stands, and which aren't inline."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, tuple[int, ...], bool]] = []
+        self.marks: dict[int, int] = {}
+        self.where: dict[str, list[int]] = {}
+        self.outer: list[str] = []
+        self.barriers: list[int] = []  # places of elements that neither flow in a line nor are closed by others of their kind
+        self.hidden = self.links = 0
+
+    def enter(self, name: str, marks: tuple[int, ...], hides: bool) -> None:
+        at = len(self.stack)
+        self.stack.append((name, marks, hides))
+        self.where.setdefault(name, []).append(at)
+        for m in marks:
+            self.marks[m] = self.marks.get(m, 0) + 1
+        if name not in INLINE:
+            self.outer.append(name)
+            if name not in SELF_CLOSING:
+                self.barriers.append(at)
+        self.hidden += hides
+        self.links += name == "a"
+
+    def leave(self, at: int) -> None:
+        """The element at a place closes, and all within it."""
+        while len(self.stack) > at:
+            name, marks, hides = self.stack.pop()
+            self.where[name].pop()
+            for m in marks:
+                self.marks[m] -= 1
+                if not self.marks[m]:
+                    del self.marks[m]
+            if name not in INLINE:
+                self.outer.pop()
+            if self.barriers and self.barriers[-1] == len(self.stack):
+                self.barriers.pop()
+            self.hidden -= hides
+            self.links -= name == "a"
+
+    def last(self, name: str, inside: bool = False) -> int | None:
+        """Where the innermost open element of a kind stands; inside: only if no barrier stands between."""
+        at = self.where.get(name)
+        return at[-1] if at and not (inside and self.barriers and self.barriers[-1] > at[-1]) else None
 
 
 def blocks(page: str) -> list[Block]:
     """Leaf blocks of a page in order, references decoded, white space as one blank, none empty."""
     out: list[Block] = []
-    stack: list[tuple[str, frozenset[str], bool]] = []
+    held = OpenElements()
     parts: list[str] = []
-    linked, in_link, hidden = 0, 0, 0
+    linked = 0
     at, end = 0, len(page)
 
     def close() -> None:
@@ -98,24 +147,16 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
-                names = frozenset().union(*(n for _, n, _ in stack)) if stack else frozenset()
-                out.append(Block(text, tuple(t for t, _, _ in stack), names, min(linked, len(text))))
+                out.append(Block(text, tuple(held.marks), held.outer[-1] if held.outer else "", min(linked, len(text))))
             parts.clear()
         linked = 0
 
-    def leave(k: int) -> None:
-        nonlocal hidden, in_link
-        for name, _, hides in stack[k:]:
-            hidden -= hides
-            in_link -= name == "a"
-        del stack[k:]
-
     while at < end:
         lt = page.find("<", at)
         text = page[at:] if lt < 0 else page[at:lt]
-        if text and not hidden:
+        if text and not held.hidden:
             parts.append(text)
-            if in_link:
+            if held.links:
                 linked += len(text.strip())
         if lt < 0:
             break
@@ -131,7 +172,7 @@ def blocks(page: str) -> list[Block]:
                 stop = page.find(">", lt)  # an odd quote; or the page ends in the tag
                 at = end if stop < 0 else stop + 1
             else:
-                if not hidden:
+                if not held.hidden:
                     parts.append("<")
                 at = lt + 1
             continue
@@ -143,19 +184,12 @@ def blocks(page: str) -> list[Block]:
         if name == "head":
             continue  # what hides there hides by itself; anything else stands in the body, whether head is closed or not
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    leave(k)
-                    break
+            if (place := held.last(name)) is not None:
+                held.leave(place)
             continue
-        if name in SELF_CLOSING:
-            # An open one of the same kind ends here, unless a list, table or other block stands between.
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    leave(k)
-                    break
-                if stack[k][0] not in INLINE and stack[k][0] not in SELF_CLOSING:
-                    break
+        # An open one of the same kind ends here, unless a list, table or other block stands between.
+        if name in SELF_CLOSING and (place := held.last(name, inside=True)) is not None:
+            held.leave(place)
         if name in VOID or m[3].endswith("/") and name not in RAW:
             continue
         if name in RAW:
@@ -164,11 +198,9 @@ def blocks(page: str) -> list[Block]:
             close()
             continue
         attributes = m[3]
-        names = frozenset(NAME_OF[w] for found in NAMES.findall(attributes) for x in found for w in map(str.lower, SPLIT_NAMES.findall(x)) if w in NAME_OF) if "=" in attributes else frozenset()
-        hides = name in HIDDEN or hides_content(attributes)
-        stack.append((name, names, hides))
-        hidden += hides
-        in_link += name == "a"
+        marks = {NAME_OF[w] for found in NAMES.findall(attributes) for x in found for w in map(str.lower, SPLIT_NAMES.findall(x)) if w in NAME_OF} if "=" in attributes else set()
+        on = tuple(sorted(INDEX[f"name:{g}"] for g in marks)) + ((INDEX[f"tag:{name}"],) if f"tag:{name}" in INDEX else ())
+        held.enter(name, on, name in HIDDEN or hides_content(attributes))
     close()
     return out
 
@@ -177,9 +209,8 @@ def observed(found: list[Block]) -> list[list[int]]:
     """Indices of the features that are on, of each block."""
     out = []
     for i, b in enumerate(found):
-        on = {f"tag:{t}" for t in b.path if f"tag:{t}" in INDEX} | {f"name:{g}" for g in b.names} | {"bias"}
-        parent = next((t for t in reversed(b.path) if t not in INLINE), "")
-        on.add("parent:heading" if re.fullmatch("h[1-6]", parent) else f"parent:{parent}")
+        on = {"bias"}
+        on.add("parent:heading" if re.fullmatch("h[1-6]", b.parent) else f"parent:{b.parent}")
         share, words = b.linked / len(b.text), b.text.count(" ") + 1
         on.add("links:all" if share > 0.8 else "links:half" if share > 0.3 else "links:none")
         on.add(f"len:{1 if words < 4 else 2 if words < 10 else 3 if words < 40 else 4}")
@@ -191,7 +222,7 @@ def observed(found: list[Block]) -> list[list[int]]:
             on.add("bar")
         if i == 0:
             on.add("first")
-        out.append([INDEX[f] for f in on if f in INDEX])
+        out.append([*b.marks, *(INDEX[f] for f in on if f in INDEX)])
     return out
 
 
