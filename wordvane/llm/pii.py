@@ -2,7 +2,7 @@
 
 Base spans are exact: patterns and checks for email, ip, card and phone, leftmost and non-overlapping per kind; they always
 stay. Besides, looser patterns propose candidates (numbers that a base pattern ran together or rejected, local phone
-numbers, written-out email addresses, identity numbers, titled names). Labelers of three sorts - patterns, gazetteers and
+numbers, written-out email and ip addresses, identity numbers, titled names). Labelers of three sorts - patterns, gazetteers and
 context - vote yes, no or nothing on every candidate and base span of the corpus. Expectation-maximisation estimates how
 reliable each labeler is on each kind, from the counts of all vote patterns; with the posteriors as soft labels a logistic
 regression is trained that decides on patterns of votes and shape. Accepted candidates are added.
@@ -41,11 +41,13 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile("[0-9]")
 NOT_DIGIT = re.compile("[^0-9]")
+NUMBERS = re.compile("[0-9]+")
 
 # Looser patterns of candidates, by kind.
 LOOSE = (
     ("card", re.compile(r"(?<![0-9])[0-9]{13,19}(?![0-9])|(?<![0-9])[0-9]{4}(?:[ -][0-9]{4}){3}(?![0-9])")),
     ("phone", re.compile(r"\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])|(?<![0-9.+-])\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9.-])|(?<![0-9.+-])0[0-9]{2,4}[ /-][0-9]{5,8}(?![0-9.-])")),
+    ("ip", re.compile(r"(?<![0-9A-Fa-f:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])|(?<![0-9.])[0-9]{1,3}(?: ?[\[(] ?(?:\.|dot) ?[\])] ?[0-9]{1,3}){3}(?![0-9])")),
     ("id", re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])|\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b")),
 )
 WRITTEN_EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?[\[(] ?at ?[\])] ?[A-Za-z0-9-]{1,63}(?: ?[\[(] ?dot ?[\])] ?[A-Za-z0-9-]{1,63}|\.[A-Za-z0-9-]{1,63}){1,4}", re.I)
@@ -54,9 +56,18 @@ TITLES = ("Mr", "Mrs", "Ms", "Dr", "Prof", "Herr", "Frau", "Monsieur", "Madame",
 TITLED = re.compile(rf"\b(?:{'|'.join(TITLES)})\.? [A-ZÀ-Þ][\w'’-]{{1,30}}(?: [A-ZÀ-Þ][\w'’-]{{1,30}})?")
 
 # Gazetteers and context words of the labelers.
-FIRST_NAMES = frozenset("james mary john patricia robert jennifer michael linda william elizabeth david barbara richard susan joseph jessica thomas sarah charles karen anna peter hans klaus ursula sabine monika jean pierre marie claire sophie luc jose juan maria carmen luis ana carlos lucia".split())
-DOMAIN_ENDS = frozenset("com org net edu gov io co info de fr es uk eu us ch at".split())
-COUNTRIES = frozenset("AT BE CH DE ES FR GB IE IT LU NL PT SE DK FI NO PL".split())
+FIRST_NAMES = frozenset(
+    """james mary john patricia robert jennifer michael linda william elizabeth david barbara richard susan joseph jessica thomas sarah charles karen
+    christopher lisa daniel nancy matthew betty anthony margaret mark sandra donald ashley steven kimberly paul emily andrew donna joshua michelle kenneth carol
+    kevin amanda brian melissa george deborah anna peter hans klaus ursula sabine monika jean pierre marie claire sophie luc jose juan maria carmen luis ana carlos lucia
+    jan lukas leon felix jonas finn paula lena mia hannah laura julia katharina stefan andreas wolfgang dieter heike birgit petra
+    jacques philippe nicolas isabelle nathalie camille antoine louis hugo manon juliette francois
+    miguel javier francisco antonio manuel pedro diego pablo elena isabel pilar rosa teresa mercedes alejandro sergio
+    giovanni giuseppe marco luca francesca giulia chiara alessandro ivan olga natalia dmitri sergei mohammed fatima ahmed wei li ming yuki hiroshi priya raj""".split()
+)
+DOMAIN_ENDS = frozenset("com org net edu gov mil int io co info biz dev app ai me tv eu uk us ca mx br ar cl de fr es it pt nl be lu ch at pl cz sk hu ro bg gr tr ru ua se no dk fi ie is ee lv lt in cn jp kr au nz za ng ke eg il sa ae sg hk tw th vn id my ph".split())
+#: Countries of the account numbers of IBAN.
+COUNTRIES = frozenset("AD AE AL AT AZ BA BE BG BH BR CH CR CY CZ DE DK DO EE ES FI FO FR GB GE GI GL GR GT HR HU IE IL IS IT KW KZ LB LI LT LU LV MC MD ME MK MR MT MU NL NO PK PL PS PT QA RO RS SA SE SI SK SM TN TR UA VG XK".split())
 FOR = {
     "email": ("mail", "contact", "reach", "write", "correo", "kontakt"),
     "ip": ("ip", "address", "host", "server", "client"),
@@ -113,7 +124,7 @@ def votes(text: str, kind: str, start: int, end: int) -> str:
     span, digits = text[start:end], NOT_DIGIT.sub("", text[start:end])
     n = len(digits)
     before = text[max(0, start - NEAR) : start].lower()
-    shape = {"email": "@" in span or "at" in span.lower(), "ip": n >= 4, "card": 13 <= n <= 19, "phone": 9 <= n <= 15 or (7 <= n <= 11 and span[0] in "(0"), "id": n >= 9, "name": True}[kind]
+    shape = {"email": "@" in span or "at" in span.lower(), "ip": n >= 4 or ":" in span, "card": 13 <= n <= 19, "phone": 9 <= n <= 15 or (7 <= n <= 11 and span[0] in "(0"), "id": n >= 9, "name": True}[kind]
     if kind == "card":
         check = "+" if luhn(digits) else "-"
     elif kind == "id" and span[:2].isalpha():
@@ -123,6 +134,9 @@ def votes(text: str, kind: str, start: int, end: int) -> str:
         check = "+" if span[:3] not in ("000", "666") and span[0] != "9" and span[4:6] != "00" and span[7:] != "0000" else "-"
     elif kind == "phone":
         check = "+" if len(set(digits)) > 2 else "-"
+    elif kind == "ip":
+        parts = span.split(":") if ":" in span else NUMBERS.findall(span)
+        check = "+" if len(set(parts)) > 1 and (":" in span or all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in parts)) else "-"
     else:
         check = "0"
     if kind == "email":
