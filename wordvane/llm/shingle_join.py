@@ -10,8 +10,9 @@ Groups of copies can hold a third of all rows, so no step lists all pairs of a g
 
 1. Documents of equal sets are one class from the start (counts and sums of set hashes, pre-aggregated).
 2. Star pass: in each list of documents with a prefix shingle, every one is paired with the list's first only. Verified
-   pairs join documents to components; a group of near copies mostly becomes one component, from a linear number of pairs.
-3. Exact pass: only lists with two components or more are joined with themselves, and only pairs of different components,
+   pairs join documents to components; a group of near copies mostly becomes one component, from a linear number of pairs. Lists of frequent
+   shingles are dealt to several tasks.
+3. Exact pass: only in lists with two components or more the rows of other components than the largest are joined with the list, and only pairs of different components,
    of fitting sizes and with room for enough shared shingles (by the places of the one they meet in) come out. All such
    pairs with enough matches are verified. Links within a component don't change components, so none that matters is lost.
 
@@ -107,6 +108,15 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint64).view(np.int64)
 
 
+#: A cell of the sketch is heavy from so many times the median on, and LEAST_HEAVY more; lists of its tokens are dealt to SALTS parts.
+HEAVY, LEAST_HEAVY, SALTS = 16, 10_000, 64
+
+
+def heavy_cells(frequency: np.ndarray) -> list[int]:
+    """The sketch's heavy cells: a sixteenth of all at most, as their counts are 16 times the median or more."""
+    return np.flatnonzero(frequency > HEAVY * np.median(frequency) + LEAST_HEAVY).tolist()
+
+
 SETS = "doc_id long, tag long, n long, sum_a long, sum_b long, cells binary"
 
 
@@ -294,9 +304,16 @@ def join(documents: DataFrame) -> DataFrame:
     least = members.groupBy("doc_id").agg(F.min("doc").alias("b"), F.max("doc").alias("_most")).where("b < _most")
     same_id = members.join(least, "doc_id").where("b < doc").select(F.col("doc").alias("a"), "b").distinct()
 
-    by_token, c = Window.partitionBy("token"), F.col
-    listed = prefix_rows(texts, frequency).withColumn("first", F.min(F.struct("doc", "info")).over(by_token)).withColumn("last", F.max("doc").over(by_token)).where("first.doc < last")
-    listed = staged(listed.select("token", "doc", "info", "first"))
+    c = F.col
+    # The list of a token whose cell is among the heavy ones may hold a large part of all documents: it is dealt to SALTS lists, whose ends are
+    # put together afterwards.
+    heavy = F.shiftrightunsigned("token", 64 - SKETCH_BITS).isin(heavy_cells(frequency))
+    part = F.when(heavy, F.pmod(F.xxhash64("doc"), F.lit(SALTS))).otherwise(0)
+    in_list = Window.partitionBy("token", "part")
+    met = prefix_rows(texts, frequency).withColumn("part", part).withColumn("first", F.min(F.struct("doc", "info")).over(in_list)).withColumn("last", F.max("doc").over(in_list))
+    met = staged(met.where(heavy | (c("first.doc") < c("last"))).select("token", "doc", "info", "first", "last"))
+    ends = staged(met.where(heavy).groupBy("token").agg(F.min("first").alias("first"), F.max("last").alias("last")).where("first.doc < last"))
+    listed = met.where(~heavy).drop("last").unionByName(met.where(heavy).drop("first", "last").join(small(ends.drop("last")), "token"))
 
     # Star pass: the two list heads that a document shares most prefix shingles with, where those are some part of its prefix. It decides
     # nothing for good: pairs that it leaves out are the exact pass's.
@@ -311,15 +328,22 @@ def join(documents: DataFrame) -> DataFrame:
 
     # Exact pass: what the star pass left apart. Shingles that two components share are numbered within each text: of those alone can a
     # crossing pair share any, so a shared one's number bounds how many they share before it, and places what may come after.
-    marked = listed.drop("first").join(near.select(c("node").alias("doc"), "root"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
-    marked = marked.withColumn("_least", F.min("root").over(by_token)).withColumn("_most", F.max("root").over(by_token)).where("_least < _most").drop("_least", "_most")
+    rooted = staged(listed.drop("first").join(near.select(c("node").alias("doc"), "root"), "doc", "left").withColumn("root", F.coalesce("root", "doc")))
+    # Of each token that several components share, the one that holds most of its rows; counts are combined before they move.
+    sizes = rooted.groupBy("token", "root").agg(F.count(F.lit(1)).alias("n"))
+    shared = staged(sizes.groupBy("token").agg(F.count(F.lit(1)).alias("roots"), F.max_by("root", F.struct("n", "root")).alias("main")).where("roots > 1").select("token", "main"))
     text_key = F.shiftleft(n, LEVEL_BITS) + level_of(c("info"))
-    marked = staged(marked.withColumn("text", text_key).withColumn("nth", F.row_number().over(Window.partitionBy("doc", "text").orderBy("info"))))
-    x, y = (marked.select(*[c(k).alias(f"{k}_{s}") for k in ("token", "doc", "info", "text", "nth", "root")]) for s in "xy")
+    marked = staged(rooted.join(small(shared), "token").withColumn("text", text_key).withColumn("nth", F.row_number().over(Window.partitionBy("doc", "text").orderBy("info"))))
+    # A token's rows of its main component meet only the others, and these each other once: a large component's rows never meet among themselves.
+    x, y = (marked.select(c("main").alias(f"main_{s}"), *[c(k).alias(f"{k}_{s}") for k in ("token", "doc", "info", "text", "nth", "root")]) for s in "xy")
     n_x, n_y, at_x, at_y = n_of(c("info_x")), n_of(c("info_y")), at_of(c("info_x")), at_of(c("info_y"))
-    fits = (c("doc_x") < c("doc_y")) & (c("root_x") != c("root_y")) & sizes_fit(n_x, n_y) & reaches(F.least("nth_x", "nth_y"), n_x, at_x, n_y, at_y)
-    crossing = x.join(y, (c("token_x") == c("token_y")) & fits)
-    enough = crossing.groupBy(c("doc_y").alias("a"), c("doc_x").alias("b"), "text_x", "text_y").agg(F.count(F.lit(1)).alias("shared"), F.max(at_x).alias("at_x"), F.max(at_y).alias("at_y"))
+    once = (c("root_y") == c("main_y")) | (c("doc_x") < c("doc_y"))
+    fits = once & (c("doc_x") != c("doc_y")) & (c("root_x") != c("root_y")) & sizes_fit(n_x, n_y) & reaches(F.least("nth_x", "nth_y"), n_x, at_x, n_y, at_y)
+    crossing = x.where("root_x <> main_x").join(y, (c("token_x") == c("token_y")) & fits)
+    # A pair may come out either way round: its smaller document is x from here on.
+    sides = {s: F.struct(c(f"doc_{s}").alias("doc"), c(f"text_{s}").alias("text"), at.alias("at")) for s, at in (("x", at_x), ("y", at_y))}
+    turned = crossing.select(F.when(c("doc_x") < c("doc_y"), sides["x"]).otherwise(sides["y"]).alias("x"), F.when(c("doc_x") < c("doc_y"), sides["y"]).otherwise(sides["x"]).alias("y"))
+    enough = turned.groupBy(c("y.doc").alias("a"), c("x.doc").alias("b"), c("x.text").alias("text_x"), c("y.text").alias("text_y")).agg(F.count(F.lit(1)).alias("shared"), F.max("x.at").alias("at_x"), F.max("y.at").alias("at_y"))
     level = lambda k: c(k) % (1 << LEVEL_BITS) % 4
     size = lambda k: F.shiftright(k, LEVEL_BITS)
     enough = enough.where((c("shared") >= F.least(level("text_x"), level("text_y"))) & reaches(c("shared"), size("text_x"), c("at_x"), size("text_y"), c("at_y")))
