@@ -8,6 +8,7 @@ from wordvane.llm import registry
 COLUMNS = {
     "op1": "page_id url text n_chars", "op2": "doc_id size source_size target taken", "op3": "query_id rank vec_id score", "op4": "doc_id n_shingles component_id", "op5": "doc_id piece start length ids_crc32 sequence_id offset",
     "op6": "doc_id n_email n_ip n_card n_phone base_sha256 spans", "op7": "query_id rank vec_id score", "op8": "page_id payload_bytes payload_digest record_type refers_to", "op9": "doc_id held_out lang_pred score", "op10": "page_id host path rule verdict",
+    "op11": "vec_id code error label_error codebooks_sha256", "op12": "doc_id keep_id group_size kept text_sha256", "op13": "anchor_id positive_id rank negative_id positive_score negative_score",
 }
 
 

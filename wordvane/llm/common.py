@@ -166,3 +166,25 @@ BROADCAST_ROWS = 1_000_000
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has no more than so many rows; as it is otherwise. Give it a staged table: it is counted."""
     return F.broadcast(df) if df.count() <= rows else df
+
+
+#: Rows of either side that one task of a pairing by shuffle gets at most, about.
+PAIR_ROWS = 16_384
+
+
+def paired(queries: DataFrame, parts: DataFrame, keys: list[str], most: int = 50_000, tile: int = PAIR_ROWS) -> DataFrame:
+    """Every query with every part of the same keys: a stated query set against summaries of all rows. Give it staged tables: they are counted.
+
+    Up to `most` parts are broadcast. Beyond that both sides are cut into tiles, each query goes to every tile of the parts and each part to every
+    tile of the queries, and a task gets one tile of each, even where all rows have the same keys.
+    """
+    n = parts.count()
+    if n <= most:
+        return queries.join(F.broadcast(parts), keys)
+    left, right = fresh([*queries.columns, *parts.columns], "_left", "_right")
+    wide, high = max(1, -(-queries.count() // tile)), max(1, -(-n // tile))
+
+    def dealt(df, own, cut, other, count):
+        return df.withColumn(own, F.pmod(F.xxhash64(*[c for c in df.columns if c not in keys and df.schema[c].dataType.typeName() != "map"]), F.lit(cut)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
+
+    return dealt(queries, left, wide, right, high).join(dealt(parts, right, high, left, wide), [*keys, left, right]).drop(left, right)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from wordvane.llm import hnsw, html_extract, language_id, mixing, packing, pii, pivot_search, shingle_join, url_filter, warc
+from wordvane.llm import exact_dedup, hard_negatives, hnsw, html_extract, language_id, mixing, packing, pii, pivot_search, shingle_join, url_filter, vector_codes, warc
 
 
 def queries() -> dict:
@@ -18,9 +18,20 @@ def queries() -> dict:
         "op8_warc": warc.op8_warc,
         "op9_language_id": language_id.op9_language_id,
         "op10_url_filter": url_filter.op10_url_filter,
+        "op11_vector_codes": vector_codes.op11_vector_codes,
+        "op12_exact_dedup": exact_dedup.op12_exact_dedup,
+        "op13_hard_negatives": hard_negatives.op13_hard_negatives,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": mixing.OP2_SQL, "op7_topk": pivot_search.OP7_SQL, "op8_warc": warc.OP8_SQL, "op10_url_filter": url_filter.op10_sql()}
+    return {
+        "op2_mixing": mixing.OP2_SQL,
+        "op7_topk": pivot_search.OP7_SQL,
+        "op8_warc": warc.OP8_SQL,
+        "op10_url_filter": url_filter.op10_sql(),
+        "op11_vector_codes": vector_codes.op11_sql(),
+        "op12_exact_dedup": exact_dedup.OP12_SQL,
+        "op13_hard_negatives": hard_negatives.OP13_SQL,
+    }
