@@ -25,7 +25,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 def unit(a: Column) -> Column:
     n = F.greatest(norm(a), F.lit(1e-8))
-    return F.transform(a, lambda x: x / n)
+    return F.zip_with(a, F.array_repeat(n, F.size(a)), lambda x, m: x / m)  # inside a lambda the norm would be found for each component
 
 
 def distance(a: Column, b: Column) -> Column:
