@@ -14,7 +14,7 @@ def fixed_columns(frame: DataFrame, schema: str) -> DataFrame:
 
 
 def write_csv(frame: DataFrame, path: str, schema: str, mode: str = "overwrite") -> None:
-    fixed_columns(frame, schema).write.mode(mode).option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    fixed_columns(frame, schema).write.mode(mode).option("header", True).option("quote", '"').option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def write_jsonl(frame: DataFrame, path: str, mode: str = "overwrite") -> None:
