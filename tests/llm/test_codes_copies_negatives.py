@@ -63,11 +63,9 @@ def test_bounds_leave_out_and_stay_right():
     rows = np.concatenate([centres, centres[rng.integers(0, 64, 900)] + rng.integers(-6, 7, (900, 32)), rng.integers(-1, 2, (40, 32))])
     x = vector_codes.split(rows)
     book = vector_codes.Codebook.start(rows[:64])
-    shape = x.shape[:2]
-    codes, upper, lower = np.zeros(shape, np.int64), np.full(shape, np.inf), np.zeros((*shape, 64))
     shares = []
-    for _ in range(4):
-        codes, far, upper, lower = vector_codes.assigned(x, book, codes, upper, lower)
+    for k in range(4):
+        codes, far, upper, lower = vector_codes.assigned(x, book, codes, upper, lower) if k else vector_codes.first_assigned(x, book)
         every = vector_codes.squares(x[:, :, None, :], book.entries[None])
         assert (codes == every.argmin(axis=2)).all() and (far == every.min(axis=2)).all()
         upper, lower = vector_codes.unpack_bounds(*vector_codes.pack_bounds(upper, lower, book), book)
@@ -76,7 +74,7 @@ def test_bounds_leave_out_and_stay_right():
         upper, lower = vector_codes.shifted(codes, upper, lower, book, new)
         shares.append(float((upper[:, :, None] >= np.maximum(lower, new.apart[np.arange(16), codes] / 2)).mean()))
         book = new
-    assert max(shares[1:]) < 0.2
+    assert max(shares) < 0.3, shares
 
 
 def test_codes_of_hot_label(spark):
@@ -129,13 +127,13 @@ def test_no_python_in_exact_dedup(spark, sf):
 
 def test_brackets_hold_the_score():
     rng = np.random.default_rng(2)
-    rows = rng.integers(-300, 300, (400, 4)).astype(float)
-    table = hard_negatives.Table({4: int((rows**2).sum(axis=1).max())}, [(i, 0, r.tolist()) for i, r in enumerate(rows[:100])])
+    rows = rng.integers(-300, 300, (400, 3)).astype(float)
+    table = hard_negatives.Table({3: int((rows**2).sum(axis=1).max())}, [(i, 0, r.tolist()) for i, r in enumerate(rows[:100])])
     away = table.away(rows).astype(np.float32).astype(float)
     mine = table.away(rows[:20], anchors=True)
     left = []
     for a, m in zip(rows[:20], mine, strict=True):
-        low, high = hard_negatives.bracket(float(a @ a) + table.norms[4], away, away, m)
+        low, high = hard_negatives.bracket(float(a @ a) + table.norms[3], away, away, m)
         scores = rows @ a
         assert (low <= scores).all() and (scores <= high).all()
         left.append((high >= np.sort(scores)[-6]).mean())

@@ -49,12 +49,14 @@ def quoted(names: list[str]) -> list[Column]:
     return [F.col(f"`{c.replace('`', '``')}`") for c in names]
 
 
-def staged(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
+def staged(df: DataFrame, partition_by: list[str] | None = None, codec: str | None = None) -> DataFrame:
     """df written as Parquet to the shared folder and read again: lineage ends there, and lost executors cost nothing."""
     path = f"{shared_dir(df.sparkSession)}/staged-{uuid.uuid4().hex}"
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
+    if codec:
+        writer = writer.option("compression", codec)
     writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -124,15 +126,17 @@ def running_sum(df: DataFrame, key: str, spot: str, order: list[str], value: str
     return whole.select(*quoted(columns), out)
 
 
-def meet(index: DataFrame, queries: DataFrame, keys: list[str], load, look, schema: str) -> DataFrame:
+def meet(index: DataFrame, queries: DataFrame, keys: list[str], load, look, schema: str, tasks: int | None = None) -> DataFrame:
     """look(load(index rows as dicts), a batch of query rows) for the rows of both sides with the same keys; look yields batches of the schema.
 
     Rows of both sides are dealt by the keys and sorted so that a key's index rows come before its queries. A task holds one key's index
-    and one batch of queries, however many queries there are; each index row moves once for each of its keys.
+    and one batch of queries, however many queries there are; each index row moves once for each of its keys. Where work is large beside bytes, give
+    the number of tasks: Spark would else put many keys together.
     """
     (side,) = fresh([*index.columns, *queries.columns], "_side")
     both = index.withColumn(side, F.lit(0)).unionByName(queries.withColumn(side, F.lit(1)), allowMissingColumns=True)
-    dealt = in_small_batches(both).repartition(*keys).sortWithinPartitions(*keys, side)
+    small_batches = in_small_batches(both)
+    dealt = (small_batches.repartition(tasks, *keys) if tasks else small_batches.repartition(*keys)).sortWithinPartitions(*keys, side)
     left, right = index.columns, queries.columns
 
     def run(batches):
