@@ -11,7 +11,7 @@ of rows by the least and greatest distance from each pivot; anchors aren't shipp
 
 Two searches: the positives, in bundles of one label; then, of all bundles, rows of other labels between the bounds that each positive
 score sets. Both start from what the sample, which is part of the candidates, already reaches. Anchors are a stated query set against all rows, in
-blocks. Bundles have BUNDLE_ROWS rows on average, so a frequent label or vector is many tasks; merges are windows over a few rows per anchor and
+blocks. Bundles have at most about BUNDLE_ROWS rows, so a frequent label or vector is many tasks; merges are windows over a few rows per anchor and
 bundle. The sample is the only thing collected: at most SAMPLE rows.
 
 Defined cases: rows with a null id or label, with a null or empty vector, or with a null or non-finite component take no part; all-zero
@@ -35,8 +35,9 @@ POSITIVES = 5
 NEGATIVES = 3
 PIVOTS = 16
 SAMPLE = 2048
-BUNDLE_ROWS = 16_384
+BUNDLE_ROWS = (2_048, 16_384)  # least and most: between them, as many as give each core several bundles
 QUERY_ROWS = 16_384
+MOST_TASKS = 20_000
 #: How far, in relation to the numbers they come from, brackets are widened beyond what rounding (distances are 32-bit floats) can do.
 MARGIN = 1e-6
 
@@ -218,10 +219,10 @@ def in_bundles(rows: DataFrame, ends: DataFrame, anchors: DataFrame, keys: list[
         dealt = dealt.withColumnRenamed("label", "own").withColumnRenamed("vec_id", "own_id").withColumnRenamed("q", "own_q")
     else:
         dealt = dealt.withColumn("own", F.col("label")).withColumnRenamed("vec_id", "own_id").withColumnRenamed("q", "own_q")
-    return meet(index, dealt, [*keys, "bundle", "block"], load(table), look, schema)
+    return meet(index, dealt, [*keys, "bundle", "block"], load(table), look, schema, tasks=min(MOST_TASKS, max(1, ends.count() * blocks)))
 
 
-def positives(rows: DataFrame, anchors: DataFrame, table: Table, bundle_rows: int = BUNDLE_ROWS, top: int = POSITIVES) -> DataFrame:
+def positives(rows: DataFrame, anchors: DataFrame, table: Table, bundle_rows: int, top: int = POSITIVES) -> DataFrame:
     """anchor, nth, positive_id, positive_score: the best rows of each anchor's own label."""
     dealt, ends = bundled(rows, ["dim", "label"], bundle_rows)
 
@@ -274,7 +275,7 @@ def with_floors(anchors: DataFrame, found: DataFrame, table: Table, top: int = N
     return in_small_batches(both.select(*columns)).mapInArrow(run, schema)
 
 
-def negatives(rows: DataFrame, anchors: DataFrame, table: Table, bundle_rows: int = BUNDLE_ROWS, top: int = NEGATIVES) -> DataFrame:
+def negatives(rows: DataFrame, anchors: DataFrame, table: Table, bundle_rows: int, top: int = NEGATIVES) -> DataFrame:
     """anchor, nth, rank, negative_id, negative_score of anchors as with_floors() gives them."""
     dealt, ends = bundled(rows, ["dim"], bundle_rows)
 
@@ -298,7 +299,7 @@ def negatives(rows: DataFrame, anchors: DataFrame, table: Table, bundle_rows: in
     return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 
 
-def mined(rows: DataFrame, is_anchor: Column, bundle_rows: int = BUNDLE_ROWS) -> DataFrame:
+def mined(rows: DataFrame, is_anchor: Column, bundle_rows: int | None = None) -> DataFrame:
     """anchor_id, positive_id, rank, negative_id, positive_score, negative_score of rows (vec_id, label, q, square)."""
     clean = staged(rows)
     norms = {r["dim"]: r["most"] for r in clean.groupBy(F.size("q").alias("dim")).agg(F.max("square").alias("most")).collect()}  # one row a vector length
@@ -306,6 +307,8 @@ def mined(rows: DataFrame, is_anchor: Column, bundle_rows: int = BUNDLE_ROWS) ->
     if not norms:
         return clean.select(F.col("vec_id").alias("anchor_id"), F.col("vec_id").alias("positive_id"), F.lit(0).alias("rank"), F.col("vec_id").alias("negative_id"), F.col("square").alias("positive_score"), F.col("square").alias("negative_score"))
     whole = staged(with_distances(clean, table))
+    if bundle_rows is None:
+        bundle_rows = min(BUNDLE_ROWS[1], max(BUNDLE_ROWS[0], whole.count() // (4 * rows.sparkSession.sparkContext.defaultParallelism)))
     anchors = staged(anchors_of(whole, is_anchor, table))
     found = staged(positives(whole, anchors, table, bundle_rows))
     ready = staged(with_floors(anchors, found, table))
