@@ -74,3 +74,32 @@ def test_correlation_report(spark):
     assert set(got) == {("a", "PRI"), ("a", "flat"), ("b", None)}
     assert got["a", "PRI"].spearman_rho == pytest.approx(1.0) and got["a", "PRI"].spearman_p == pytest.approx(0.0, abs=1e-6) and got["a", "PRI"].pearson_p == pytest.approx(stats.correlation_p(got["a", "PRI"].pearson_r, 6))
     assert (got["a", "flat"].pearson_r, got["a", "flat"].pearson_p) == (0.0, 1.0) and got["b", None].status == "insufficient_data"
+
+
+def test_exact_percentiles(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    groups = {"a": rng.normal(size=1001), "b": rng.integers(0, 5, 400).astype(float), "c": np.array([2.0]), "d": np.array([1.0, 2.0])}
+    rows = [(k, float(x)) for k, v in groups.items() for x in v] + [("a", None), ("e", None)]
+    shares = {"p0": 0.0, "p25": 0.25, "mid": 0.5, "p90": 0.9, "p100": 1.0}
+    got = {r.k: r for r in stats.exact_percentiles(spark.createDataFrame(rows, "k string, x double"), "k", "x", shares).collect()}
+    assert set(got) == set(groups)
+    for k, v in groups.items():
+        assert [got[k][n] for n in shares] == pytest.approx([np.quantile(v, p) for p in shares.values()])
+
+
+def test_pairs_of_a_huge_group(spark):
+    """Every pair once, in order; the pairs of one huge group are dealt to many keys of like size."""
+    from wordvane.plans.dialogue import pairs_within
+
+    rows = spark.range(300).select(F.when(F.col("id") < 260, 1).otherwise(F.col("id") % 7).alias("k"), F.col("id").alias("t"), F.col("id").cast("string").alias("x"))
+    for tile in (256, 20):
+        got = sorted(map(tuple, pairs_within(rows, "k", "t", "x", tile=tile).collect()))
+        members = {}
+        for r in rows.collect():
+            members.setdefault(r.k, []).append(r.t)
+        assert got == sorted((k, i, j, str(i), str(j)) for k, ts in members.items() for i in ts for j in ts if i < j)
+    many = spark.range(20_000).select(F.lit(1).alias("k"), F.col("id").alias("t"))
+    blocks = many.groupBy(F.pmod(F.xxhash64("t"), F.lit(79)).alias("b")).count().select("count").collect()
+    assert max(r["count"] for r in blocks) ** 2 < 4 * (20_000 / 79) ** 2

@@ -72,19 +72,26 @@ def importance(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     return floored.join(most, "instance").select("instance", "unit", (F.col("imp") / F.col("most")).alias("imp"))
 
 
+def in_tiles(left: DataFrame, right: DataFrame, key: str, left_item: str, right_item: str, tile: int):
+    """Both sides cut into tiles of about `tile` items a key, each left tile beside each right one: cogroups of (key, left tile, right tile). Written tables, please."""
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])  # both may come from one table
+    sizes = lambda df, name: df.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias(name))
+    cuts = staged(sizes(left, "lt").join(sizes(right, "rt"), key))
+
+    def dealt(df: DataFrame, item: str, own: str, other: str):
+        cut = lookup(df, cuts, [key], "inner")
+        placed = cut.withColumn(f"_{own}", F.pmod(F.xxhash64(item), F.col(own)).cast("int")).withColumn(f"_{other}", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+        return placed.drop("lt", "rt").groupBy(key, "_lt", "_rt")
+
+    return dealt(left, left_item, "lt", "rt").cogroup(dealt(right, right_item, "rt", "lt"))
+
+
 def similar_units(wanted: DataFrame, held: DataFrame, unit_vectors: DataFrame, least: float = LEAST_COSINE, tile: int = TILE) -> DataFrame:
     """instance, ref, unit, sim: pairs of a wanted and a held unit of one instance whose cosine, rounded to 9 digits, is `least` or more. A unit
     without a vector is in none. A tile is one product of two small matrices."""
     known = unit_vectors.select("unit", vectors.unit(F.col("v")).alias("v"))
     left = staged(lookup(wanted, known, ["unit"], "inner").select("instance", F.col("unit").alias("ref"), F.col("v").alias("rv")))
     right = staged(lookup(staged(held.select("instance", "unit").distinct()), known, ["unit"], "inner").select("instance", "unit", F.col("v").alias("uv")))
-    sizes = lambda df, name: df.groupBy("instance").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias(name))
-    cuts = staged(sizes(left, "lt").join(sizes(right, "rt"), "instance"))
-
-    def dealt(df: DataFrame, item: str, own: str, other: str) -> DataFrame:
-        cut = lookup(df, cuts, ["instance"], "inner")
-        return cut.withColumn(f"_{own}", F.pmod(F.xxhash64(item), F.col(own)).cast("int")).withColumn(f"_{other}", F.explode(F.sequence(F.lit(0), F.col(other) - 1))).drop("lt", "rt")
-
     def products(a, b):
         import numpy as np
         import pandas as pd
@@ -95,9 +102,8 @@ def similar_units(wanted: DataFrame, held: DataFrame, unit_vectors: DataFrame, l
         i, j = np.nonzero(sims >= least)
         return pd.DataFrame({"instance": a["instance"].to_numpy()[i], "ref": a["ref"].to_numpy()[i], "unit": b["unit"].to_numpy()[j], "sim": sims[i, j]})
 
-    tiles = lambda df: df.groupBy("instance", "_lt", "_rt")
     schema = T.StructType([wanted.schema["instance"], T.StructField("ref", T.StringType()), T.StructField("unit", T.StringType()), T.StructField("sim", T.DoubleType())])
-    return tiles(dealt(left, "ref", "lt", "rt")).cogroup(tiles(dealt(right, "unit", "rt", "lt"))).applyInPandas(products, schema)
+    return in_tiles(left, right, "instance", "ref", "unit", tile).applyInPandas(products, schema)
 
 
 def best_matches(similar: DataFrame, held: DataFrame) -> DataFrame:
@@ -186,3 +192,35 @@ def correctness(responses: DataFrame, response_vectors: DataFrame, reference_vec
     mixed = scores.clamp01(0.4 * c("cosine") + 0.2 * c("adequacy") + 0.4 * c("entity_coverage"))
     out = out.withColumn("cs", F.when(c("entity_coverage") < 0.2, mixed * 0.6).otherwise(mixed))
     return out.withColumn("flag", F.when(~c("_there"), "missing_reference").when(c("cs") < 0.25, "irrelevant")).drop("_there")
+
+
+def token_matching(texts: DataFrame, token_vectors: DataFrame, tile: int = TILE) -> DataFrame:
+    """pair, precision, recall, f1, available: greedy matching of each token with the most similar one of the other text, both ways.
+
+    texts: pair, reference, response; token_vectors: unit, v (made outside, of any length). Tokens count as often as they stand. A token without a vector is
+    similar to none; where a text has tokens but no vector at all nothing can be matched, and available is false. Blank texts give zeros.
+    """
+    long = texts.select("pair", F.explode(F.array(F.struct(F.lit("p").alias("side"), F.col("response").alias("t")), F.struct(F.lit("r").alias("side"), F.col("reference").alias("t")))).alias("s")).select("pair", "s.*")
+    counts = staged(long.select("pair", "side", F.explode(text.tokens(F.col("t"))).alias("unit")).groupBy("pair", "side", "unit").agg(F.count(F.lit(1)).alias("n")))
+    known = staged(lookup(counts, token_vectors.select("unit", vectors.unit(F.col("v")).alias("v")), ["unit"], "inner"))
+
+    def products(a, b):
+        import numpy as np
+        import pandas as pd
+
+        if not len(a) or not len(b):
+            return pd.DataFrame({"pair": a["pair"][:0], "side": [], "unit": [], "best": []})
+        sims = np.stack(a["v"].to_numpy()) @ np.stack(b["v"].to_numpy()).T
+        return pd.DataFrame({"pair": [a["pair"].iloc[0]] * (len(a) + len(b)), "side": ["p"] * len(a) + ["r"] * len(b), "unit": [*a["unit"], *b["unit"]], "best": [*sims.max(axis=1), *sims.max(axis=0)]})
+
+    schema = T.StructType([texts.schema["pair"], T.StructField("side", T.StringType()), T.StructField("unit", T.StringType()), T.StructField("best", T.DoubleType())])
+    of = lambda side: known.where(F.col("side") == side).select("pair", "unit", "v")
+    best = in_tiles(of("p"), of("r"), "pair", "unit", "unit", tile).applyInPandas(products, schema).groupBy("pair", "side", "unit").agg(F.max("best").alias("best"))
+    met = counts.join(known.select("pair", "side", "unit", F.lit(1).alias("has")), ["pair", "side", "unit"], "left").join(best, ["pair", "side", "unit"], "left")
+    side = lambda s, c: F.when(F.col("side") == s, F.col(c))
+    mean = lambda s: F.coalesce(F.try_divide(F.sum(F.when(F.col("side") == s, F.col("n") * F.coalesce("best", F.lit(0.0)))), F.sum(side(s, "n"))), F.lit(0.0))
+    there = lambda s: (F.count(side(s, "n")) == 0) | (F.count(side(s, "has")) > 0)
+    sums = met.groupBy("pair").agg(mean("p").alias("precision"), mean("r").alias("recall"), (there("p") & there("r")).alias("available"))
+    f1 = F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0)).alias(c)
+    return texts.select("pair").join(sums.withColumn("f1", f1), "pair", "left").select("pair", zero("precision"), zero("recall"), zero("f1"), F.coalesce("available", F.lit(True)).alias("available"))

@@ -28,6 +28,29 @@ def tie_ranks(df: DataFrame, key: str, value: str, slices: int = 64) -> DataFram
     return ranked.select(key, value, (F.col("_start") + inside + (F.col("_n") + 1) / 2.0).cast("double").alias("rank"))
 
 
+def exact_percentiles(df: DataFrame, key: str, value: str, shares: dict[str, float], slices: int = 64) -> DataFrame:
+    """key and, for each name in shares, the percentile of the key's values, interpolated between neighbours; nulls are left out.
+
+    Values of a key are cut into slices at approximate quantiles and counted; then only the slices that hold a wanted rank are ordered, each for itself.
+    No task gets all values of a key, and none has more than a few numbers for each of its keys.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(key, F.col(value).cast("double").alias("_v"))
+    counts = rows.groupBy(key, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    cuts = counts.groupBy(key).agg(F.percentile_approx("_v", [i / slices for i in range(1, slices)], 1000).alias("_cuts"), F.sum("_n").alias("_all"))
+    placed = counts.join(cuts, key).withColumn("_slice", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
+    sums = placed.groupBy(key, "_slice").agg(F.sum("_n").alias("_sum"), F.first("_all").alias("_all"))
+    before = lambda keys, order: Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.withColumn("_start", F.coalesce(F.sum("_sum").over(before([key], "_slice")), F.lit(0)))
+    place = lambda p: F.lit(p) * (F.col("_all") - 1)
+    ranks = F.array(*[F.struct(F.lit(n).alias("p"), F.lit(s).alias("side"), f(place(p)).cast("long").alias("rank")) for n, p in shares.items() for s, f in (("low", F.floor), ("high", F.ceil))])
+    wanted = starts.withColumn("_r", F.explode(ranks)).where((F.col("_r.rank") >= F.col("_start")) & (F.col("_r.rank") < F.col("_start") + F.col("_sum"))).select(key, "_slice", "_start", "_all", "_r.*")
+    some = placed.drop("_all").join(wanted.select(key, "_slice").distinct(), [key, "_slice"], "left_semi").withColumn("_before", F.coalesce(F.sum("_n").over(before([key, "_slice"], "_v")), F.lit(0)))
+    found = wanted.join(some, [key, "_slice"]).where((F.col("rank") >= F.col("_start") + F.col("_before")) & (F.col("rank") < F.col("_start") + F.col("_before") + F.col("_n")))
+    at = lambda n, s: F.max(F.when((F.col("p") == n) & (F.col("side") == s), F.col("_v")))
+    mixed = [(at(n, "low") + (at(n, "high") - at(n, "low")) * (place(p) - F.floor(place(p)))).alias(n) for n, p in ((n, p) for n, p in shares.items())]
+    return found.groupBy(key, "_all").agg(*mixed).drop("_all")
+
+
 def guarded_corr(x: str, y: str):
     """Correlation, 0 where a column is nearly constant or there are fewer than three rows; never a division by zero."""
     sx, sy = F.stddev_pop(x), F.stddev_pop(y)

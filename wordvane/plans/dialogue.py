@@ -20,11 +20,25 @@ def turns(spark, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
 
 
-def pairs_within(items: DataFrame, key: str, index: str, *columns: str) -> DataFrame:
-    """Unordered pairs of a group's members, i before j: an equi-join on the group with a residual."""
-    left = items.select(key, F.col(index).alias("i"), *[F.col(c).alias(f"{c}_i") for c in columns])
-    right = items.select(F.col(key).alias("_key"), F.col(index).alias("j"), *[F.col(c).alias(f"{c}_j") for c in columns])
-    return left.join(right, (F.col(key) == F.col("_key")) & (F.col("i") < F.col("j"))).drop("_key")
+#: Members of a group that one tile of its pairs takes from either side, about.
+PAIR_TILE = 256
+
+
+def pairs_within(items: DataFrame, key: str, index: str, *columns: str, tile: int = PAIR_TILE) -> DataFrame:
+    """Unordered pairs of a group's members, i before j, by an equi-join on tiles: members are dealt to blocks, and each pair of blocks is a key of its own,
+    so that a huge group is many tasks. A group of one block is one key."""
+    blocks = items.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("_blocks"))
+    dealt = items.select(key, F.col(index).alias("_i"), *columns).join(blocks, key).withColumn("_b", F.pmod(F.xxhash64("_i"), F.col("_blocks")).cast("int"))
+    left = dealt.withColumn("_c", F.explode(F.sequence(F.col("_b"), F.col("_blocks") - 1))).select(F.col(key), "_b", "_c", "_i", *columns)
+    right = dealt.withColumn("_a", F.explode(F.sequence(F.lit(0), F.col("_b")))).select(F.col(key).alias("_key"), "_a", F.col("_b").alias("_d"), F.col("_i").alias("_j"), *[F.col(c).alias(f"_{c}") for c in columns])
+    same_tile = (F.col(key) == F.col("_key")) & (F.col("_b") == F.col("_a")) & (F.col("_c") == F.col("_d"))
+    met = left.join(right, same_tile & ((F.col("_b") < F.col("_c")) | (F.col("_i") < F.col("_j"))) & (F.col("_i") != F.col("_j")))
+    first = F.col("_i") < F.col("_j")  # of two blocks either may hold the earlier member
+    either = lambda x, y: [F.when(first, F.col(x)).otherwise(F.col(y)), F.when(first, F.col(y)).otherwise(F.col(x))]
+    out = [F.col(key)] + [x.alias(n) for x, n in zip(either("_i", "_j"), ("i", "j"), strict=True)]
+    for c in columns:
+        out += [x.alias(f"{c}_{n}") for x, n in zip(either(c, f"_{c}"), ("i", "j"), strict=True)]
+    return met.select(*out)
 
 
 def exchanges(spark, sf_dir: str) -> DataFrame:
@@ -300,22 +314,23 @@ def contiguity(spark, sf_dir):
 
 
 @query("""with l as (select conv_id, list(md5(text) order by turn) as t from conversations group by conv_id), p as (select conv_id, t || list_transform(range(greatest(0, 10 - len(t))), lambda i: t[len(t)]) as t from l)
-select conv_id, i - 1 as slot, t[i] as text_md5 from p, (select unnest(range(1, 11)) as i) where i <= len(t)""")
+select conv_id, unnest(range(0, len(t))) as slot, unnest(t) as text_md5 from p""")
 def padded_variants(spark, sf_dir):
-    """Groups padded to ten members with their last one."""
-    g = turns(spark, sf_dir).groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.md5("text").alias("m")))), lambda s: s["m"]).alias("t"))
-    full = F.concat("t", F.array_repeat(F.element_at("t", -1), F.greatest(F.lit(0), 10 - F.size("t"))))
-    return g.select("conv_id", F.posexplode(full).alias("slot", "text_md5")).where("slot < 10").select("conv_id", F.col("slot").cast("long").alias("slot"), "text_md5")
+    """Groups of fewer than ten members padded to ten with their last one; larger ones as they are."""
+    t = turns(spark, sf_dir).select("conv_id", "turn", F.md5("text").alias("text_md5"))
+    own = t.select("conv_id", (F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1).cast("long").alias("slot"), "text_md5")
+    last = t.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.max_by("text_md5", "turn").alias("text_md5")).where("n < 10")
+    return own.unionByName(last.select("conv_id", F.explode(F.sequence(F.col("n"), F.lit(9).cast("long"))).alias("slot"), "text_md5"))
 
 
 @query("""select conv_id, max(case when turn = 0 then md5(text) end) as v0, max(case when turn = 1 then md5(text) end) as v1, max(case when turn = 2 then md5(text) end) as v2, max(case when turn = 3 then md5(text) end) as v3, max(case when turn = 4 then md5(text) end) as v4,
- round(avg(case when turn < 5 then length(text) end), 6) as avg_length from conversations group by conv_id""")
+ sum(case when turn >= 5 then ('0x' || substr(md5(turn || ':' || text), 1, 8))::bigint end)::bigint as rest, count(*) filter (turn >= 5) as n_rest, round(avg(length(text)), 6) as avg_length from conversations group by conv_id""")
 def wide_variants(spark, sf_dir):
-    """Variants as columns, with a row average."""
-    t = turns(spark, sf_dir)
-    wide = t.groupBy("conv_id").pivot("turn", [0, 1, 2, 3, 4]).agg(F.max(F.md5("text")))
-    mean = t.groupBy("conv_id").agg(F.round(F.avg(F.when(F.col("turn") < 5, F.length("text"))), 6).alias("avg_length"))
-    return wide.select("conv_id", *[F.col(str(i)).alias(f"v{i}") for i in range(5)]).join(mean, "conv_id")
+    """The first five variants as columns, number and checksum of the further ones, and an average over all."""
+    t, k = turns(spark, sf_dir), F.col("turn")
+    check = F.conv(F.substring(F.md5(F.concat(k.cast("string"), F.lit(":"), "text")), 1, 8), 16, 10).cast("long")
+    columns = [F.max(F.when(k == i, F.md5("text"))).alias(f"v{i}") for i in range(5)]
+    return t.groupBy("conv_id").agg(*columns, F.sum(F.when(k >= 5, check)).alias("rest"), F.count(F.when(k >= 5, 1)).alias("n_rest"), F.round(F.avg(F.length("text")), 6).alias("avg_length"))
 
 
 @query(f"""with {EXCHANGES}, p as (select conv_id, pos, question as premise, answer as hypothesis, 'fwd' as d from x union all select conv_id, pos, answer, question, 'rev' from x),

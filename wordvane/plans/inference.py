@@ -69,10 +69,10 @@ ALWAYS = ("PRI", "SMS", "CS", "Faithfulness", "TRD")
 def _simpson(start: str) -> str:
     """The integral of cos(x) ** (n - 3) from start to half of pi."""
     width = f"(pi() / 2 - {start})"
-    return f"({width} * list_sum(list_transform(range(0, 4001), lambda i: case when i = 0 or i = 4000 then 1 when i % 2 = 1 then 4 else 2 end * exp((n - 3) * ln(greatest(cos({start} + {width} * i / 4000), 1e-300))))))"
+    return f"({width} * list_sum(list_transform(range(0, 10001), lambda i: case when i = 0 or i = 10000 then 1 when i % 2 = 1 then 4 else 2 end * exp((n - 3) * ln(greatest(cos({start} + {width} * i / 10000), 1e-300))))))"
 
 
-@query(f"""with {COMPOSED}, n as (select case when instance = 1 then 'order 1/' else '' end || model as grp, human, {', '.join(f"{c} as {m}" for c, m in METRICS.items() if c not in ('trd_semantic', 'kpig_advanced'))}, case when model % 2 = 0 then 0.0 else bf end as TRD_Semantic, case when model % 3 = 0 then kpig else 0.0 end as KPIG_Advanced from k),
+@query(f"""with {COMPOSED}, n as (select case when instance = 1 then 'order 1/' else '' end || model as grp, floor(human * 10000) / 10000 as human, {', '.join(f"{c} as {m}" for c, m in METRICS.items() if c not in ('trd_semantic', 'kpig_advanced'))}, case when model % 2 = 0 then 0.0 else bf end as TRD_Semantic, case when model % 3 = 0 then kpig else 0.0 end as KPIG_Advanced from k),
 u as (unpivot n on {', '.join(METRICS.values())} into name metric value x), c as (select grp, metric, count(*) as n, bool_or(x <> 0) as nonzero, stddev_pop(x) < 1e-10 or stddev_pop(human) < 1e-10 as flat from u group by all),
 k2 as (select *, rank() over (partition by grp, metric order by x) + (count(*) over (partition by grp, metric, x) - 1) / 2.0 as rx, rank() over (partition by grp, metric order by human) + (count(*) over (partition by grp, metric, human) - 1) / 2.0 as rh from u),
 r as (select grp, metric, any_value(c.n) as n, case when any_value(flat) then 0.0 else corr(x, human) end as pr, case when any_value(flat) then 0.0 else corr(rx, rh) end as sr from k2 join c using (grp, metric) where c.n >= 3 and (nonzero or metric in ({', '.join(repr(x) for x in ALWAYS)})) group by all),
@@ -82,6 +82,6 @@ def correlation_analysis(spark, sf_dir):
     """Composites and metrics with the human score, Pearson and Spearman with p; too small groups are reported, optional metrics only where they aren't 0 throughout."""
     g, c = composites(scored(spark, sf_dir)), F.col
     group = F.concat(F.when(c("instance") == 1, "order 1/").otherwise(""), c("model").cast("string"))
-    wide = g.select(group.alias("model"), "human", *[c(k).alias(m) for k, m in METRICS.items() if k not in ("trd_semantic", "kpig_advanced")], F.when(c("model") % 2 == 0, 0.0).otherwise(c("bf")).alias("TRD_Semantic"), F.when(c("model") % 3 == 0, c("kpig")).otherwise(0.0).alias("KPIG_Advanced"))
+    wide = g.select(group.alias("model"), (F.floor(F.col("human") * 10000) / 10000).alias("human"), *[c(k).alias(m) for k, m in METRICS.items() if k not in ("trd_semantic", "kpig_advanced")], F.when(c("model") % 2 == 0, 0.0).otherwise(c("bf")).alias("TRD_Semantic"), F.when(c("model") % 3 == 0, c("kpig")).otherwise(0.0).alias("KPIG_Advanced"))
     out = significance.correlation_report(wide.unpivot(["model", "human"], list(METRICS.values()), "metric", "x"), "model", "metric", "x", "human", ALWAYS)
     return out.select("model", "metric", "status", "n", *[F.round(x, d).alias(x) for x, d in (("pearson_r", 4), ("pearson_p", 6), ("spearman_rho", 4), ("spearman_p", 6))])

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wordvane.functions import fixed, scores, text, vectors
+from wordvane.operators import stats
 from wordvane.plans.catalog import query
 from wordvane.plans.dialogue import TOKENS, WORDS
 from wordvane.session import table
+from wordvane.sources.stores import staged
 
 
 def seeded(key: Column, seed: int = 42) -> Column:
@@ -241,7 +243,9 @@ def similarity_findings(spark, sf_dir):
 def dataset_stats(spark, sf_dir):
     """Similarity statistics of each group, with exact interpolated percentiles."""
     r = lambda c, name: F.round(c, 6).alias(name)
-    return similarities(spark, sf_dir).groupBy("label").agg(F.count(F.lit(1)).alias("n"), r(F.avg("sim"), "mean"), r(F.stddev_pop("sim"), "std"), r(F.min("sim"), "least"), r(F.max("sim"), "most"), r(F.percentile("sim", 0.25), "p25"), r(F.percentile("sim", 0.75), "p75"))
+    s = staged(similarities(spark, sf_dir))
+    g = s.groupBy("label").agg(F.count(F.lit(1)).alias("n"), r(F.avg("sim"), "mean"), r(F.stddev_pop("sim"), "std"), r(F.min("sim"), "least"), r(F.max("sim"), "most"))
+    return g.join(stats.exact_percentiles(s, "label", "sim", {"p25": 0.25, "p75": 0.75}).select("label", r("p25", "p25"), r("p75", "p75")), "label")
 
 
 def band(sim: Column, task: Column) -> Column:
@@ -297,7 +301,9 @@ def metric_summary(spark, sf_dir):
     """A05, unpivot: summary statistics of each metric; nulls are left out."""
     r = lambda c, name: F.round(c, 6).alias(name)
     v = F.col("value")
-    return unpivoted(spark, sf_dir).groupBy("metric").agg(r(F.avg(v), "mean"), r(F.stddev_pop(v), "std"), r(F.min(v), "least"), r(F.max(v), "most"), r(F.median(v), "median"), F.count(v).alias("n"))
+    long = unpivoted(spark, sf_dir)
+    g = long.groupBy("metric").agg(r(F.avg(v), "mean"), r(F.stddev_pop(v), "std"), r(F.min(v), "least"), r(F.max(v), "most"), F.count(v).alias("n"))
+    return g.join(stats.exact_percentiles(long, "metric", "value", {"median": 0.5}).select("metric", r("median", "median")), "metric")
 
 
 def unpivoted(spark, sf_dir) -> DataFrame:
