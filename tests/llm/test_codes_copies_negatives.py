@@ -126,18 +126,23 @@ def test_no_python_in_exact_dedup(spark, sf):
 
 
 def test_brackets_hold_the_score():
+    """Survivors are exactly the rows with a score between the bounds; few others have to be checked where vectors have few components."""
     rng = np.random.default_rng(2)
     rows = rng.integers(-300, 300, (400, 3)).astype(float)
     table = hard_negatives.Table({3: int((rows**2).sum(axis=1).max())}, [(i, 0, r.tolist()) for i, r in enumerate(rows[:100])])
-    away = table.away(rows).astype(np.float32).astype(float)
-    mine = table.away(rows[:20], anchors=True)
-    left = []
-    for a, m in zip(rows[:20], mine, strict=True):
-        low, high = hard_negatives.bracket(float(a @ a) + table.norms[3], away, away, m)
-        scores = rows @ a
-        assert (low <= scores).all() and (scores <= high).all()
-        left.append((high >= np.sort(scores)[-6]).mean())
-    assert np.mean(left) < 0.3
+    loaded = hard_negatives.load(table)([{"vec_id": i, "label": i % 2, "q": r.astype(int).tolist(), "away": a.tolist()} for i, (r, a) in enumerate(zip(rows, table.away(rows).astype(np.float32), strict=True))])
+    checked, exact = [], hard_negatives.exact
+    hard_negatives.exact = lambda part, *a: (checked.append(len(part)), exact(part, *a))[1]
+    try:
+        for a, m in zip(rows[:40], table.away(rows[:40], anchors=True), strict=True):
+            scores = (rows @ a).astype(np.int64)
+            for lowest, highest in ((int(np.sort(scores)[-6]), None), (int(np.sort(scores)[-40]), int(np.sort(scores)[-20])), (None, 0), (None, None)):
+                ids, found = hard_negatives.survivors(loaded, table, a, m, loaded[1] == 0, lowest, highest)
+                want = (loaded[1] == 0) & (scores >= (-(2**62) if lowest is None else lowest)) & (scores <= (2**62 if highest is None else highest))
+                assert (ids == np.flatnonzero(want)).all() and (found == scores[want]).all()
+    finally:
+        hard_negatives.exact = exact
+    assert np.mean(checked[::4]) < 100
 
 
 def test_negatives_in_small_bundles(spark, tmp_path):

@@ -66,15 +66,6 @@ class Table:
         return np.stack([np.sqrt(((whole - p) ** 2).sum(axis=1)) for p in pivots], axis=1)
 
 
-def bracket(square: float, least: np.ndarray, greatest: np.ndarray, mine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(lowest, highest) score of rows that lie between least and greatest (rows, pivots) from the pivots, for an anchor `mine` away
-    from them. square: |a|^2 + M^2."""
-    near = np.maximum(np.maximum(least - mine, mine - greatest), 0).max(axis=1)
-    far = (greatest + mine).min(axis=1)
-    slack = 1 + MARGIN * square
-    return (square - far * far) / 2 - slack, (square - near * near) / 2 + slack
-
-
 def window_of(positive: int) -> tuple[int, int]:
     """The scores s with 50 * positive <= 100 * s <= 95 * positive."""
     return -(-positive // 2), 19 * positive // 20
@@ -174,22 +165,33 @@ def load(table: Table):
 
     def of(rows):
         q = np.array([r["q"] for r in rows], np.float64)
-        return np.array([r["vec_id"] for r in rows], np.int64), np.array([r["label"] for r in rows], np.int64), q, np.array([r["away"] for r in rows], np.float64)
+        away = np.array([r["away"] for r in rows], np.float32)
+        return np.array([r["vec_id"] for r in rows], np.int64), np.array([r["label"] for r in rows], np.int64), q, away, float(np.abs(q).max(initial=0.0))
 
     return of
 
 
+def exact(rows: np.ndarray, largest: float, anchor: np.ndarray) -> np.ndarray:
+    """Inner products in whole numbers: exact in double precision while no partial sum can pass 2^53."""
+    small = largest * float(np.abs(anchor).max(initial=0.0)) * len(anchor) < 2.0**53
+    return (rows @ anchor).astype(np.int64) if small else products(rows, anchor)
+
+
 def survivors(loaded, table: Table, anchor: np.ndarray, mine: np.ndarray, allowed: np.ndarray, lowest: int | None, highest: int | None) -> tuple[np.ndarray, np.ndarray]:
     """(ids, exact scores) of the allowed rows whose bracket meets the scores from lowest to highest."""
-    ids, _, q, away = loaded
+    ids, _, q, away, largest = loaded
     square = float((anchor * anchor).sum()) + table.norms[len(anchor)]
-    low, high = bracket(square, away, away, mine)
+    slack = 1 + MARGIN * square
+    mine = mine.astype(np.float32)
+    at = np.flatnonzero(allowed)
     if lowest is not None:
-        allowed = allowed & (high >= lowest)
+        # A row is no nearer than any of its distances from a pivot differs from the anchor's.
+        near = np.abs(away[at] - mine).max(axis=1, initial=0).astype(np.float64)
+        at = at[(square - near * near) / 2 + slack >= lowest]
     if highest is not None:
-        allowed = allowed & (low <= highest)
-    at = np.flatnonzero(allowed)
-    scores = products(q[at], anchor) if 2 * len(at) < len(ids) else products(q, anchor)[at]  # one product over all is cheaper than copying most rows
+        far = (away[at] + mine).min(axis=1, initial=np.inf).astype(np.float64)
+        at = at[(square - far * far) / 2 - slack <= highest]
+    scores = exact(q[at], largest, anchor) if 2 * len(at) < len(ids) else exact(q, largest, anchor)[at]  # one product over all is cheaper than copying most rows
     ids = ids[at]
     good = np.ones(len(ids), bool)
     if lowest is not None:
