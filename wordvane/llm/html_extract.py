@@ -30,7 +30,10 @@ RAW = frozenset("script style textarea title iframe noscript template svg select
 #: An opening tag of these closes an open element of the same kind, as in HTML.
 SELF_CLOSING = frozenset("p li dt dd option tr td th".split())
 
-TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+#: A quote opens a value only after an equals sign; anywhere else it is a character of the tag.
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*(?:\"[^\"]*+\"|'[^']*+'|(?![\"'])[^\s>]++)?)*+)>")
+COMMENT_END = re.compile("--!?>")
+UNQUOTED_SLASH = re.compile(r"=\s*[^\s\"'>][^\s>]*/\Z")
 NAMES = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 MAY_HIDE = re.compile("hidden|style", re.I)
 ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -41,20 +44,24 @@ SPLIT_NAMES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 NAME_GROUPS = {
     "ad": "ad ads advert adverts advertisement advertising banner promo promoted promotion sponsor sponsored sponsors outbrain taboola adsense dfp",
     "nav": "nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager tabs toc skip",
-    "side": "sidebar side aside rail widget widgets related recommended recommendations trending popular more",
+    "side": "sidebar side aside rail widget widgets related recommended recommendations trending popular",
     "foot": "footer foot copyright colophon legal bottom",
     "head": "header masthead topbar top site logo branding toolbar",
     "comment": "comment comments disqus discussion reply replies respond reader reactions review",
-    "notice": "cookie cookies consent gdpr notice notices alert banner popup modal overlay message warning paywall subscribe newsletter signup",
+    "notice": "cookie cookies consent gdpr notice notices alert banner popup modal overlay warning paywall subscribe newsletter signup",
     "share": "share sharing social tweet facebook follow tags meta byline",
     "form": "form search login register contact input",
     "main": "main content article post entry story body text page maincontent articlebody postbody entrycontent",
 }
 NAME_OF = {w: g for g, words in NAME_GROUPS.items() for w in words.split()}
 TAG_GROUPS = "article main nav header footer aside form section ul ol li table blockquote pre h1 h2 h3 h4 p div figure figcaption dl button address details dialog body".split()
-FEATURES = [f"tag:{t}" for t in TAG_GROUPS] + [f"name:{g}" for g in NAME_GROUPS] + ["parent:p", "parent:heading", "parent:li", "parent:div", "links:all", "links:half", "links:none", "len:1", "len:2", "len:3", "len:4", "stop", "sign", "bar", "first", "bias"]
+#: What an element's tag and names say counts apart where the element holds most of the page's text: such an element is a wrapper of the page.
+MARKS = [f"tag:{t}" for t in TAG_GROUPS] + [f"name:{g}" for g in NAME_GROUPS]
+FEATURES = MARKS + [f"wide {m}" for m in MARKS] + ["bare", "parent:p", "parent:heading", "parent:li", "parent:div", "links:all", "links:half", "links:none", "len:1", "len:2", "len:3", "len:4", "stop", "sign", "bar", "first", "bias"]
 INDEX = {f: i for i, f in enumerate(FEATURES)}
 LABELS = 2  # 0: other, 1: main text
+#: Share of the page's characters from which on an element is a wrapper.
+WIDE = 0.5
 
 
 def hides_content(attributes: str) -> bool:
@@ -89,22 +96,26 @@ class Block:
 
 class OpenElements:
     """The elements that are open at a place of the page. What is asked of them is kept as they come and go, so that a page's time is in proportion to
-    its length however deep unclosed elements pile up: how many have each feature, where each kind stands, and which aren't inline."""
+    its length however deep unclosed elements pile up: where each kind stands, and which aren't inline. What came and went is a list of events:
+    the number of an element that opens, its complement where it closes, and blocks. An element's characters are known when it closes."""
 
     def __init__(self) -> None:
-        self.stack: list[tuple[str, tuple[int, ...], bool]] = []
-        self.marks: dict[int, int] = {}
+        self.stack: list[tuple[str, int, int, bool]] = []
         self.where: dict[str, list[int]] = {}
         self.outer: list[str] = []
         self.barriers: list[int] = []  # places of elements that neither flow in a line nor are closed by others of their kind
-        self.hidden = self.links = 0
+        self.hidden = self.links = self.chars = 0
+        self.events: list[int | Block] = []
+        self.marks: list[tuple[int, ...]] = []  # of each element, and how many characters it holds
+        self.sizes: list[int] = []
 
     def enter(self, name: str, marks: tuple[int, ...], hides: bool) -> None:
         at = len(self.stack)
-        self.stack.append((name, marks, hides))
+        self.stack.append((name, len(self.marks), self.chars, hides))
+        self.events.append(len(self.marks))
+        self.marks.append(marks)
+        self.sizes.append(0)
         self.where.setdefault(name, []).append(at)
-        for m in marks:
-            self.marks[m] = self.marks.get(m, 0) + 1
         if name not in INLINE:
             self.outer.append(name)
             if name not in SELF_CLOSING:
@@ -115,12 +126,10 @@ class OpenElements:
     def leave(self, at: int) -> None:
         """The element at a place closes, and all within it."""
         while len(self.stack) > at:
-            name, marks, hides = self.stack.pop()
+            name, number, before, hides = self.stack.pop()
+            self.sizes[number] = self.chars - before
+            self.events.append(~number)
             self.where[name].pop()
-            for m in marks:
-                self.marks[m] -= 1
-                if not self.marks[m]:
-                    del self.marks[m]
             if name not in INLINE:
                 self.outer.pop()
             if self.barriers and self.barriers[-1] == len(self.stack):
@@ -128,15 +137,36 @@ class OpenElements:
             self.hidden -= hides
             self.links -= name == "a"
 
+    def add(self, block: Block) -> None:
+        self.chars += len(block.text)
+        self.events.append(block)
+
     def last(self, name: str, inside: bool = False) -> int | None:
         """Where the innermost open element of a kind stands; inside: only if no barrier stands between."""
         at = self.where.get(name)
         return at[-1] if at and not (inside and self.barriers and self.barriers[-1] > at[-1]) else None
 
+    def blocks(self) -> list[Block]:
+        """All blocks, each with the features of its ancestors, which are now known to be wrappers of the page or not."""
+        self.leave(0)
+        out: list[Block] = []
+        on: dict[int, int] = {}
+        for e in self.events:
+            if isinstance(e, Block):
+                e.marks = tuple(on)
+                out.append(e)
+                continue
+            number = e if e >= 0 else ~e
+            shift = len(MARKS) if self.sizes[number] >= WIDE * self.chars else 0
+            for m in self.marks[number]:
+                on[m + shift] = on.get(m + shift, 0) + (1 if e >= 0 else -1)
+                if not on[m + shift]:
+                    del on[m + shift]
+        return out
+
 
 def blocks(page: str) -> list[Block]:
     """Leaf blocks of a page in order, references decoded, white space as one blank, none empty."""
-    out: list[Block] = []
     held = OpenElements()
     parts: list[str] = []
     linked = 0
@@ -147,7 +177,7 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
-                out.append(Block(text, tuple(held.marks), held.outer[-1] if held.outer else "", min(linked, len(text))))
+                held.add(Block(text, (), held.outer[-1] if held.outer else "", min(linked, len(text))))
             parts.clear()
         linked = 0
 
@@ -163,8 +193,10 @@ def blocks(page: str) -> list[Block]:
         m = TAG.match(page, lt)
         if m is None:
             if page.startswith("<!--", lt):
-                stop = page.find("-->", lt + 4)
-                at = end if stop < 0 else stop + 3
+                # <!--> and <!---> are comments by themselves; others end at --> or --!>
+                whole = next((c for c in ("<!-->", "<!--->") if page.startswith(c, lt)), "")
+                stop = None if whole else COMMENT_END.search(page, lt + 4)
+                at = lt + len(whole) if whole else end if stop is None else stop.end()
             elif page[lt + 1 : lt + 2] in ("!", "?", "/") and page[lt + 1 : lt + 2]:
                 stop = page.find(">", lt)
                 at = end if stop < 0 else stop + 1
@@ -190,19 +222,21 @@ def blocks(page: str) -> list[Block]:
         # An open one of the same kind ends here, unless a list, table or other block stands between.
         if name in SELF_CLOSING and (place := held.last(name, inside=True)) is not None:
             held.leave(place)
-        if name in VOID or m[3].endswith("/") and name not in RAW:
+        closed = m[3].endswith("/") and not UNQUOTED_SLASH.search(m[3])
+        if name in VOID or closed and (name == "svg" or name not in RAW):
             continue
         if name in RAW:
-            stop = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
+            stop = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, at)
             at = end if stop is None else stop.end()
             close()
             continue
         attributes = m[3]
-        marks = {NAME_OF[w] for found in NAMES.findall(attributes) for x in found for w in map(str.lower, SPLIT_NAMES.findall(x)) if w in NAME_OF} if "=" in attributes else set()
+        # what body and html are called is of the page, not of its parts
+        marks = {NAME_OF[w] for found in NAMES.findall(attributes) for x in found for w in map(str.lower, SPLIT_NAMES.findall(x)) if w in NAME_OF} if "=" in attributes and name not in ("body", "html") else set()
         on = tuple(sorted(INDEX[f"name:{g}"] for g in marks)) + ((INDEX[f"tag:{name}"],) if f"tag:{name}" in INDEX else ())
         held.enter(name, on, name in HIDDEN or hides_content(attributes))
     close()
-    return out
+    return held.blocks()
 
 
 def observed(found: list[Block]) -> list[list[int]]:
@@ -222,6 +256,8 @@ def observed(found: list[Block]) -> list[list[int]]:
             on.add("bar")
         if i == 0:
             on.add("first")
+        if not b.parent:
+            on.add("bare")
         out.append([*b.marks, *(INDEX[f] for f in on if f in INDEX)])
     return out
 
@@ -345,9 +381,20 @@ def training_pages(n: int = 400, seed: int = 3) -> list[tuple[str, str]]:
         inner = "".join(body)
         frame = pick("<article>{}</article>", "<article>{}</article>", "<main>{}</main>", "<main><article>{}</article></main>", '<div class="content">{}</div>', '<div id="main-content">{}</div>', '<div class="post"><div class="entry-content">{}</div></div>', '<section class="story">{}</section>', "<div>{}</div>")
         article = frame.format(inner)
+        if some(0.3):  # everyday outer elements that carry names of what they hold, or that make a page one form
+            wrapper = pick('<div class="{}">{{}}</div>', '<div id="{}">{{}}</div>', '<main class="{}">{{}}</main>', '<section class="{}">{{}}</section>').format(pick("has-sidebar", "with-sidebar", "layout-sidebar", "header-fixed", "has-header", "comments-open", "no-ads", "menu-open", "popup-closed", "with-notice", "article-related", "footer-bottom", "site", "top"))
+            article = wrapper.format(article)
         before = "".join(x for x in (header, menu, *(b() for b in (advert, notice, form, side) if some(0.3))))
         after = "".join(b() for b in (comments, advert, side, form, notice) if some(0.3)) + footer
-        out.append((f"<!DOCTYPE html><html><head><title>{words(2, 6)}</title></head><body>{before}{article}{after}</body></html>", " ".join(main)))
+        whole = before + article + after
+        if some(0.25):
+            whole = pick('<form id="aspnetForm" method="post">{}</form>', "<form>{}</form>", '<div class="page has-sidebar">{}</div>', '<div id="wrapper" class="header-fixed comments-open">{}</div>', '<div class="site with-menu">{}</div>').format(whole)
+        body_tag = pick("<body>", "<body>", '<body class="has-sidebar comments-open">', '<body id="top" class="header-fixed">')
+        page = f"<!DOCTYPE html><html><head><title>{words(2, 6)}</title></head>{body_tag}{whole}</body></html>"
+        if some(0.04):  # a page of text alone
+            main = [" ".join(sentence(3, 20) for _ in range(int(rng.integers(1, 8))))]
+            page = main[0]
+        out.append((page, " ".join(main)))
     return out
 
 
