@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wordvane.operators import stats
+from wordvane.sources.stores import staged
 
 #: Pairs up to which the exact distribution is used, where no two absolute differences are equal.
 EXACT_PAIRS = 50
@@ -134,7 +135,7 @@ def evaluation(baseline: DataFrame, treated: DataFrame, key: str, item: str, ord
     c = F.col
     pairs = last_of(baseline.select(key, item, order, "rouge_mean", "rouge_var"), [key, item], order).drop(order).join(last_of(treated.select(key, item, order, "treated_mean", "treated_single", "treated_var", "layer"), [key, item], order).drop(order), [key, item])
     pairs = pairs.withColumn("after", F.coalesce("treated_mean", "treated_single")).where("treated_var is not null and after is not null")
-    pairs = pairs.withColumns({"d_var": c("rouge_var") - c("treated_var"), "d_rouge": c("rouge_mean") - c("after")})
+    pairs = staged(pairs.withColumns({"d_var": c("rouge_var") - c("treated_var"), "d_rouge": c("rouge_mean") - c("after")}))
     dz = lambda d, sign: F.when((F.count(d) >= 2) & (F.stddev_samp(d) >= 1e-12), sign * F.try_divide(F.avg(d), F.stddev_samp(d)))
     out = pairs.groupBy(key).agg(
         F.count(F.lit(1)).alias("n_items"), F.avg("rouge_mean").alias("baseline_rouge"), F.avg("after").alias("treated_rouge"), F.avg("rouge_var").alias("baseline_var"), F.avg("treated_var").alias("treated_var"),
@@ -157,7 +158,7 @@ def correlation_report(long: DataFrame, key: str, metric: str, x: str, y: str, a
     Keys of fewer than three rows get one row of status insufficient_data. Metrics not in `always` are left out for keys where they are 0 throughout.
     A nearly constant side gives a correlation of 0 and a p of 1.
     """
-    named = long.select(F.col(key).alias("_key"), F.col(metric).alias("_metric"), F.struct(F.col(key).alias("k"), F.col(metric).alias("m")).alias("_pair"), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    named = staged(long.select(F.struct(F.col(key).alias("k"), F.col(metric).alias("m")).alias("_pair"), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")))
     used = named.groupBy("_pair").agg(F.count(F.lit(1)).alias("rows"), F.bool_or(F.col("_x") != 0).alias("some"))
     few = used.groupBy(F.col("_pair.k").alias("k")).agg(F.max("rows").alias("n")).where("n < 3")
     r = stats.correlations(named, "_pair", "_x", "_y").join(used, "_pair").where((F.col("n") >= 3) & (F.col("_pair.m").isin(*always) | F.col("some")))
