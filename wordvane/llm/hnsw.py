@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wordvane.llm.common import meet, small, staged
+from wordvane.llm.common import BROADCAST_ROWS, meet, paired, staged
 
 SHARD_ROWS = 16_384
 DEGREE = 16
@@ -249,7 +249,8 @@ def search(vectors: DataFrame, is_query: Column, top: int = TOP, ef: int = EF, s
     blocks = max(1, -(-queries.count() // QUERY_ROWS))
     shards = staged(index.select("shard", "dim"))  # two numbers per shard_rows vectors
     # Each query block meets each shard of its dimension: queries are a stated set, against all rows, in blocks.
-    dealt = queries.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int")).join(small(shards), "dim").select("shard", "dim", "block", "query_no", "vec_id", "v")
+    dealt = queries.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int")).select("dim", "block", "query_no", "vec_id", "v")
+    dealt = paired(dealt, shards, ["dim"], most=BROADCAST_ROWS).select("shard", "dim", "block", "query_no", "vec_id", "v")
     graphs = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def look(loaded, batch):

@@ -16,7 +16,8 @@ only thing collected: at most SAMPLE rows.
 
 Defined cases: vectors that are null, empty or hold a null or non-finite component take no part; all-zero ones do. Vectors of
 another length than a query's aren't its candidates. Ties go to the smaller id. Scores that don't fit 64 bits are
-held to the largest number that does. Rows of one id with different vectors are candidates each. No rows give none.
+held to the largest number that does. Rows of one id with different vectors are candidates each. A repeated query row is a query each, but their
+candidates are ranked together: r copies of a query report about 10 / r different candidates, r times each. No rows give none.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wordvane.llm.common import in_small_batches, meet, small, staged
+from wordvane.llm.common import BROADCAST_ROWS, in_small_batches, meet, paired, staged
 from wordvane.llm.hnsw import as_vectors
 
 SCALE = 1024.0
@@ -190,7 +191,7 @@ def search(vectors: DataFrame, is_query: Column, top: int = TOP, block_rows: int
     c = F.col
     far = F.greatest(c("least") - F.element_at("away", c("pivot") + 1), F.element_at("away", c("pivot") + 1) - c("greatest"), F.lit(0.0))
     bound = F.least((c("square") + c("norm2") - far * far) / 2, F.sqrt(c("square") * c("norm2"))) + 1 + 1e-9 * (c("square") + c("norm2"))
-    pairs = queries.join(small(bundles), "dim").where(c("start").isNull() | (bound >= c("start").cast("double")))  # six numbers per bundle_rows vectors
+    pairs = paired(queries, bundles, ["dim"], most=BROADCAST_ROWS).where(c("start").isNull() | (bound >= c("start").cast("double")))  # six numbers per bundle_rows vectors
     dealt = pairs.withColumn("share", F.pmod(F.xxhash64("query_id", F.lit(1)), F.lit(shares)).cast("int")).select("dim", "pivot", "bundle", "share", "query_id", "q", "start")
     meets = blocks.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1)))).select("dim", "pivot", "bundle", "share", "least", "greatest", "norm2", "ids", "vectors")
 
