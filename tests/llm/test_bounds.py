@@ -156,3 +156,13 @@ def test_recall_with_several_shards(spark):
         s[q] = -np.inf
         hits += len(found[q] & set(np.argpartition(-s, 20)[:20].tolist()))
     assert hits >= 0.9 * 20 * len(found)
+
+
+def test_nearest_of_huge_components(spark):
+    """Components whose squares no double holds, and queries whose squares are nothing: the nearest are found all the same."""
+    v = np.random.default_rng(4).normal(size=(300, 4))
+    rows = [(i, [float(x) * (1e-170 if i % 50 == 0 else 1e170) for x in r]) for i, r in enumerate(v)]
+    found = hnsw.search(spark.createDataFrame(rows, "vec_id long, v array<double>"), F.col("vec_id") % 50 == 0, top=5).collect()
+    for q in range(0, 300, 50):
+        order = [i for i in np.argsort(-(v @ v[q]), kind="stable") if i % 50][:5]
+        assert len(set(order) & {r["vec_id"] for r in found if r["query_id"] == q}) >= 4

@@ -221,6 +221,7 @@ def shard_index(vectors: DataFrame, shard_rows: int = SHARD_ROWS, top: int = TOP
 
 def level_norms(nodes: np.ndarray) -> np.ndarray:
     """Vectors of norm 1 after scaling all by the largest norm, with one more component that fills each up."""
+    nodes = nodes / (np.abs(nodes).max(initial=0.0) or 1.0)  # squares of very large components would be infinite
     square = np.einsum("nd,nd->n", nodes, nodes)
     most = square.max(initial=0.0) or 1.0
     return np.concatenate([nodes / np.sqrt(most), np.sqrt(np.maximum(0, 1 - square / most))[:, None]], axis=1).astype(np.float32)
@@ -259,7 +260,8 @@ def search(vectors: DataFrame, is_query: Column, top: int = TOP, ef: int = EF, s
         ids, begin, nodes, net = loaded
         numbers, q_ids = (batch.column(c).to_numpy() for c in ("query_no", "vec_id"))
         q = batch.column("v").flatten().to_numpy().reshape(len(q_ids), -1)
-        flat = np.concatenate([q / np.maximum(np.sqrt((q * q).sum(axis=1, keepdims=True)), 1e-300), np.zeros((len(q), 1))], axis=1).astype(np.float32)
+        even = q / np.abs(q).max(axis=1, keepdims=True)  # not all zero
+        flat = np.concatenate([even / np.sqrt((even * even).sum(axis=1, keepdims=True)), np.zeros((len(q), 1))], axis=1).astype(np.float32)
         found = net.search(flat, ef)
         which, near_ids, scores = [], [], []
         for i in range(len(q)):
