@@ -67,3 +67,6 @@ PRI_WEIGHTS, SHORT_LENGTH, SHORT_FACTOR = (0.40, 0.35, 0.25), 12, 0.85
 FINAL_WEIGHTS = (0.6, 0.4)
 DIAGNOSTIC_ORI_WEIGHTS, DIAGNOSTIC_IFI_WEIGHTS, DIAGNOSTIC_PRI_WEIGHTS = (0.40, 0.30, 0.20, 0.10), (0.50, 0.30, 0.20), (0.5, 0.5)
 DIAGNOSIS_AT = 0.70
+
+#: The pool of instructions: similarity to the canonical one from, to; most word overlap with it; least words.
+POOL_SIMILARITY, POOL_OVERLAP, POOL_WORDS = (0.82, 0.98), 0.85, 6

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from wordvane.functions import fixed
 
+#: Where a run of letters, digits and underscores begins and ends: a pattern between them stands for whole tokens.
+WORD_START, WORD_END = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 
 
 def words(text: Column) -> Column:
@@ -24,14 +26,19 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{N}_]+)"), 1)
 
 
+def token_count(text: Column) -> Column:
+    """Number of tokens, counted without making them."""
+    return F.regexp_count(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}_]++"))
+
+
 def long_words(text: Column, least: int = 4) -> Column:
     """Set of tokens of at least `least` characters."""
-    return F.array_distinct(F.filter(tokens(text), lambda w: F.length(w) >= least))
+    return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(rf"([\p{{L}}\p{{N}}_]{{{least},}}+)"), 1))
 
 
 def entities(text: Column) -> Column:
     """Set of capitalised ASCII words of two characters or more."""
-    return F.array_distinct(F.filter(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"([\p{L}\p{N}_]+)"), 1), lambda w: w.rlike("^[A-Z][A-Za-z0-9]+$")))
+    return F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rf"{WORD_START}([A-Z][A-Za-z0-9]++){WORD_END}"), 1))
 
 
 def ascii_ratio(text: Column) -> Column:
@@ -40,7 +47,8 @@ def ascii_ratio(text: Column) -> Column:
 
 def signature(text: Column, n: int = 8) -> Column:
     """The first n words, lower-cased."""
-    return F.array_join(F.slice(words(F.lower(text)), 1, n), " ")
+    parts = F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+", n + 2)  # the rest of the text, in one piece, is the last
+    return F.array_join(F.slice(F.filter(parts, lambda w: w != ""), 1, n), " ")
 
 
 def bigrams(items: Column) -> Column:
@@ -56,7 +64,8 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def content_tokens(text: Column, least: int = 3) -> Column:
     """ASCII-letter tokens of at least `least` letters that are no stop words."""
-    return F.filter(tokens(text), lambda w: w.rlike("^[a-z]+$") & (F.length(w) >= least) & ~w.isin(*fixed.STOP_WORDS))
+    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(rf"{WORD_START}([a-z]{{{least},}}+){WORD_END}"), 1)
+    return F.filter(found, lambda w: ~w.isin(*fixed.STOP_WORDS))
 
 
 def key_units(text: Column, least: int = 3) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-THEMES = ("dialogue", "tables", "measures", "procedural", "keypoints", "inference", "durability", "internals", "contracts")
+THEMES = ("dialogue", "tables", "measures", "procedural", "keypoints", "inference", "durability", "internals", "contracts", "selection")
 
 
 def modules() -> list:

@@ -248,7 +248,7 @@ f as (select conv_id, null::bigint as turn, 'Q01' as check_id, 'warning' as seve
  union all select conv_id, null, 'Q07', 'warning' from b where trim(coalesce(base, '')) = '')
 select * from f""")
 def quality_findings(spark, sf_dir):
-    """Q01, Q04 to Q07: findings of the variants of each conversation against its first turn."""
+    """Q04, Q05: findings of the variants of each conversation against its first turn; prompts and references as stored are checked in validation_findings."""
     t = turns(spark, sf_dir)
     base = t.groupBy("conv_id").agg(F.min_by("text", "turn").alias("base"), F.min("turn").alias("t0"), F.count(F.lit(1)).alias("k"))
     v = t.join(base, "conv_id").where("turn > t0").withColumn("n", text.word_count(F.col("text"))).withColumn("nb", text.word_count(F.col("base"))).withColumn("prompt", F.concat(F.lit("Reply: "), "text"))

@@ -140,7 +140,7 @@ u as (select unnest(['words', 'chars', 'ascii']) as metric, unnest([words, chars
 @query(f"""with {DOCS}, r as (select *, rank() over (partition by metric order by x) + (count(*) over (partition by metric, x) - 1) / 2.0 as rx, rank() over (partition by metric order by human) + (count(*) over (partition by metric, human) - 1) / 2.0 as rh from u)
 select metric, count(*) as n, round(corr(x, human), 4) as pearson_r, round(corr(rx, rh), 4) as spearman_rho from r group by metric""")
 def metric_correlation(spark, sf_dir):
-    """T01, T02, T03, J: Pearson and Spearman of document metrics with the human label; ranks come from counts of distinct values."""
+    """Pearson and Spearman of document metrics with the human label; ranks come from counts of distinct values."""
     d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
     wide = d.select(F.col("quality").cast("double").alias("human"), text.word_count(F.col("text")).cast("double").alias("words"), F.col("n_chars").cast("double").alias("chars"), text.ascii_ratio(F.col("text")).alias("ascii"))
     return stats.correlations(wide.unpivot(["human"], ["words", "chars", "ascii"], "metric", "x"), "metric", "x", "human").select("metric", "n", F.round("pearson", 4).alias("pearson_r"), F.round("spearman", 4).alias("spearman_rho"))
@@ -153,7 +153,7 @@ r as (select *, rank() over (order by abs(d)) + (count(*) over (partition by abs
 
 @query(f"""with {PAIRED} select (select count(*) from d) as n_pairs, count(*) as n_used, round(sum(r) filter (d > 0), 4) as w_plus, round(least(sum(r) filter (d > 0), sum(r) filter (d < 0)), 4) as w_min, (select round(avg(d) / stddev_samp(d), 6) from d) as dz, (select round(1 - avg(b) / avg(a), 6) from d) as reduction from r""")
 def paired_tests(spark, sf_dir):
-    """Signed-rank statistics, effect size and relative change of paired means."""
+    """Signed-rank statistics, effect size and relative change of paired means; tests with p are in evaluation_summary."""
     e = table(spark, sf_dir, "events").groupBy("user_id").agg(F.avg(F.when(F.col("event_id") % 2 == 0, F.col("value"))).alias("a"), F.avg(F.when(F.col("event_id") % 2 == 1, F.col("value"))).alias("b"))
     d = e.where("a is not null and b is not null").withColumn("d", F.col("a") - F.col("b"))
     w = stats.signed_rank(d, "d")

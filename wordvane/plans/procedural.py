@@ -50,7 +50,7 @@ def rouge_auc_e(spark, sf_dir):
 
 @query()
 def greedy_accept(spark, sf_dir):
-    """The accepted variants of each instance, in order."""
+    """The accepted variants of each instance, in order."""
     t = turns(spark, sf_dir)
     base = t.groupBy("conv_id").agg(F.min_by("text", "turn").alias("base"), F.min("turn").alias("t0"))
     c = t.join(base, "conv_id").where("turn > t0").select(F.col("conv_id").alias("instance"), F.col("turn").alias("attempt"), F.col("role").alias("strategy"), "base", "text")
@@ -136,7 +136,7 @@ def text_cleaning(spark, sf_dir):
 
 @query()
 def evaluate_samples(spark, sf_dir):
-    """One plan from turns to all composites of each conversation: drift, coverage, grounding, overlap, scores, diagnosis."""
+    """A light evaluation without stored vectors, outputs or internals: drift, coverage, grounding, overlap, scores, diagnosis; evaluate_stored_samples is the whole one."""
     t = turns(spark, sf_dir)
     base = t.groupBy("conv_id").agg(F.min_by("text", "turn").alias("reference"), F.min("turn").alias("t0"))
     r = t.join(base, "conv_id").where("turn > t0")

@@ -27,7 +27,7 @@ def text_profile(spark, sf_dir):
     t = F.col("text")
     d = table(spark, sf_dir, "documents")
     big = lambda c: F.size(c).cast("long")
-    return d.select("doc_id", big(text.words(t)).alias("n_words"), big(text.tokens(t)).alias("n_tokens"), big(text.long_words(t)).alias("n_long"), big(text.entities(t)).alias("n_entities"), F.round(text.ascii_ratio(t), 6).alias("ascii_ratio"), F.md5(text.signature(t)).alias("signature_md5"))
+    return d.select("doc_id", text.word_count(t).cast("long").alias("n_words"), text.token_count(t).cast("long").alias("n_tokens"), big(text.long_words(t)).alias("n_long"), big(text.entities(t)).alias("n_entities"), F.round(text.ascii_ratio(t), 6).alias("ascii_ratio"), F.md5(text.signature(t)).alias("signature_md5"))
 
 
 def bucket(n: Column) -> Column:
@@ -82,9 +82,13 @@ def round_robin(spark, sf_dir):
     return d.join(F.broadcast(pool) if n <= 100_000 else pool, F.pmod(F.col("i"), F.lit(max(n, 1))) == F.col("k")).select("doc_id", F.col("item_id").alias("instruction_id"))
 
 
-def positions(df: DataFrame, key: str, out: str, width: int = 4096) -> DataFrame:
-    """df with the 0-based position by a whole-number key: counts of key ranges first, then ranks inside each range."""
-    df = df.withColumn("_range", F.floor(F.col(key) / width))
+def positions(df: DataFrame, key: str, out: str, width: int = 4096, most: int = 10_000) -> DataFrame:
+    """df with the 0-based position by a whole-number key: counts of key ranges first, then ranks inside each range. Ranges are `width` keys wide, or
+    so wide that there are `most` of them, however sparse the keys: one task sums that many counts."""
+    ends = df.agg(F.min(key).alias("a"), F.max(key).alias("b")).first()
+    low, high = ends["a"] or 0, ends["b"] or 0
+    width = max(width, -(-(high - low + 1) // most))
+    df = df.withColumn("_range", F.floor((F.col(key) - low) / width))
     starts = df.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     starts = starts.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
     inside = F.row_number().over(Window.partitionBy("_range").orderBy(key)) - 1
@@ -325,9 +329,10 @@ def average_rank(value: str) -> Column:
 
 @query("""select l_suppkey, sum(l_quantity)::double as s, cast(floor(rank() over (order by sum(l_quantity) desc) + (count(*) over (partition by sum(l_quantity)) - 1) / 2.0) as integer) as rank from lineitem group by l_suppkey""")
 def average_ranks(spark, sf_dir):
-    """Average ranks, cut to whole numbers. One row per supplier is ranked."""
+    """Average ranks, cut to whole numbers, from counts of distinct values in slices."""
     g = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.sum("l_quantity").cast("double").alias("s"))
-    return g.withColumn("rank", F.floor(average_rank("s")).cast("int"))
+    g = staged(g.select("l_suppkey", "s", (-F.col("s")).alias("_less"), F.lit(0).alias("_k")))
+    return g.join(stats.tie_ranks(g, "_k", "_less").withColumnRenamed("rank", "_rank"), ["_k", "_less"]).select("l_suppkey", "s", F.floor("_rank").cast("int").alias("rank"))
 
 
 @query("""select o.o_orderkey from orders o where not exists (select 1 from lineitem l where l.l_orderkey = o.o_orderkey and l.l_quantity > 45)""")
@@ -372,10 +377,7 @@ def json_columns(spark, sf_dir):
 k as (select lang, source, list_filter(vs, lambda x: x.n >= 100) as vs from v)
 select lang, source, len(vs) as n_variants, list_sum(list_transform(vs, lambda x: x.n))::bigint as words, vs[1].i as first_variant from k where len(vs) > 0""")
 def nested_bridge(spark, sf_dir):
-    """Nested instances, variants filtered inside their array, empty instances dropped.
-
-    Arrays hold ids and counts only. A source's share of one language is bounded by partitioning on both.
-    """
+    """Numbers and words of the long enough documents of each language and source, and the first of them."""
     d = table(spark, sf_dir, "documents").select("lang", "source", "doc_id", text.word_count(F.col("text")).alias("n")).where("n >= 100")
     g = d.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n_variants"), F.sum("n").alias("words"), F.min("doc_id").alias("first_variant"))
     return g
@@ -391,7 +393,7 @@ def map_flatten(spark, sf_dir):
 @query("""with s as (select unnest(range(0, 12)) as slot), p as (select event_type, row_number() over (order by event_type) - 1 as k, count(*) over () as n from (select distinct event_type from events where event_type is not null))
 select slot, event_type from s join p on s.slot % p.n = p.k""")
 def cycle_fill(spark, sf_dir):
-    """A small pool of distinct values cycled to twelve slots."""
+    """A small pool of distinct values cycled to twelve slots."""
     kinds = table(spark, sf_dir, "events").where("event_type is not null").select("event_type").distinct()
     pool = kinds.withColumn("k", F.row_number().over(Window.orderBy("event_type")) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy()))
     slots = spark.range(12).select(F.col("id").alias("slot"))

@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordvane.sources.layers import flat_variants, names
+from wordvane.sources.layers import flat_variants
+from wordvane.sources.stores import staged
 
 
-def fixed_columns(frame: DataFrame, schema: str) -> DataFrame:
-    """Exactly the schema's columns in its order; absent ones are null, others are left out."""
-    return frame.select(*[(F.col(x.split()[0]) if x.split()[0] in frame.columns else F.lit(None)).cast(x.split(maxsplit=1)[1]).alias(x.split()[0]) for x in schema.split(", ")])
+def fixed_columns(frame: DataFrame, schema: str, defaults: dict[str, object] | None = None) -> DataFrame:
+    """Exactly the schema's columns in its order; others are left out. Absent ones and nulls are what defaults has for them, else null."""
+    out = []
+    for name, kind in (x.split(maxsplit=1) for x in schema.split(", ")):
+        value = (F.col(name) if name in frame.columns else F.lit(None)).cast(kind)
+        out.append((value if defaults is None or name not in defaults else F.coalesce(value, F.lit(defaults[name]).cast(kind))).alias(name))
+    return frame.select(*out)
 
 
 def write_csv(frame: DataFrame, path: str, schema: str, mode: str = "overwrite") -> None:
@@ -22,9 +27,10 @@ def write_jsonl(frame: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def write_both(nested: DataFrame, jsonl: str, csv: str, schema: str) -> None:
-    """Nested lines and exploded rows of the same records."""
-    write_jsonl(nested, jsonl)
-    write_csv(flat_variants(nested), csv, schema)
+    """Nested lines and exploded rows of the same records, which are computed once."""
+    once = staged(nested)
+    write_jsonl(once, jsonl)
+    write_csv(flat_variants(once), csv, schema)
 
 
 def write_partitioned(frame: DataFrame, path: str, by: str, mode: str = "overwrite") -> None:
@@ -50,6 +56,3 @@ def report(frame: DataFrame) -> str:
     """One row as a JSON text: for small aggregated reports."""
     return frame.select(F.to_json(F.struct(*frame.columns))).first()[0]
 
-
-def column_names(schema: str) -> list[str]:
-    return names(schema)
