@@ -37,3 +37,24 @@ def test_draws(times):
     if times == 1:
         share = np.bincount(drawn.astype(int), minlength=5)[:5] / len(drawn)
         assert np.allclose(share, [math.exp(-1) / math.factorial(k) for k in range(5)], atol=0.004)
+
+
+def test_intervals_of_many_keys(spark, monkeypatch):
+    """Against a plain bootstrap, for keys of one task and of several; nulls and NaN don't count."""
+    rng = np.random.default_rng(8)
+    groups = {"a": rng.normal(3, 2, 400), "b": rng.exponential(1, 90), "c": np.array([2.0]), "d": np.array([1.0, 1.0, 5.0])}
+    rows = [(k, float(x)) for k, v in groups.items() for x in v] + [("a", None), ("a", float("nan")), ("e", None)]
+    frame = spark.createDataFrame(rows, "k string, x double")
+    found = {}
+    for most in (10_000, 60):
+        monkeypatch.setattr(stats, "SHARE_VALUES", most)
+        found[most] = {r.k: r for r in stats.poisson_intervals(frame, "k", "x", 4000).collect()}
+        assert set(found[most]) == set(groups)
+    for k, v in groups.items():
+        one, many = found[10_000][k], found[60][k]
+        assert (one.n, one.low, one.high) == (many.n, pytest.approx(many.low), pytest.approx(many.high)) and one.mean == pytest.approx(v.mean()) and one.n == len(v)
+        plain = rng.choice(v, (4000, len(v))).mean(axis=1)
+        if len(v) > 50:
+            error = v.std() / len(v) ** 0.5
+            assert abs(one.low - np.quantile(plain, 0.025)) < 0.25 * error and abs(one.high - np.quantile(plain, 0.975)) < 0.25 * error
+    assert (found[60]["c"].low, found[60]["c"].high) == (2.0, 2.0)

@@ -12,7 +12,7 @@ from wordvane.sources import sinks
 def test_pool_against_plain(spark):
     rng = random.Random(5)
     canonical = "Write a short summary of this text in two plain sentences please"
-    starts = [" ".join(rng.choices("alpha beta gamma delta epsilon zeta".split(), k=8)) for _ in range(12)]
+    starts = [" ".join(rng.choices("alpha beta gamma delta epsilon zeta".split(), k=8)) for _ in range(60)]
     rows = [(level, attempt, pos, level * 1000 + attempt * 100 + pos, " ".join([rng.choice(starts), *rng.choices(["one", "two", "three"], k=rng.randrange(3))]) if rng.random() < 0.9 else canonical + rng.choice(["", " now"]), round(rng.uniform(0.7, 1.0), 3)) for level in (1, 2, 3) for attempt in range(3) for pos in range(15)]
     rows += [(1, 0, 99, 99, "too short to count", 0.9)]
     want, seen = [], {" ".join(canonical.lower().split()[:8])}

@@ -125,6 +125,14 @@ def last_of(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_r")).select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
 
 
+def aligned(baseline: DataFrame, treated: DataFrame, key: str, item: str, order: str) -> DataFrame:
+    """Pairs of both results, as evaluation() takes them, with the score after and the differences d_var and d_rouge."""
+    c = F.col
+    pairs = last_of(baseline.select(key, item, order, "rouge_mean", "rouge_var"), [key, item], order).drop(order).join(last_of(treated.select(key, item, order, "treated_mean", "treated_single", "treated_var", "layer"), [key, item], order).drop(order), [key, item])
+    pairs = pairs.withColumn("after", F.coalesce("treated_mean", "treated_single")).where("treated_var is not null and after is not null")
+    return pairs.withColumns({"d_var": c("rouge_var") - c("treated_var"), "d_rouge": c("rouge_mean") - c("after")})
+
+
 def evaluation(baseline: DataFrame, treated: DataFrame, key: str, item: str, order: str, alpha: float = 0.01) -> DataFrame:
     """One row for each key: baseline against treated results, aligned by (key, item); of several runs the last counts.
 
@@ -133,9 +141,7 @@ def evaluation(baseline: DataFrame, treated: DataFrame, key: str, item: str, ord
     standard deviation below 1e-12 or fewer than two items give none.
     """
     c = F.col
-    pairs = last_of(baseline.select(key, item, order, "rouge_mean", "rouge_var"), [key, item], order).drop(order).join(last_of(treated.select(key, item, order, "treated_mean", "treated_single", "treated_var", "layer"), [key, item], order).drop(order), [key, item])
-    pairs = pairs.withColumn("after", F.coalesce("treated_mean", "treated_single")).where("treated_var is not null and after is not null")
-    pairs = staged(pairs.withColumns({"d_var": c("rouge_var") - c("treated_var"), "d_rouge": c("rouge_mean") - c("after")}))
+    pairs = staged(aligned(baseline, treated, key, item, order))
     dz = lambda d, sign: F.when((F.count(d) >= 2) & (F.stddev_samp(d) >= 1e-12), sign * F.try_divide(F.avg(d), F.stddev_samp(d)))
     out = pairs.groupBy(key).agg(
         F.count(F.lit(1)).alias("n_items"), F.avg("rouge_mean").alias("baseline_rouge"), F.avg("after").alias("treated_rouge"), F.avg("rouge_var").alias("baseline_var"), F.avg("treated_var").alias("treated_var"),
@@ -166,3 +172,11 @@ def correlation_report(long: DataFrame, key: str, metric: str, x: str, y: str, a
     full = r.select(F.col("_pair.k").alias(key), F.col("_pair.m").alias(metric), F.lit("complete").alias("status"), "n", F.col("pearson").alias("pearson_r"), p("pearson").alias("pearson_p"), F.col("spearman").alias("spearman_rho"), p("spearman").alias("spearman_p"))
     none = F.lit(None).cast("double")
     return full.unionByName(few.select(F.col("k").alias(key), F.lit(None).cast("string").alias(metric), F.lit("insufficient_data").alias("status"), "n", none.alias("pearson_r"), none.alias("pearson_p"), none.alias("spearman_rho"), none.alias("spearman_p")))
+
+
+def evaluation_intervals(baseline: DataFrame, treated: DataFrame, key: str, item: str, order: str, resamples: int = 10_000, level: float = 0.95) -> DataFrame:
+    """key, kind, n, mean, low, high: bootstrap intervals of the mean change of each key, for kind variance_reduction (before less after) and rouge_change (after less before)."""
+    pairs = staged(aligned(baseline, treated, key, item, order))
+    long = pairs.select(F.explode(F.array(F.struct(F.col(key).alias("k"), F.lit("variance_reduction").alias("kind"), F.col("d_var").alias("x")), F.struct(F.col(key).alias("k"), F.lit("rouge_change").alias("kind"), (-F.col("d_rouge")).alias("x")))).alias("r")).select(F.concat_ws("\x1f", "r.kind", F.col("r.k").cast("string")).alias("_both"), "r.k", "r.kind", "r.x")
+    names = long.select("_both", "k", "kind").distinct()
+    return stats.poisson_intervals(long, "_both", "x", resamples, level=level).join(names, "_both").select(F.col("k").alias(key), "kind", "n", "mean", "low", "high")

@@ -178,3 +178,41 @@ def poisson_bootstrap(df: DataFrame, value: str, resamples: int = 10_000, seed:
     means = dealt.mapInArrow(draw, "_b long, _s double, _t long").groupBy("_b").agg(F.try_divide(F.sum("_s"), F.sum("_t").cast("double")).alias("m"))
     tail = (1 - level) / 2
     return means.agg(F.percentile("m", tail).alias("low"), F.percentile("m", 1 - tail).alias("high"), F.avg("m").alias("mean"))
+
+
+#: Different values of a key that one task draws for.
+SHARE_VALUES = 10_000
+
+
+def poisson_intervals(df: DataFrame, key: str, value: str, resamples: int = 10_000, seed: int = 42, level: float = 0.95) -> DataFrame:
+    """key, n, mean, low, high: poisson_bootstrap() for each key; nulls and NaN don't count, keys without any value get no row.
+
+    A key's values go to as many tasks as they need. Where that is one, its interval is found there; the sums of larger keys are added by resample first.
+    """
+    rows = df.select(key, F.col(value).cast("double").alias("_x")).where("_x is not null and not isnan(_x)")
+    counted = rows.groupBy(key, "_x").agg(F.count(F.lit(1)).alias("_n"))
+    totals = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.avg("_x").alias("mean"), F.ceil(F.approx_count_distinct("_x") / SHARE_VALUES).cast("int").alias("_shares"))
+    dealt = counted.join(totals.select(key, "_shares"), key).withColumn("_share", F.pmod(F.xxhash64("_x"), F.col("_shares")).cast("int"))
+    tail = (1 - level) / 2
+
+    def draw(name, frame):
+        import pandas as pd
+
+        sums, times = np.zeros(resamples), np.zeros(resamples, np.int64)
+        for x, n in zip(frame["_x"].to_numpy(), frame["_n"].to_numpy(), strict=True):
+            drawn = _poisson_draws(np.random.Generator(np.random.SFC64([seed, int(x.view(np.uint64))])), int(n), resamples)
+            times += drawn
+            sums += x * drawn
+        if frame["_shares"].iloc[0] > 1:
+            return pd.DataFrame({"_key": [name[0]] * resamples, "_b": np.arange(resamples), "_s": sums, "_t": times})
+        means = sums[times > 0] / times[times > 0]
+        low, high = np.quantile(means, [tail, 1 - tail]) if len(means) else (np.nan, np.nan)
+        return pd.DataFrame({"_key": [name[0]] * 2, "_b": [-2, -1], "_s": [low, high], "_t": [0, 0]})
+
+    kind = df.schema[key].dataType.simpleString()
+    found = dealt.groupBy(key, "_share").applyInPandas(draw, f"_key {kind}, _b long, _s double, _t long")
+    summed = found.groupBy("_key", "_b").agg(F.sum("_s").alias("_s"), F.sum("_t").alias("_t"))
+    at = lambda b: F.max(F.when(F.col("_b") == b, F.col("_s")))
+    mean = F.when((F.col("_b") >= 0) & (F.col("_t") > 0), F.try_divide(F.col("_s"), F.col("_t").cast("double")))
+    ends = summed.withColumn("_m", mean).groupBy("_key").agg(F.coalesce(F.percentile("_m", tail), at(-2)).alias("low"), F.coalesce(F.percentile("_m", 1 - tail), at(-1)).alias("high"))
+    return totals.join(ends, F.col(key) == F.col("_key")).select(key, "n", "mean", "low", "high")

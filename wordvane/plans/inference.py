@@ -62,6 +62,12 @@ def evaluation_summary(spark, sf_dir):
     return out.select("experiment", "n_items", *[r(c) for c in rounded], "layer_least", "layer_most", "variance_eliminated", "quality_preserved", *rest)
 
 
+@query()
+def evaluation_intervals(spark, sf_dir):
+    """For each experiment bootstrap intervals of the variance reduction and of the change of ROUGE-L, 10,000 resamples."""
+    return significance.evaluation_intervals(*results(spark, sf_dir), "experiment", "item", "run")
+
+
 METRICS = {"pri": "PRI", "d_pri": "Diagnostic_PRI", "sms": "SMS", "cs": "CS", "faithfulness": "Faithfulness", "trd": "TRD", "trd_semantic": "TRD_Semantic", "kpig_advanced": "KPIG_Advanced"}
 ALWAYS = ("PRI", "SMS", "CS", "Faithfulness", "TRD")
 
