@@ -15,9 +15,10 @@ def test_required_and_optional(spark, tmp_path):
         results.required(spark, path, "run the baseline first")
     empty = results.optional(spark, path, "article_idx long, rouge_mean double")
     assert empty.count() == 0 and empty.columns == ["article_idx", "rouge_mean"]
-    (tmp_path / "baseline.json").write_text(json.dumps({"config": {"k": 1}, "results": [{"article_idx": 3, "rouge_mean": 0.5, "rouge_var": 0.1}, {"article_idx": 4, "pirc_rouge_l": 0.2}]}))
-    for found in (results.required(spark, path, ""), results.optional(spark, path, "article_idx long")):
-        assert [(r.article_idx, r.rouge_mean, r.pirc_rouge_l) for r in found.orderBy("article_idx").collect()] == [(3, 0.5, None), (4, None, 0.2)]
+    (tmp_path / "baseline.json").write_text(json.dumps({"config": {"k": 1}, "results": [{"article_idx": 3, "rouge_mean": 0.5, "rouge_var": 0.1}, {"article_idx": 4, "other_rouge_l": 0.2}]}))
+    read = lambda s, p: results.run_results(s, p, prefix="other_")
+    for found in (results.required(spark, path, "", read), results.optional(spark, path, "article_idx long", read)):
+        assert [(r.article_idx, r.rouge_mean, r.treated_rouge_l) for r in found.orderBy("article_idx").collect()] == [(3, 0.5, None), (4, None, 0.2)]
     assert results.read_lines(spark, str(tmp_path / "none.jsonl")).count() == 0
     (tmp_path / "broken.json").mkdir()
     with pytest.raises(Exception) as e:

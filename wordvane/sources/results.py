@@ -12,8 +12,9 @@ from wordvane.sources.layers import NESTED, flat_variants, read_jsonl
 from wordvane.sources.sinks import write_csv, write_jsonl
 from wordvane.sources.stores import staged
 
-#: One result of a run, as run files list them.
-RESULTS = "results array<struct<article_idx:long,rouge_mean:double,rouge_var:double,pirc_rouge_mean:double,pirc_rouge_l:double,pirc_rouge_var:double,ell_star:int>>"
+#: The numbers of one result of a run; those of the treated run have a prefix in the files.
+BASELINE_FIELDS = ("rouge_mean", "rouge_var")
+TREATED_FIELDS = ("rouge_mean", "rouge_l", "rouge_var")
 
 
 class MissingResults(FileNotFoundError):
@@ -29,9 +30,12 @@ def _there(read: Callable[[], DataFrame]) -> DataFrame | None:
         return None
 
 
-def run_results(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each result of a run file, a JSON object that lists them."""
-    return spark.read.schema(RESULTS).option("multiLine", True).json(path).select(F.explode("results").alias("r")).select("r.*")
+def run_results(spark: SparkSession, path: str, prefix: str = "treated_") -> DataFrame:
+    """A row for each result of a run file, a JSON object that lists them; fields of the treated run are called treated_... whatever their prefix in the file."""
+    fields = [*BASELINE_FIELDS, *(prefix + f for f in TREATED_FIELDS)]
+    schema = f"results array<struct<article_idx:long,{','.join(f'{f}:double' for f in fields)},ell_star:int>>"
+    rows = spark.read.schema(schema).option("multiLine", True).json(path).select(F.explode("results").alias("r")).select("r.*")
+    return rows.withColumnsRenamed({prefix + f: f"treated_{f}" for f in TREATED_FIELDS})
 
 
 def required(spark: SparkSession, path: str, hint: str, read: Callable[[SparkSession, str], DataFrame] = run_results) -> DataFrame:
