@@ -2,6 +2,8 @@
 
 import math
 import random
+import re
+import time
 from collections import Counter
 
 import pytest
@@ -159,3 +161,25 @@ def test_word_levenshtein(spark):
     assert value(spark, distance, a="the cat sat on mat", b="a cat on the red mat") == 4
     many = " ".join(f"w{i}" for i in range(60_000))
     assert value(spark, F.length(overlap.word_levenshtein(F.col("a"), F.col("b")).cast("string")), a=many[:200], b=many[:100]) > 0
+
+
+def test_word_levenshtein_of_long_texts_is_quick(spark):
+    def edits(a, b):
+        last = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            now = [i]
+            for j, y in enumerate(b, 1):
+                now.append(min(last[j] + 1, now[-1] + 1, last[j - 1] + (x != y)))
+            last = now
+        return last[-1]
+
+    rng = random.Random(1)
+    some = [" ".join(rng.choices(["ba", "ab", "\u00a0", "c\u3000c", "D"], k=rng.choice((0, 1, 5, 63, 64, 65, 130)))) for _ in range(60)]
+    pairs = [(x, y) for x in some[:30] for y in some[30:]] + [(None, "a b"), (None, None), (" \t", "a")]
+    rows = spark.createDataFrame(pairs, "a string, b string").select("a", "b", overlap.word_levenshtein(F.col("a"), F.col("b")).alias("d")).collect()
+    split = lambda t: [w for w in re.split(r"[ \t\n\x0b\f\r]+", t or "") if w]
+    assert all(r.d == edits(split(r.a), split(r.b)) for r in rows)
+    long = [f"w{i}" for i in range(20_000)]
+    began = time.time()
+    assert value(spark, overlap.word_levenshtein(F.col("a"), F.col("b")), a=" ".join(long), b=" ".join(long[7:] + ["x"] * 3)) == 10
+    assert time.time() - began < 30
