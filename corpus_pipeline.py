@@ -14,25 +14,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordvane.llm import language_id, mixing, packing, pii, shingle_join
-from wordvane.llm.common import fresh, hash01, quoted, small, staged
+from wordvane.llm.common import fresh, quoted, small, staged
 
-#: Held-out rows that the rejection threshold is measured on, about, and the steps of score that it is sought in.
-MEASURED = 3000
+#: Steps of score that the rejection threshold is sought in.
 STEPS = 100
 
 
 def least_score(docs: DataFrame, model: language_id.ByteCNN) -> float:
-    """The score below which held-out labelled rows are wrong most often beyond those right; 0 where wrong ones never prevail by three
+    """The score below which all held-out labelled rows are wrong most often beyond those right; 0 where wrong ones never prevail by three
     standard deviations, as a few rows could by chance.
 
     It is measured for the languages learned, whatever their number. Counts by step of score are all that comes to the driver.
     """
     rows = docs.where(language_id.held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "text", "lang")
-    n = rows.count()
-    if not n:
-        return 0.0
-    some = rows.where(hash01(F.col("doc_id"), seed="measure") < MEASURED / n)
-    found = language_id.predict(some, model).groupBy(F.floor(F.col("score") * STEPS).alias("step"), (F.col("lang_pred") == F.col("lang")).alias("right")).count().collect()
+    found = language_id.predict(rows, model).groupBy(F.floor(F.col("score") * STEPS).alias("step"), (F.col("lang_pred") == F.col("lang")).alias("right")).count().collect()
     gain, seen = [0] * (STEPS + 1), [0] * (STEPS + 1)
     for r in found:
         gain[r["step"]] += -r["count"] if r["right"] else r["count"]

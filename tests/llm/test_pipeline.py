@@ -1,5 +1,6 @@
 """What the pipeline's stages decide, against brute force."""
 
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -85,6 +86,16 @@ def test_language_rejection(spark, monkeypatch):
     assert corpus_pipeline.least_score(none, model) == 0.0
 
 
+def test_threshold_is_of_all_held_out_rows(spark):
+    """Every wrong row counts: of many held-out ones those of the least score are right, but for as many wrong ones as tip the balance only together."""
+    ids = [i for i in range(30_000) if zlib.crc32(str(i).encode()) % 3 == 1]
+    wrong = set(ids[::2]) | set(ids[1:401:2])  # by 400 more than right, over 3 standard deviations of all
+    said = {f"text {i}": ("de" if i in wrong else "en", 0.3) for i in ids}
+    docs = frame_of(spark, [(i, f"text {i}") for i in ids])
+    assert 2 * len(wrong) - len(ids) > 3 * len(ids) ** 0.5
+    assert corpus_pipeline.least_score(docs, fixed(said)) == 0.31
+
+
 def redacted(rows):
     """(id, text) with base spans and accepted candidates masked, character by character."""
     spans = [pii.all_spans(t or "") for _, t in rows]
