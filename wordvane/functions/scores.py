@@ -12,6 +12,16 @@ def clamp01(x: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """x to so many decimal places, halves away from zero, of the product as doubles have it: what SQL engines do. Spark's own round() goes by the shortest decimal numeral."""
+    return F.round(x * 10.0**digits) / 10.0**digits
+
+
+def settled(x: Column, digits: int = 12) -> Column:
+    """x to `digits` significant digits: means of the same numbers differ behind them by the order in which they were added."""
+    return F.when(x.isNotNull(), F.format_string(f"%.{digits - 1}e", x).try_cast("double"))
+
+
 def harmonic(values: list[Column], weights: tuple[float, ...] | None = None) -> Column:
     """Weighted harmonic mean of clamped values, 0 as soon as one of them is 0."""
     weights = weights or tuple(1.0 for _ in values)

@@ -204,13 +204,14 @@ r as (select *, row_number() over (partition by inst order by bad, not content,
 
 
 def aligned_positions(spark, sf_dir) -> DataFrame:
-    """inst, pos, m, v, n, bad, content of the positions that all variants of an instance have: mean and variance over variants, non-finite values masked."""
+    """inst, pos, m, v, n, bad, content of the positions that all variants of an instance have: mean and variance over variants, to 12 digits, so that
+    equal ones are equal whatever the order of their sums; non-finite values masked."""
     place = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
     finite = ~F.isnan("value") & (F.abs("value") < float("inf"))
     word = F.element_at(F.array(*[F.lit(w) for w in SHOWN]), (F.col("event_id") % len(SHOWN) + 1).cast("int"))
     t = table(spark, sf_dir, "events").select(F.col("user_id").alias("inst"), F.col("event_type").alias("variant"), (F.row_number().over(place) - 1).cast("long").alias("pos"), F.when(finite, F.col("value")).alias("ppl"), word.alias("tok"))
     n = t.groupBy("inst", "variant").agg(F.count(F.lit(1)).alias("k")).groupBy("inst").agg(F.min("k").alias("n"))
-    a = t.join(n, "inst").where("pos < n").groupBy("inst", "pos").agg(F.avg("ppl").alias("m"), F.var_samp("ppl").alias("v"), F.min("n").alias("n"), F.bool_or(F.col("ppl").isNull()).alias("bad"), F.min_by("tok", "variant").alias("tok"))
+    a = t.join(n, "inst").where("pos < n").groupBy("inst", "pos").agg(scores.settled(F.avg("ppl")).alias("m"), scores.settled(F.var_samp("ppl")).alias("v"), F.min("n").alias("n"), F.bool_or(F.col("ppl").isNull()).alias("bad"), F.min_by("tok", "variant").alias("tok"))
     return a.withColumn("content", ~F.lower(F.trim("tok")).isin(*fixed.ANCHOR_STOP_WORDS) & ~F.col("tok").rlike(r"^\p{Punct}+$"))
 
 
