@@ -155,7 +155,9 @@ r as (select *, rank() over (order by abs(d)) + (count(*) over (partition by abs
 def paired_tests(spark, sf_dir):
     """Signed-rank statistics, effect size and relative change of paired means; tests with p are in evaluation_summary."""
     e = table(spark, sf_dir, "events").groupBy("user_id").agg(F.avg(F.when(F.col("event_id") % 2 == 0, F.col("value"))).alias("a"), F.avg(F.when(F.col("event_id") % 2 == 1, F.col("value"))).alias("b"))
-    d = e.where("a is not null and b is not null").withColumn("d", F.col("a") - F.col("b"))
+    # Equal differences are equal whatever the order of their sums: digits that the larger mean doesn't have don't count.
+    place = F.pow(F.lit(10.0), 12 - F.ceil(F.log10(F.greatest(F.abs("a"), F.abs("b")))))
+    d = e.where("a is not null and b is not null").withColumn("d", F.when(F.col("a") == F.col("b"), 0.0).otherwise(scores.settled(F.round((F.col("a") - F.col("b")) * place) / place)))
     w = stats.signed_rank(d, "d")
     rest = d.agg(F.count(F.lit(1)).alias("n_pairs"), F.round(F.avg("d") / F.nullif(F.stddev_samp("d"), F.lit(0.0)), 6).alias("dz"), F.round(scores.safe_reduction(F.avg("b"), F.avg("a")), 6).alias("reduction"))
     return rest.crossJoin(F.broadcast(w)).select("n_pairs", "n_used", F.round("w_plus", 4).alias("w_plus"), F.round("w_min", 4).alias("w_min"), "dz", "reduction")  # one row each
