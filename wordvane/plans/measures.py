@@ -18,10 +18,11 @@ from wordvane.session import table
 def scored(spark, sf_dir) -> DataFrame:
     l = table(spark, sf_dir, "lineitem")  # noqa: E741
     d = lambda c: F.col(c).cast("double")
+    r = lambda x: scores.rounded(x, 6)
     g = l.groupBy((F.col("l_suppkey") % 10).alias("model"), F.col("l_orderkey").alias("instance")).agg(
-        F.round(1 - F.avg(d("l_discount")) * 3, 6).alias("sms"), F.round(F.avg(d("l_quantity")) / 50, 6).alias("cs"), F.round(1 - F.avg(d("l_tax")) * 4, 6).alias("faithfulness"), F.round(F.avg(d("l_discount")) * 5, 6).alias("trd"),
-        F.round(F.max(d("l_quantity")) / 50, 6).alias("auc_e"), F.round(F.min(d("l_quantity")) / 50 + 0.3, 6).alias("kpig"), F.round(F.avg(d("l_tax")) * 5, 6).alias("ppl_var"), F.round(F.avg(d("l_discount")) * 2, 6).alias("bf"),
-        F.round(F.avg(d("l_extendedprice")) / 60000, 6).alias("human"), F.max(d("l_quantity")).alias("avg_length"),
+        r(1 - F.avg(d("l_discount")) * 3).alias("sms"), r(F.avg(d("l_quantity")) / 50).alias("cs"), r(1 - F.avg(d("l_tax")) * 4).alias("faithfulness"), r(F.avg(d("l_discount")) * 5).alias("trd"),
+        r(F.max(d("l_quantity")) / 50).alias("auc_e"), r(F.min(d("l_quantity")) / 50 + 0.3).alias("kpig"), r(F.avg(d("l_tax")) * 5).alias("ppl_var"), r(F.avg(d("l_discount")) * 2).alias("bf"),
+        r(F.avg(d("l_extendedprice")) / 60000).alias("human"), F.max(d("l_quantity")).alias("avg_length"),
     )
     return g
 
