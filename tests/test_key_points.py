@@ -110,3 +110,31 @@ def test_constrained_consistency(spark):
     got = {r.instance: r for r in key_points.constrained_consistency(spark.createDataFrame(rows, "instance long, idx long, prompt string, response string")).collect()}
     assert got[1].compliance == pytest.approx(2 / 3) and got[1].kpig_legacy == pytest.approx(0.7 * got[1].semantic + 0.3 * 2 / 3)
     assert (got[2].kpig_legacy, got[2].compliance, got[3].kpig_legacy, got[4].kpig_legacy) == (1.0, None, 0.0, 1.0)
+
+
+def test_bundles_and_tiles_hold_every_pair_of_rows_once(spark):
+    """Small keys share a bundle, a large one is cut; either way each left row meets each right row of its key exactly once."""
+    import pandas as pd
+    from pyspark.sql import types as T
+
+    left = staged(spark.range(2000).select((F.col("id") % 500).alias("k"), "id").unionByName(spark.range(5000, 5040).select(F.lit(7).cast("long").alias("k"), "id")))
+    right = staged(left.where("k % 3 <> 2").select("k", (F.col("id") * 2).alias("other")))
+
+    def found(a, b):
+        assert a["k"].nunique() == b["k"].nunique() == 1
+        return pd.DataFrame([(a["k"].iloc[0], x, y) for x in a["id"] for y in b["other"]], columns=["k", "id", "other"])
+
+    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("k", "id", "other")])
+    got = sorted(map(tuple, key_points.in_tiles(left, right, "k", "id", "other", 10, found, schema).collect()))
+    assert got == sorted(map(tuple, left.join(right, "k").select("k", "id", "other").collect()))
+
+
+def test_best_matches_ties_and_parts(spark):
+    """The first unit in the alphabet of equals, whatever the tiles; a unit that two responses hold counts for both."""
+    vector = {"a": [1.0, 0.0], "b": [2.0, 0.0], "c": [1.0, 1.0], "d": [0.0, 3.0]}
+    table = staged(spark.createDataFrame(list(vector.items()), "unit string, v array<double>"))
+    wanted = staged(spark.createDataFrame([(1, "a"), (1, "d"), (2, "d"), (3, "none")], "instance long, unit string"))
+    held = staged(spark.createDataFrame([(1, 0, "b"), (1, 0, "a"), (1, 1, "c"), (1, 2, "b"), (1, 2, "none"), (2, 0, "a"), (3, 0, "a")], "instance long, idx long, unit string"))
+    for tile in (1, 2, 2048):
+        got = sorted((r.instance, r.idx, r.ref, r.unit, round(r.sim, 6)) for r in key_points.best_matches(wanted, held, table, tile=tile).collect())
+        assert got == [(1, 0, "a", "a", 1.0), (1, 1, "a", "c", 0.707107), (1, 1, "d", "c", 0.707107), (1, 2, "a", "b", 1.0)]

@@ -1,8 +1,8 @@
 """Key-point coverage by stored unit vectors: units of a reference are met by the most similar unit of each response, from a least cosine on.
 
 An encoder is anything that gives a table (unit, v); `hashed_units` is one that needs no model. Vectors are looked up once for each distinct unit of an
-instance. Similar pairs are found within an instance in tiles of TILE x TILE units, so that a long reference or a long
-response is many tasks, and are joined to the responses that hold the unit.
+instance. Similar units are sought within an instance: small ones are dealt to bundles, large ones cut into tiles of about TILE x TILE units by
+responses, of which a long one is a tile of its own.
 """
 
 from __future__ import annotations
@@ -17,7 +17,9 @@ from wordvane.sources.stores import lookup, staged
 
 LEAST_COSINE = 0.55
 LEAST_IMPORTANCE = 0.1
-TILE = 256
+TILE = 2048
+#: Rows of both sides that a bundle of small instances holds, about.
+BUNDLE = 20_000
 DIMS = 64
 
 
@@ -36,9 +38,10 @@ def hashed_units(units: DataFrame, dims: int = DIMS) -> DataFrame:
 def spread(rows: DataFrame, keys: list[str], places: Column, dims: int) -> DataFrame:
     """keys, v of every row: how often each place from 0 to dims - 1 is among its places, scaled to length 1; all-zero where it has none."""
     counted = rows.select(*keys, F.explode(places).alias("at")).groupBy(*keys, "at").agg(F.count(F.lit(1)).alias("n"))
-    lists = counted.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("at", "n"))).alias("m"))  # dims entries at most
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0)).cast("double"))
-    return rows.select(*keys).join(lists, keys, "left").select(*keys, vectors.unit(counts).alias("v"))
+    lists = counted.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("at", "n"))).alias("m"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("len"))  # dims entries at most
+    # The length is a column of its own: within the lambda it would be found anew for each place.
+    v = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda k: F.coalesce(F.try_element_at("m", k) / F.col("len"), F.lit(0.0)))
+    return rows.select(*keys).join(lists, keys, "left").select(*keys, v.alias("v"))
 
 
 def unit_tables(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -72,45 +75,69 @@ def importance(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     return floored.join(most, "instance").select("instance", "unit", (F.col("imp") / F.col("most")).alias("imp"))
 
 
-def in_tiles(left: DataFrame, right: DataFrame, key: str, left_item: str, right_item: str, tile: int):
-    """Both sides cut into tiles of about `tile` items a key, each left tile beside each right one: cogroups of (key, left tile, right tile). Written tables, please."""
+def in_tiles(left: DataFrame, right: DataFrame, key: str, left_item: str, right_item: str, tile: int, found, schema) -> DataFrame:
+    """found(a, b) of each key's rows of both sides, as pandas frames. Give it written tables.
+
+    Keys of up to `tile` rows on either side are dealt to bundles of about BUNDLE rows, so that a group of Spark's is many keys. Sides of larger keys are cut
+    into tiles of about that many rows by left_item and right_item, and each left tile meets each right one: found() sees parts of them.
+    """
     right = right.select(*[F.col(c).alias(c) for c in right.columns])  # both may come from one table
-    sizes = lambda df, name: df.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias(name))
-    cuts = staged(sizes(left, "lt").join(sizes(right, "rt"), key))
+    sizes = lambda df, name: df.groupBy(key).agg(F.count(F.lit(1)).alias(name))
+    tiles = lambda n, name: F.ceil(F.col(n) / tile).cast("int").alias(name)
+    cuts = staged(sizes(left, "ln").join(sizes(right, "rn"), key).select(key, tiles("ln", "lt"), tiles("rn", "rt"), (F.col("ln") + F.col("rn")).alias("n")))
+    small = (F.col("lt") == 1) & (F.col("rt") == 1)
+    bundles = max((cuts.where(small).agg(F.sum("n")).first()[0] or 0) // BUNDLE, 4 * left.sparkSession.sparkContext.defaultParallelism)
+    cuts = cuts.select(key, "lt", "rt", F.when(small, F.pmod(F.xxhash64(key), F.lit(bundles))).alias("_bundle"), F.when(~small, F.col(key).cast("string")).alias("_large"))
+    place = [F.coalesce("_bundle", F.lit(-1)).alias("_bundle"), F.coalesce("_large", F.lit("")).alias("_large"), "_lt", "_rt"]
 
     def dealt(df: DataFrame, item: str, own: str, other: str):
         cut = lookup(df, cuts, [key], "inner")
         placed = cut.withColumn(f"_{own}", F.pmod(F.xxhash64(item), F.col(own)).cast("int")).withColumn(f"_{other}", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
-        return placed.drop("lt", "rt").groupBy(key, "_lt", "_rt")
+        return placed.select(*df.columns, *place).groupBy("_bundle", "_large", "_lt", "_rt")
+
+    def each(a, b):
+        import numpy as np
+        import pandas as pd
+
+        of = b.groupby(key, sort=False).indices
+        out = [found(x, b.iloc[of[k]]) for k, x in a.groupby(key, sort=False) if k in of]
+        # Joined by numpy: concatenated strings of pandas are chunked, which Spark doesn't take.
+        return pd.DataFrame({f.name: pd.Series(np.concatenate([x[f.name].to_numpy() for x in out]) if out else [], dtype=object if f.dataType == T.StringType() else None) for f in schema})
+
+    return dealt(left, left_item, "lt", "rt").cogroup(dealt(right, right_item, "rt", "lt")).applyInPandas(each, schema)
 
-    return dealt(left, left_item, "lt", "rt").cogroup(dealt(right, right_item, "rt", "lt"))
 
+def best_matches(wanted: DataFrame, held: DataFrame, unit_vectors: DataFrame, least: float = LEAST_COSINE, tile: int = TILE) -> DataFrame:
+    """instance, idx, ref, unit, sim: of each response the unit most similar to a wanted one, the first in the alphabet of equals, where their cosine,
+    rounded to 9 digits, is `least` or more. A unit without a vector is in none.
 
-def similar_units(wanted: DataFrame, held: DataFrame, unit_vectors: DataFrame, least: float = LEAST_COSINE, tile: int = TILE) -> DataFrame:
-    """instance, ref, unit, sim: pairs of a wanted and a held unit of one instance whose cosine, rounded to 9 digits, is `least` or more. A unit
-    without a vector is in none. A tile is one product of two small matrices."""
+    Similar units are matched to responses where they are found: only the best of each response and wanted unit leaves a tile.
+    """
     known = unit_vectors.select("unit", vectors.unit(F.col("v")).alias("v"))
     left = staged(lookup(wanted, known, ["unit"], "inner").select("instance", F.col("unit").alias("ref"), F.col("v").alias("rv")))
-    right = staged(lookup(staged(held.select("instance", "unit").distinct()), known, ["unit"], "inner").select("instance", "unit", F.col("v").alias("uv")))
-    def products(a, b):
+    right = staged(lookup(staged(held.select("instance", "idx", "unit")), known, ["unit"], "inner").select("instance", "idx", "unit", F.col("v").alias("uv")))
+
+    def closest(a, b):
         import numpy as np
         import pandas as pd
 
-        if not len(a) or not len(b):
-            return pd.DataFrame({"instance": a["instance"][:0], "ref": [], "unit": [], "sim": []})
+        b = b.sort_values(["idx", "unit"])
+        idx, unit, ref = b["idx"].to_numpy(), b["unit"].to_numpy(), a["ref"].to_numpy()
         sims = np.round(np.stack(a["rv"].to_numpy()) @ np.stack(b["uv"].to_numpy()).T, 9)
-        i, j = np.nonzero(sims >= least)
-        return pd.DataFrame({"instance": a["instance"].to_numpy()[i], "ref": a["ref"].to_numpy()[i], "unit": b["unit"].to_numpy()[j], "sim": sims[i, j]})
-
-    schema = T.StructType([wanted.schema["instance"], T.StructField("ref", T.StringType()), T.StructField("unit", T.StringType()), T.StructField("sim", T.DoubleType())])
-    return in_tiles(left, right, "instance", "ref", "unit", tile).applyInPandas(products, schema)
-
-
-def best_matches(similar: DataFrame, held: DataFrame) -> DataFrame:
-    """instance, idx, ref, unit, sim: of each response the unit most similar to a wanted one, the first in the alphabet of equals."""
-    best = F.min(F.struct((-F.col("sim")).alias("less"), F.col("unit"))).alias("b")
-    found = held.join(similar, ["instance", "unit"]).groupBy("instance", "idx", "ref").agg(best)
-    return found.select("instance", "idx", "ref", F.col("b.unit").alias("unit"), (-F.col("b.less")).alias("sim"))
+        starts = np.flatnonzero(np.r_[True, idx[1:] != idx[:-1]])
+        parts = []
+        for s, e in zip(starts, [*starts[1:], len(idx)], strict=True):
+            at = s + sims[:, s:e].argmax(axis=1)  # the first of equals
+            best = sims[np.arange(len(ref)), at]
+            near = np.flatnonzero(best >= least)
+            parts.append((np.full(len(near), idx[s]), ref[near], unit[at[near]], best[near]))
+        columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
+        return pd.DataFrame({"instance": [a["instance"].iloc[0]] * len(columns[0])} | dict(zip(("idx", "ref", "unit", "sim"), columns, strict=True)))
+
+    schema = T.StructType([wanted.schema["instance"], held.schema["idx"], T.StructField("ref", T.StringType()), T.StructField("unit", T.StringType()), T.StructField("sim", T.DoubleType())])
+    found = in_tiles(left, right, "instance", "ref", "idx", tile, closest, schema)
+    best = F.min(F.struct((-F.col("sim")).alias("less"), F.col("unit"))).alias("b")  # of a response's tiles
+    return found.groupBy("instance", "idx", "ref").agg(best).select("instance", "idx", "ref", F.col("b.unit").alias("unit"), (-F.col("b.less")).alias("sim"))
 
 
 def coverage_scores(responses: DataFrame, unit_vectors: DataFrame | None = None, least: float = LEAST_COSINE, tile: int = TILE) -> DataFrame:
@@ -123,7 +150,7 @@ def coverage_scores(responses: DataFrame, unit_vectors: DataFrame | None = None,
     texts, wanted = unit_tables(responses)
     held = texts.where("idx >= 0").select("instance", "idx", F.explode("units").alias("unit"))
     known = hashed_units(wanted.select("unit").unionByName(held.select("unit"))) if unit_vectors is None else unit_vectors
-    matches = staged(best_matches(similar_units(wanted, held, staged(known) if unit_vectors is None else known, least, tile), held))
+    matches = staged(best_matches(wanted, held, staged(known) if unit_vectors is None else known, least, tile))
     met = matches.groupBy("instance", F.col("ref").alias("unit")).agg(F.count(F.lit(1)).alias("freq"), F.avg("sim").alias("avg_sim"))
     weighed = importance(texts, wanted).join(met, ["instance", "unit"], "left").withColumn("w", F.col("imp") * (0.3 + 0.7 / (1 + F.coalesce("freq", F.lit(0)))))
     base = weighed.groupBy("instance").agg((F.sum(F.col("w") * F.coalesce("avg_sim", F.lit(0.0))) / (F.sum("w") + 1e-8)).alias("base"), F.count(F.lit(1)).alias("n_units"), F.count("freq").alias("n_matched"))
@@ -208,14 +235,12 @@ def token_matching(texts: DataFrame, token_vectors: DataFrame, tile: int = TILE)
         import numpy as np
         import pandas as pd
 
-        if not len(a) or not len(b):
-            return pd.DataFrame({"pair": a["pair"][:0], "side": [], "unit": [], "best": []})
         sims = np.stack(a["v"].to_numpy()) @ np.stack(b["v"].to_numpy()).T
         return pd.DataFrame({"pair": [a["pair"].iloc[0]] * (len(a) + len(b)), "side": ["p"] * len(a) + ["r"] * len(b), "unit": [*a["unit"], *b["unit"]], "best": [*sims.max(axis=1), *sims.max(axis=0)]})
 
     schema = T.StructType([texts.schema["pair"], T.StructField("side", T.StringType()), T.StructField("unit", T.StringType()), T.StructField("best", T.DoubleType())])
     of = lambda side: known.where(F.col("side") == side).select("pair", "unit", "v")
-    best = in_tiles(of("p"), of("r"), "pair", "unit", "unit", tile).applyInPandas(products, schema).groupBy("pair", "side", "unit").agg(F.max("best").alias("best"))
+    best = in_tiles(of("p"), of("r"), "pair", "unit", "unit", tile, products, schema).groupBy("pair", "side", "unit").agg(F.max("best").alias("best"))
     met = counts.join(known.select("pair", "side", "unit", F.lit(1).alias("has")), ["pair", "side", "unit"], "left").join(best, ["pair", "side", "unit"], "left")
     side = lambda s, c: F.when(F.col("side") == s, F.col(c))
     mean = lambda s: F.coalesce(F.try_divide(F.sum(F.when(F.col("side") == s, F.col("n") * F.coalesce("best", F.lit(0.0)))), F.sum(side(s, "n"))), F.lit(0.0))
