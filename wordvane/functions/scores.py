@@ -25,13 +25,13 @@ def settled(x: Column, digits: int = 12) -> Column:
 def harmonic(values: list[Column], weights: tuple[float, ...] | None = None) -> Column:
     """Weighted harmonic mean of clamped values, 0 as soon as one of them is 0."""
     weights = weights or tuple(1.0 for _ in values)
-    vals = [clamp01(v) for v in values]
-    if not vals or sum(weights) <= 0:
+    if not values or sum(weights) <= 0:
         return F.lit(0.0)
-    zero = vals[0] <= 0
-    for v in vals[1:]:
+    # Each value is named as seldom as can be: a method of over 8,000 bytes, which these are put into, stays interpreted.
+    zero = values[0] <= 0
+    for v in values[1:]:
         zero = zero | (v <= 0)
-    parts = sum((F.lit(float(w)) / F.greatest(v, F.lit(1e-9)) for v, w in zip(vals, weights, strict=True)), F.lit(0.0))
+    parts = sum((F.lit(float(w)) / F.greatest(F.least(F.lit(1.0), v), F.lit(1e-9)) for v, w in zip(values, weights, strict=True)), F.lit(0.0))
     return F.when(zero, 0.0).otherwise(clamp01(F.lit(float(sum(weights))) / parts))
 
 
@@ -56,7 +56,7 @@ def aggregate_scores(values: list[Column], weights: tuple[float, ...], method: s
 
 def pri(sms: Column, cs: Column, faithfulness: Column, avg_length: Column, weights=fixed.PRI_WEIGHTS) -> Column:
     base = sum((F.lit(w) * clamp01(v) for v, w in zip((sms, cs, faithfulness), weights, strict=True)), F.lit(0.0))
-    return clamp01(F.when(avg_length < fixed.SHORT_LENGTH, base * fixed.SHORT_FACTOR).otherwise(base))
+    return clamp01(base * F.when(avg_length < fixed.SHORT_LENGTH, fixed.SHORT_FACTOR).otherwise(1.0))
 
 
 def ori(sms: Column, auc_e: Column, trd: Column, kpig: Column) -> Column:

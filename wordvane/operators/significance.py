@@ -32,21 +32,21 @@ def _away_from_zero(x: Column) -> Column:
 
 
 def _beta_fraction(a: Column, b: Column, x: Column) -> Column:
-    """The continued fraction of the incomplete beta function by Lentz's method; it is settled after about as many steps as the root of a parameter."""
+    """The continued fraction of the incomplete beta function by Lentz's method; it is settled after about as many steps as the root of a parameter.
+
+    Its numerators are found first, and the product is taken a step late, so that no step holds the terms of another many times over.
+    """
     steps = F.sequence(F.lit(1), F.greatest(F.lit(60), F.ceil(5 * F.sqrt(F.greatest(a, b)))).cast("int"))
     d0 = 1 / _away_from_zero(1 - (a + b) * x / (a + 1))
+    even = lambda m: m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+    odd = lambda m: -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+    numerators = F.flatten(F.transform(steps, lambda m: F.array(even(m), odd(m))))
 
-    def step(s: Column, m: Column) -> Column:
-        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
-        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-        d1 = 1 / _away_from_zero(1 + even * s["d"])
-        c1 = _away_from_zero(1 + even / s["c"])
-        d2 = 1 / _away_from_zero(1 + odd * d1)
-        c2 = _away_from_zero(1 + odd / c1)
-        return F.struct(c2.alias("c"), d2.alias("d"), (s["out"] * c1 * d1 * c2 * d2).alias("out"))
+    def step(s: Column, numerator: Column) -> Column:
+        return F.struct(_away_from_zero(1 + numerator / s["c"]).alias("c"), (1 / _away_from_zero(1 + numerator * s["d"])).alias("d"), (s["out"] * s["c"] * s["d"]).alias("out"))
 
-    start = F.struct(F.lit(1.0).alias("c"), d0.alias("d"), d0.alias("out"))
-    return F.aggregate(steps, start, step, lambda s: s["out"])
+    start = F.struct(F.lit(1.0).alias("c"), d0.alias("d"), F.lit(1.0).alias("out"))
+    return F.aggregate(numerators, start, step, lambda s: s["out"] * s["c"] * s["d"])
 
 
 def incomplete_beta(a: Column, b: Column, x: Column) -> Column:
@@ -164,12 +164,24 @@ def correlation_report(long: DataFrame, key: str, metric: str, x: str, y: str, a
     Keys of fewer than three rows get one row of status insufficient_data. Metrics not in `always` are left out for keys where they are 0 throughout.
     A nearly constant side gives a correlation of 0 and a p of 1.
     """
-    named = staged(long.select(F.struct(F.col(key).alias("k"), F.col(metric).alias("m")).alias("_pair"), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")))
-    used = named.groupBy("_pair").agg(F.count(F.lit(1)).alias("rows"), F.bool_or(F.col("_x") != 0).alias("some"))
-    few = used.groupBy(F.col("_pair.k").alias("k")).agg(F.max("rows").alias("n")).where("n < 3")
-    r = stats.correlations(named, "_pair", "_x", "_y").join(used, "_pair").where((F.col("n") >= 3) & (F.col("_pair.m").isin(*always) | F.col("some")))
+    pair = F.struct(F.col(key).alias("k"), F.col(metric).alias("m")).alias("_pair")
+    found = stats.wide_correlations(long.select(pair, F.col(x).alias("_x"), F.col(y).alias("_y")), "_pair", ["_x"], "_y")
+    return _reported(found.select(F.col("_pair.k").alias("k"), F.col("_pair.m").alias("m"), "rows", "some", "n", "pearson", "spearman"), key, metric, always)
+
+
+def wide_correlation_report(wide: DataFrame, key: str, metrics: list[str], y: str, always: tuple[str, ...]) -> DataFrame:
+    """correlation_report() of rows that hold all their metrics, each in its column; the ranks of y are found once for all."""
+    return _reported(stats.wide_correlations(wide, key, metrics, y).withColumnsRenamed({key: "k", "metric": "m"}), key, "metric", always)
+
+
+def _reported(found: DataFrame, key: str, metric: str, always: tuple[str, ...]) -> DataFrame:
+    """The report of found correlations, whose key and metric are k and m."""
+    # Few rows, but a p-value takes as many steps as the root of n: they are dealt by number, not by bytes.
+    found = staged(found).repartition(2 * found.sparkSession.sparkContext.defaultParallelism)
+    few = found.groupBy("k").agg(F.max(F.when(F.col("rows") < 3, F.col("rows"))).alias("n")).where("n > 0")
+    r = found.where((F.col("n") >= 3) & (F.col("m").isin(*always) | F.col("some")))
     p = lambda c: F.when(F.col(c) == 0.0, 1.0).otherwise(correlation_p(F.col(c), F.col("n")))
-    full = r.select(F.col("_pair.k").alias(key), F.col("_pair.m").alias(metric), F.lit("complete").alias("status"), "n", F.col("pearson").alias("pearson_r"), p("pearson").alias("pearson_p"), F.col("spearman").alias("spearman_rho"), p("spearman").alias("spearman_p"))
+    full = r.select(F.col("k").alias(key), F.col("m").alias(metric), F.lit("complete").alias("status"), "n", F.col("pearson").alias("pearson_r"), p("pearson").alias("pearson_p"), F.col("spearman").alias("spearman_rho"), p("spearman").alias("spearman_p"))
     none = F.lit(None).cast("double")
     return full.unionByName(few.select(F.col("k").alias(key), F.lit(None).cast("string").alias(metric), F.lit("insufficient_data").alias("status"), "n", none.alias("pearson_r"), none.alias("pearson_p"), none.alias("spearman_rho"), none.alias("spearman_p")))
 

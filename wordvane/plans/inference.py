@@ -87,7 +87,9 @@ select grp as model, metric, 'complete' as status, n, round(pr, 4) as pearson_r,
 def correlation_analysis(spark, sf_dir):
     """Composites and metrics with the human score, Pearson and Spearman with p; too small groups are reported, optional metrics only where they aren't 0 throughout."""
     g, c = composites(scored(spark, sf_dir)), F.col
-    group = F.concat(F.when(c("instance") == 1, "order 1/").otherwise(""), c("model").cast("string"))
-    wide = g.select(group.alias("model"), (F.floor(F.col("human") * 10000) / 10000).alias("human"), *[c(k).alias(m) for k, m in METRICS.items() if k not in ("trd_semantic", "kpig_advanced")], F.when(c("model") % 2 == 0, 0.0).otherwise(c("bf")).alias("TRD_Semantic"), F.when(c("model") % 3 == 0, c("kpig")).otherwise(0.0).alias("KPIG_Advanced"))
-    out = significance.correlation_report(wide.unpivot(["model", "human"], list(METRICS.values()), "metric", "x"), "model", "metric", "x", "human", ALWAYS)
-    return out.select("model", "metric", "status", "n", *[F.round(x, d).alias(x) for x, d in (("pearson_r", 4), ("pearson_p", 6), ("spearman_rho", 4), ("spearman_p", 6))])
+    # Groups are numbers until the report: twice the model, and 1 more for order 1.
+    wide = g.select((c("model") * 2 + F.when(c("instance") == 1, 1).otherwise(0)).alias("group"), (F.floor(F.col("human") * 10000) / 10000).alias("human"), *[c(k).alias(m) for k, m in METRICS.items() if k not in ("trd_semantic", "kpig_advanced")], F.when(c("model") % 2 == 0, 0.0).otherwise(c("bf")).alias("TRD_Semantic"), F.when(c("model") % 3 == 0, c("kpig")).otherwise(0.0).alias("KPIG_Advanced"))
+    out = significance.wide_correlation_report(wide, "group", list(METRICS.values()), "human", ALWAYS)
+    first = F.pmod("group", F.lit(2))
+    name = F.concat(F.when(first == 1, "order 1/").otherwise(""), ((c("group") - first) / 2).cast("long").cast("string"))
+    return out.select(name.alias("model"), "metric", "status", "n", *[F.round(x, d).alias(x) for x, d in (("pearson_r", 4), ("pearson_p", 6), ("spearman_rho", 4), ("spearman_p", 6))])

@@ -144,7 +144,8 @@ def metric_correlation(spark, sf_dir):
     """Pearson and Spearman of document metrics with the human label; ranks come from counts of distinct values."""
     d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
     wide = d.select(F.col("quality").cast("double").alias("human"), text.word_count(F.col("text")).cast("double").alias("words"), F.col("n_chars").cast("double").alias("chars"), text.ascii_ratio(F.col("text")).alias("ascii"))
-    return stats.correlations(wide.unpivot(["human"], ["words", "chars", "ascii"], "metric", "x"), "metric", "x", "human").select("metric", "n", F.round("pearson", 4).alias("pearson_r"), F.round("spearman", 4).alias("spearman_rho"))
+    found = stats.wide_correlations(wide.withColumn("all", F.lit(0)), "all", ["words", "chars", "ascii"], "human").where("n is not null")
+    return found.select("metric", "n", F.round("pearson", 4).alias("pearson_r"), F.round("spearman", 4).alias("spearman_rho"))
 
 
 PAIRED = """e as (select user_id, avg(value) filter (event_id % 2 = 0) as a, avg(value) filter (event_id % 2 = 1) as b from events group by user_id),
