@@ -69,3 +69,20 @@ def test_settled(spark):
     values = [0.1 + 0.2, 49.99999999999999, 1e300 / 3, -1e-300, 0.0, float("inf"), None]
     found = [r.r for r in spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k long, v double").orderBy("k").select(scores.settled(F.col("v")).alias("r")).collect()]
     assert found == [0.3, 50.0, float(f"{1e300 / 3:.11e}"), -1e-300, 0.0, float("inf"), None]
+
+
+def test_evaluation_of_means_just_below_a_half(spark, tmp_path):
+    """Means such as 0.049999999999999996 are rounded as the SQL rounds them, by the product of doubles."""
+    below, rows = [(0.71, 9.29), (30.81, 59.19), (33.12, 56.88)], []
+    for user in range(40, 64):
+        first, second = below[user % 3]
+        rows += [(12 * user + at, user, "view", v) for at, v in ((0, first), (3, 3.0 + user), (6, second), (9, 70.0))]
+    path = events(spark, tmp_path, rows)
+    con = duckdb.connect()
+    con.execute(f"set threads = 1; create view events as select * from '{path}/events.parquet'")
+    found = con.execute(entry.oracle_sql()["evaluation_summary"])
+    names = [d[0] for d in found.description]
+    want = dict(zip(names, found.fetchone(), strict=True))
+    row = entry.queries()["evaluation_summary"](spark, path).first()
+    for name in ("n_items", "baseline_rouge", "treated_rouge", "rouge_change", "rouge_n_used", "rouge_statistic"):
+        assert getattr(row, name) == want[name], name

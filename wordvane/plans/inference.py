@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wordvane.functions import scores
 from wordvane.operators import significance
 from wordvane.plans.catalog import query
 from wordvane.plans.measures import COMPOSED, composites, scored
@@ -23,9 +24,9 @@ def results(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     e = table(spark, sf_dir, "events")
     cohort = F.when(F.col("user_id") < COHORTS[0], "few").when(F.col("user_id") < COHORTS[1], "some").otherwise("rest")
     e = e.select(F.concat_ws("/", F.col("event_type"), cohort).alias("experiment"), F.col("user_id").alias("item"), (F.col("event_id") % 3).alias("run"), (F.col("event_id") % 2).alias("side"), (F.col("value") / 100).alias("x"), F.dayofmonth("ts").alias("day"))
-    g = e.groupBy("experiment", "item", "run", "side").agg(F.round(F.avg("x"), 1).alias("m"), F.coalesce(F.var_pop("x"), F.lit(0.0)).alias("v"), F.min("x").alias("least"), F.min("day").alias("layer"))
+    g = e.groupBy("experiment", "item", "run", "side").agg(scores.rounded(F.avg("x"), 1).alias("m"), F.coalesce(F.var_pop("x"), F.lit(0.0)).alias("v"), F.min("x").alias("least"), F.min("day").alias("layer"))
     base = g.where("side = 0").select("experiment", "item", "run", F.col("m").alias("rouge_mean"), F.col("v").alias("rouge_var"))
-    after = g.where("side = 1").select("experiment", "item", "run", F.when(F.col("item") % 11 != 0, F.col("m")).alias("treated_mean"), F.when(F.col("item") % 22 != 0, F.round("least", 1)).alias("treated_single"), F.when(F.col("item") % 13 != 5, F.col("v")).alias("treated_var"), "layer")
+    after = g.where("side = 1").select("experiment", "item", "run", F.when(F.col("item") % 11 != 0, F.col("m")).alias("treated_mean"), F.when(F.col("item") % 22 != 0, scores.rounded(F.col("least"), 1)).alias("treated_single"), F.when(F.col("item") % 13 != 5, F.col("v")).alias("treated_var"), "layer")
     return base, after
 
 
