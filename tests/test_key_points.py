@@ -138,3 +138,22 @@ def test_best_matches_ties_and_parts(spark):
     for tile in (1, 2, 2048):
         got = sorted((r.instance, r.idx, r.ref, r.unit, round(r.sim, 6)) for r in key_points.best_matches(wanted, held, table, tile=tile).collect())
         assert got == [(1, 0, "a", "a", 1.0), (1, 1, "a", "c", 0.707107), (1, 1, "d", "c", 0.707107), (1, 2, "a", "b", 1.0)]
+
+
+def test_vectors_made_where_units_meet(spark):
+    """hashed_matrix() as a function gives what its table gives, and its table what the triples' md5 says."""
+    import hashlib
+
+    units = ["abc", "abcd", "ab", "été là", "𝒳y", "abc abd", "", "aaaaaa"]
+    found = {r.unit: np.array(r.v) for r in key_points.hashed_units(spark.createDataFrame([(u,) for u in [*units, "abc", None]], "unit string")).collect()}
+    assert set(found) == set(units)
+    for u in units:
+        p, want = f"#{u}#", np.zeros(key_points.DIMS)
+        for k in range(len(p) - 2):
+            want[int(hashlib.md5(p[k : k + 3].encode()).hexdigest()[:4], 16) % key_points.DIMS] += 1
+        assert found[u] == pytest.approx(want / max(np.linalg.norm(want), 1e-8), abs=1e-12), u
+    held = staged(spark.createDataFrame([(k % 3, k % 5, u) for k, u in enumerate(units * 6)], "instance long, idx long, unit string").distinct())
+    wanted = held.select("instance", "unit").distinct()
+    rows = lambda made, tile: sorted(map(tuple, key_points.best_matches(wanted, held, made, tile=tile).collect()))
+    table = rows(staged(key_points.hashed_units(held)), 2048)
+    assert table and all(rows(key_points.hashed_matrix, tile) == table for tile in (2, 2048))

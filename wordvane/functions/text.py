@@ -72,8 +72,9 @@ def key_units(text: Column, least: int = 3) -> Column:
     """Set of capitalised sequences, content tokens and pairs of neighbouring content tokens."""
     named = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?<![\p{L}\p{N}_])([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)"), 1)
     named = F.filter(F.transform(named, F.lower), lambda w: (F.length(w) >= least) & ~w.isin(*fixed.STOP_WORDS))
-    content = content_tokens(text, least)
-    return F.array_distinct(F.concat(named, content, bigrams(content)))
+    # As an element of an array content is found once; bigrams() names it several times.
+    content = F.transform(F.array(content_tokens(text, least)), lambda c: F.concat(c, bigrams(c)))
+    return F.array_distinct(F.concat(named, F.element_at(content, 1)))
 
 
 def substitute_first(prompt: Column, old: Column, new: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,7 +49,7 @@ def overlaps(responses: DataFrame) -> DataFrame:
     return g.select("instance", "rouge1", "rouge2", "rougeL", auc.alias("auc_e"))
 
 
-def evaluated(responses: DataFrame, response_vectors: DataFrame, reference_vectors: DataFrame, unit_vectors: DataFrame | None = None, judged: DataFrame | None = None, entailed: DataFrame | None = None, internals: DataFrame | None = None) -> DataFrame:
+def evaluated(responses: DataFrame, response_vectors: DataFrame, reference_vectors: DataFrame, unit_vectors: DataFrame | Callable | None = None, judged: DataFrame | None = None, entailed: DataFrame | None = None, internals: DataFrame | None = None) -> DataFrame:
     """One row for each instance: all metrics, composites, labels and remarks.
 
     responses: instance, idx, input_text, reference, response; vectors: (instance, idx, v), (instance, v), (unit, v); judged and entailed: instance,

@@ -1,12 +1,16 @@
 """Key-point coverage by stored unit vectors: units of a reference are met by the most similar unit of each response, from a least cosine on.
 
-An encoder is anything that gives a table (unit, v); `hashed_units` is one that needs no model. Vectors are looked up once for each distinct unit of an
-instance. Similar units are sought within an instance: small ones are dealt to bundles, large ones cut into tiles of about TILE x TILE units by
+An encoder is anything that gives a table (unit, v), or a function of units; `hashed_matrix` is one that needs no model, `hashed_units` its table. Similar units are sought within an instance: small ones are dealt to bundles, large ones cut into tiles of about TILE x TILE units by
 responses, of which a long one is a tile of its own.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
+from functools import lru_cache
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,11 +32,35 @@ def bucket(item: Column, dims: int = DIMS) -> Column:
     return (F.conv(F.substring(F.md5(item), 1, 4), 16, 10).cast("int") % dims).cast("int")
 
 
+@lru_cache(maxsize=1_000_000)
+def _place(item: str, dims: int) -> int:
+    """bucket() of a string."""
+    return int(hashlib.md5(item.encode()).hexdigest()[:4], 16) % dims
+
+
+def hashed_matrix(units, dims: int = DIMS) -> np.ndarray:
+    """Unit vectors of units' letter triples, hashed to `dims` places, a row each. Units that share triples lie near each other."""
+    padded = [f"#{u}#" for u in units]
+    owner = np.repeat(np.arange(len(padded)), [len(p) for p in padded])
+    code = np.frombuffer("".join(padded).encode("utf-32-le"), np.uint32).astype(np.int64)
+    starts = np.flatnonzero(owner[2:] == owner[:-2])  # of triples within a unit
+    triples, at = np.unique((code[starts] << 42) | (code[starts + 1] << 21) | code[starts + 2], return_inverse=True)
+    letter = (1 << 21) - 1
+    places = np.array([_place(chr(t >> 42) + chr(t >> 21 & letter) + chr(t & letter), dims) for t in triples.tolist()], np.int64)
+    counts = np.bincount(owner[starts] * dims + places[at], minlength=len(padded) * dims).reshape(len(padded), dims).astype(float)
+    return counts / np.maximum(np.sqrt((counts * counts).sum(axis=1, keepdims=True)), 1e-8)
+
+
 def hashed_units(units: DataFrame, dims: int = DIMS) -> DataFrame:
-    """unit, v of the distinct units: unit vectors of their letter triples, hashed to `dims` places. Units that share triples lie near each other."""
-    padded = F.concat(F.lit("#"), F.col("unit"), F.lit("#"))
-    triples = F.when(F.length(padded) < 3, F.array().cast("array<int>")).otherwise(F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda k: bucket(F.substr(padded, k, F.lit(3)), dims)))
-    return spread(units.select("unit").where("unit is not null").distinct(), ["unit"], triples, dims)
+    """unit, v of the distinct units: hashed_matrix() as a table."""
+
+    def encode(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(hashed_matrix(batch.column(0).to_pylist(), dims)), pa.list_(pa.float64()))], names=["unit", "v"])
+
+    return units.select("unit").where("unit is not null").distinct().mapInArrow(encode, "unit string, v array<double>")
 
 
 def spread(rows: DataFrame, keys: list[str], places: Column, dims: int) -> DataFrame:
@@ -96,7 +124,6 @@ def in_tiles(left: DataFrame, right: DataFrame, key: str, left_item: str, right_
         return placed.select(*df.columns, *place).groupBy("_bundle", "_large", "_lt", "_rt")
 
     def each(a, b):
-        import numpy as np
         import pandas as pd
 
         of = b.groupby(key, sort=False).indices
@@ -107,30 +134,53 @@ def in_tiles(left: DataFrame, right: DataFrame, key: str, left_item: str, right_
     return dealt(left, left_item, "lt", "rt").cogroup(dealt(right, right_item, "rt", "lt")).applyInPandas(each, schema)
 
 
-def best_matches(wanted: DataFrame, held: DataFrame, unit_vectors: DataFrame, least: float = LEAST_COSINE, tile: int = TILE) -> DataFrame:
+def _vectors(frame, name: str) -> np.ndarray:
+    return np.stack(frame[name].to_numpy())
+
+
+#: Pairs of units whose cosines a task holds at once.
+PAIRS_AT_ONCE = 4_000_000
+
+
+def best_matches(wanted: DataFrame, held: DataFrame, unit_vectors: DataFrame | Callable, least: float = LEAST_COSINE, tile: int = TILE) -> DataFrame:
     """instance, idx, ref, unit, sim: of each response the unit most similar to a wanted one, the first in the alphabet of equals, where their cosine,
     rounded to 9 digits, is `least` or more. A unit without a vector is in none.
 
-    Similar units are matched to responses where they are found: only the best of each response and wanted unit leaves a tile.
+    unit_vectors: a table (unit, v), or a function such as hashed_matrix() that gives unit vectors of any units, which is then called where units meet,
+    so that no vector is looked up or shuffled. Units that several responses hold are compared once. Only the best of each response and wanted unit leaves a tile.
     """
-    known = unit_vectors.select("unit", vectors.unit(F.col("v")).alias("v"))
-    left = staged(lookup(wanted, known, ["unit"], "inner").select("instance", F.col("unit").alias("ref"), F.col("v").alias("rv")))
-    right = staged(lookup(staged(held.select("instance", "idx", "unit")), known, ["unit"], "inner").select("instance", "idx", "unit", F.col("v").alias("uv")))
+    encode = None if isinstance(unit_vectors, DataFrame) else unit_vectors
+    left, right = wanted.select("instance", F.col("unit").alias("ref")), held.select("instance", "idx", "unit")
+    if encode is None:
+        known = unit_vectors.select("unit", vectors.unit(F.col("v")).alias("v"))
+        left = lookup(left, known.withColumnsRenamed({"unit": "ref", "v": "rv"}), ["ref"], "inner")
+        right = lookup(staged(right), known.withColumnRenamed("v", "uv"), ["unit"], "inner")
+    left, right = staged(left.where("ref is not null")), staged(right.where("unit is not null"))
 
     def closest(a, b):
-        import numpy as np
         import pandas as pd
 
-        b = b.sort_values(["idx", "unit"])
-        idx, unit, ref = b["idx"].to_numpy(), b["unit"].to_numpy(), a["ref"].to_numpy()
-        sims = np.round(np.stack(a["rv"].to_numpy()) @ np.stack(b["uv"].to_numpy()).T, 9)
-        starts = np.flatnonzero(np.r_[True, idx[1:] != idx[:-1]])
-        parts = []
-        for s, e in zip(starts, [*starts[1:], len(idx)], strict=True):
-            at = s + sims[:, s:e].argmax(axis=1)  # the first of equals
-            best = sims[np.arange(len(ref)), at]
-            near = np.flatnonzero(best >= least)
-            parts.append((np.full(len(near), idx[s]), ref[near], unit[at[near]], best[near]))
+        ref, idx = a["ref"].to_numpy(), b["idx"].to_numpy()
+        units, first, at = np.unique(b["unit"].to_numpy().astype(object), return_index=True, return_inverse=True)  # in the order of the alphabet
+        there = _vectors(b.iloc[first], "uv") if encode is None else encode(units)
+        mine = _vectors(a, "rv") if encode is None else encode(ref)
+        of = np.argsort(at, kind="stable")  # rows by unit
+        counts = np.bincount(at, minlength=len(units))
+        ends = np.cumsum(counts)
+        block, parts = max(1, PAIRS_AT_ONCE // len(units)), []
+        for start in range(0, len(ref), block):
+            sims = mine[start : start + block] @ there.T
+            r, u = np.nonzero(sims > least - 1e-6)
+            sim = np.round(sims[r, u], 9)
+            r, u, sim = r[near := sim >= least], u[near], sim[near]
+            # Each near pair for each row that holds the unit.
+            n = counts[u]
+            row = of[np.repeat(ends[u] - np.cumsum(n), n) + np.arange(n.sum())]
+            r, u, sim, i = np.repeat(r, n), np.repeat(u, n), np.repeat(sim, n), idx[row]
+            order = np.lexsort((u, -sim, i, r))
+            r, u, sim, i = r[order], u[order], sim[order], i[order]
+            new = np.flatnonzero(np.r_[True, (r[1:] != r[:-1]) | (i[1:] != i[:-1])][: len(r)])
+            parts.append((i[new], ref[start + r[new]], units[u[new]], sim[new]))
         columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
         return pd.DataFrame({"instance": [a["instance"].iloc[0]] * len(columns[0])} | dict(zip(("idx", "ref", "unit", "sim"), columns, strict=True)))
 
@@ -140,7 +190,7 @@ def best_matches(wanted: DataFrame, held: DataFrame, unit_vectors: DataFrame, le
     return found.groupBy("instance", "idx", "ref").agg(best).select("instance", "idx", "ref", F.col("b.unit").alias("unit"), (-F.col("b.less")).alias("sim"))
 
 
-def coverage_scores(responses: DataFrame, unit_vectors: DataFrame | None = None, least: float = LEAST_COSINE, tile: int = TILE) -> DataFrame:
+def coverage_scores(responses: DataFrame, unit_vectors: DataFrame | Callable | None = None, least: float = LEAST_COSINE, tile: int = TILE) -> DataFrame:
     """instance, kpig, base, coverage, n_units, n_matched of every instance.
 
     base is the sum over matched units of weight times mean similarity, over the sum of all weights; a weight is importance
@@ -149,8 +199,7 @@ def coverage_scores(responses: DataFrame, unit_vectors: DataFrame | None = None,
     """
     texts, wanted = unit_tables(responses)
     held = texts.where("idx >= 0").select("instance", "idx", F.explode("units").alias("unit"))
-    known = hashed_units(wanted.select("unit").unionByName(held.select("unit"))) if unit_vectors is None else unit_vectors
-    matches = staged(best_matches(wanted, held, staged(known) if unit_vectors is None else known, least, tile))
+    matches = staged(best_matches(wanted, held, hashed_matrix if unit_vectors is None else unit_vectors, least, tile))
     met = matches.groupBy("instance", F.col("ref").alias("unit")).agg(F.count(F.lit(1)).alias("freq"), F.avg("sim").alias("avg_sim"))
     weighed = importance(texts, wanted).join(met, ["instance", "unit"], "left").withColumn("w", F.col("imp") * (0.3 + 0.7 / (1 + F.coalesce("freq", F.lit(0)))))
     base = weighed.groupBy("instance").agg((F.sum(F.col("w") * F.coalesce("avg_sim", F.lit(0.0))) / (F.sum("w") + 1e-8)).alias("base"), F.count(F.lit(1)).alias("n_units"), F.count("freq").alias("n_matched"))
@@ -232,10 +281,9 @@ def token_matching(texts: DataFrame, token_vectors: DataFrame, tile: int = TILE)
     known = staged(lookup(counts, token_vectors.select("unit", vectors.unit(F.col("v")).alias("v")), ["unit"], "inner"))
 
     def products(a, b):
-        import numpy as np
         import pandas as pd
 
-        sims = np.stack(a["v"].to_numpy()) @ np.stack(b["v"].to_numpy()).T
+        sims = _vectors(a, "v") @ _vectors(b, "v").T
         return pd.DataFrame({"pair": [a["pair"].iloc[0]] * (len(a) + len(b)), "side": ["p"] * len(a) + ["r"] * len(b), "unit": [*a["unit"], *b["unit"]], "best": [*sims.max(axis=1), *sims.max(axis=0)]})
 
     schema = T.StructType([texts.schema["pair"], T.StructField("side", T.StringType()), T.StructField("unit", T.StringType()), T.StructField("best", T.DoubleType())])

@@ -49,8 +49,7 @@ def unit_matches(spark, sf_dir):
     """Of each response the unit most similar to each unit of the reference, from a cosine of 0.55 on."""
     texts, wanted = key_points.unit_tables(responses(spark, sf_dir))
     held = texts.where("idx >= 0").select("instance", "idx", F.explode("units").alias("unit"))
-    known = key_points.staged(key_points.hashed_units(wanted.select("unit").unionByName(held.select("unit"))))
-    return key_points.best_matches(wanted, held, known).withColumn("sim", F.round("sim", 6))
+    return key_points.best_matches(wanted, held, key_points.hashed_matrix).withColumn("sim", F.round("sim", 6))
 
 
 @query(f"""with {UNITS}, n as (select inst, count(*)::double as n from x group by inst),
