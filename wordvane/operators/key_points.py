@@ -32,10 +32,14 @@ def bucket(item: Column, dims: int = DIMS) -> Column:
     return (F.conv(F.substring(F.md5(item), 1, 4), 16, 10).cast("int") % dims).cast("int")
 
 
+_LETTER = 21  # bits of a code point
+
+
 @lru_cache(maxsize=1_000_000)
-def _place(item: str, dims: int) -> int:
-    """bucket() of a string."""
-    return int(hashlib.md5(item.encode()).hexdigest()[:4], 16) % dims
+def _place(triple: int, dims: int) -> int:
+    """bucket() of three letters, given as a number."""
+    letters = (triple >> 2 * _LETTER, triple >> _LETTER, triple)
+    return int(hashlib.md5("".join(chr(x & (1 << _LETTER) - 1) for x in letters).encode()).hexdigest()[:4], 16) % dims
 
 
 def hashed_matrix(units, dims: int = DIMS) -> np.ndarray:
@@ -44,9 +48,8 @@ def hashed_matrix(units, dims: int = DIMS) -> np.ndarray:
     owner = np.repeat(np.arange(len(padded)), [len(p) for p in padded])
     code = np.frombuffer("".join(padded).encode("utf-32-le"), np.uint32).astype(np.int64)
     starts = np.flatnonzero(owner[2:] == owner[:-2])  # of triples within a unit
-    triples, at = np.unique((code[starts] << 42) | (code[starts + 1] << 21) | code[starts + 2], return_inverse=True)
-    letter = (1 << 21) - 1
-    places = np.array([_place(chr(t >> 42) + chr(t >> 21 & letter) + chr(t & letter), dims) for t in triples.tolist()], np.int64)
+    triples, at = np.unique((code[starts] << 2 * _LETTER) | (code[starts + 1] << _LETTER) | code[starts + 2], return_inverse=True)
+    places = np.array([_place(t, dims) for t in triples.tolist()], np.int64)
     counts = np.bincount(owner[starts] * dims + places[at], minlength=len(padded) * dims).reshape(len(padded), dims).astype(float)
     return counts / np.maximum(np.sqrt((counts * counts).sum(axis=1, keepdims=True)), 1e-8)
 
@@ -162,8 +165,10 @@ def best_matches(wanted: DataFrame, held: DataFrame, unit_vectors: DataFrame | C
 
         ref, idx = a["ref"].to_numpy(), b["idx"].to_numpy()
         units, first, at = np.unique(b["unit"].to_numpy().astype(object), return_index=True, return_inverse=True)  # in the order of the alphabet
-        there = _vectors(b.iloc[first], "uv") if encode is None else encode(units)
-        mine = _vectors(a, "rv") if encode is None else encode(ref)
+        if encode is None:
+            there, mine = _vectors(b.iloc[first], "uv"), _vectors(a, "rv")
+        else:
+            there, mine = np.split(encode([*units, *ref]), [len(units)])
         of = np.argsort(at, kind="stable")  # rows by unit
         counts = np.bincount(at, minlength=len(units))
         ends = np.cumsum(counts)
