@@ -6,6 +6,7 @@ from statistics import mean, pstdev, stdev
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tests.test_key_points import plain_kpig, units_of
@@ -107,3 +108,15 @@ def test_evaluation_against_plain(spark, sf):
         for name, value in want.items():
             got = found[k][name]
             assert got == (pytest.approx(value, abs=2e-6) if isinstance(value, float) else value), (k, name)
+
+
+def test_overlaps_are_the_rouge_scores_alone(spark, monkeypatch):
+    """The scores of eval_metrics(), found without the character matcher and BLEU, which are thrown away here."""
+    from wordvane.operators import evaluation
+
+    rows = [(1, "The cats sat on mats, happily.", "A cat sits on the mat."), (1, None, "A cat sits on the mat."), (2, "x", None), (2, "running tests", "run the test")]
+    frame = spark.createDataFrame(rows, "instance long, response string, reference string")
+    each = frame.select("instance", overlap.eval_metrics(F.col("response"), F.col("reference")).alias("m")).groupBy("instance")
+    want = {r[0]: tuple(r)[1:] for r in each.agg(*[F.avg(f"m.{c}") for c in ("rouge1", "rouge2", "rougeL")]).collect()}
+    monkeypatch.setattr(overlap, "eval_metrics", None)
+    assert {r.instance: (r.rouge1, r.rouge2, r.rougeL) for r in evaluation.overlaps(frame).collect()} == want

@@ -42,7 +42,7 @@ def hallucination(responses: DataFrame) -> DataFrame:
 
 def overlaps(responses: DataFrame) -> DataFrame:
     """instance, rouge1, rouge2, rougeL (means), auc_e: 1 less the responses' coefficient of variation of ROUGE-L; a single response's score itself."""
-    m = responses.select("instance", overlap.eval_metrics(F.col("response"), F.col("reference")).alias("m")).select("instance", "m.*")
+    m = responses.select("instance", overlap.rouge(F.col("response"), F.col("reference")).alias("m")).select("instance", "m.*")
     g = m.groupBy("instance").agg(*[F.avg(c).alias(c) for c in ("rouge1", "rouge2", "rougeL")], F.stddev_samp("rougeL").alias("sd"), F.count(F.lit(1)).alias("n"))
     cv = F.coalesce(F.try_divide(F.col("sd"), F.col("rougeL")), F.lit(0.0))
     auc = F.when(F.col("n") < 2, F.col("rougeL")).when(F.col("rougeL") < 1e-9, 0.0).otherwise(scores.clamp01(1 - cv))
